@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -41,32 +37,3 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
                 start, held = i, 0
             held += n
         yield batch.slice(start)
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one of our own only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        own = getattr(checkpoint_dir, "own", None)
-        if own is None:
-            own = checkpoint_dir.own = tempfile.mkdtemp(prefix="gaugeworks-")
-            atexit.register(shutil.rmtree, own, True)
-        at = f"file://{own}"
-    return at
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read the written table again."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed(df: DataFrame) -> None:
-    """Delete a table made by written() once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import html_extract, langid, toxicity, url_filter
+from . import decontaminate, html_extract, langid, pii, simhash, spotsigs, toxicity, url_filter
 
 QUERIES = {
+    "op3_simhash": simhash.op3_simhash,
+    "op4_spotsigs": spotsigs.op4_spotsigs,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_pii": pii.op7_pii,
     "op8_language_id": langid.op8_language_id,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_html_extraction": html_extract.op10_html_extraction,
