@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -171,18 +171,13 @@ def with_followers(documents: DataFrame) -> DataFrame:
 
 
 def _bucket(bounds: list[int]):
-    """Number of bounds at or below the id (null: 0)."""
+    """Number of bounds at or below the id; a null id is below all."""
     held = np.array(bounds, np.int64)
 
-    def run(ids):
-        return ids.map(lambda v: 0 if v is None or v != v else bisect_left(held, v + 1)).astype("int32")
+    def count(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(held, ids.to_numpy(np.int64), side="right").astype(np.int32))
 
-    import pandas as pd
-
-    def typed(ids: pd.Series) -> pd.Series:
-        return run(ids)
-
-    return F.pandas_udf(typed, "int")("doc_id") if len(bounds) > 64 else F.coalesce(sum((F.when(F.col("doc_id") >= b, 1).otherwise(0) for b in bounds), F.lit(0)), F.lit(0)).cast("int")
+    return F.pandas_udf(count, "int")(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
