@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, langid, pii, simhash, spotsigs, toxicity, url_filter
+from . import decontaminate, html_extract, langid, pii, segment, simhash, spotsigs, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_sentencepiece": segment.op1_sentencepiece,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_simhash": simhash.op3_simhash,
     "op4_spotsigs": spotsigs.op4_spotsigs,
     "op5_decontamination": decontaminate.op5_decontamination,
