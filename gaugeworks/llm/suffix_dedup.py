@@ -40,12 +40,10 @@ from .common import slices, table
 LENGTH = 400
 #: Bytes at an anchor; an anchor is chosen among the first LENGTH - GRAM + 1 positions of a window.
 GRAM = 200
-#: Bytes of one bucket of stretches, about.
-BUCKET_BYTES = 3_000_000
+#: Bytes of one bucket of stretches, about (its arrays stay in a core's cache), and of one task.
+BUCKET_BYTES, TASK_BYTES = 400_000, 4_000_000
 #: A gram with more different stretches than this is cut into ranges of RANGE offsets.
 HOT, RANGE = 2_000, 25
-#: Tables of up to so many rows are broadcast to the documents instead of shuffling these.
-BROADCAST_ROWS = 3_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,29 +101,30 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     padded = np.append(t.astype(np.int64), np.zeros(8, np.int64))
     for k in range(7):
         key = key << 9 | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key).astype(np.int32)
     head = np.empty(n, bool)
     head[0] = True
-    head[1:] = key[order[1:]] != key[order[:-1]]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    key = key[order]
+    head[1:] = key[1:] != key[:-1]
+    at = np.arange(n, dtype=np.int32)
+    rank = np.zeros(n + 1, np.int32)  # from 1; beyond the end: 0
+    rank[order] = np.maximum.accumulate(np.where(head, at, 0)) + 1
     h = 7
     while h < depth:
         tail = np.append(head[1:], True)
-        open_ = np.nonzero(~(head & tail))[0]  # only what shares its rank is sorted again
+        open_ = at[~(head & tail)]  # only what shares its rank is sorted again
         if not len(open_):
             break
         pos = order[open_]
-        nxt = np.where(pos + h < n, rank[np.minimum(pos + h, n - 1)] + 1, 0)
-        key = rank[pos] * np.int64(n + 1) + nxt
-        inner = np.argsort(key, kind="stable")
-        order[open_] = pos[inner]
+        key = rank[pos].astype(np.int64) << 32 | rank[np.minimum(pos + h, n)]
+        inner = np.argsort(key)
+        order[open_] = pos = pos[inner]
         key = key[inner]
         fresh = np.empty(len(open_), bool)
         fresh[0] = True
         fresh[1:] = key[1:] != key[:-1]
         head[open_] = fresh
-        rank[order[open_]] = np.maximum.accumulate(np.where(fresh, open_, 0))
+        rank[pos] = np.maximum.accumulate(np.where(fresh, open_, 0)) + 1
         h *= 2
     return order
 
@@ -139,10 +138,11 @@ def long_prefixes(t: np.ndarray, order: np.ndarray, threshold: int) -> np.ndarra
     n = len(t)
     bwt = t[order - 1]
     by_symbol = np.argsort(bwt, kind="stable")
-    lf = np.empty(n, np.int64)
-    lf[by_symbol] = np.arange(n)
-    change = np.nonzero(np.diff(bwt.astype(np.int16), prepend=-1))[0]
-    run_of = np.cumsum(np.diff(bwt.astype(np.int16), prepend=-1) != 0) - 1
+    lf = np.empty(n, np.int32)
+    lf[by_symbol] = np.arange(n, dtype=np.int32)
+    changed = np.append(True, bwt[1:] != bwt[:-1])
+    change = np.nonzero(changed)[0]
+    run_of = np.cumsum(changed, dtype=np.int32) - 1
     run_end = np.append(change[1:], n)
     symbol = bwt[change].astype(np.int64)
     open_ = np.ones(n + 1, bool)  # the value at the right end of an interval isn't known yet
@@ -250,9 +250,9 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solved()
 
 
-def _joined(documents: DataFrame, small: DataFrame, n: int, how: str) -> DataFrame:
-    """Documents with what belongs to them: small is broadcast if its size allows, else it is the hashed side of a shuffled join."""
-    return documents.join(small.hint("broadcast" if n <= BROADCAST_ROWS else "shuffle_hash"), "key", how)
+def _joined(documents: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """Documents with what belongs to them; the other side, which is numbers only, is the hashed one, so no text is sorted."""
+    return documents.join(other.hint("shuffle_hash"), "key", how)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,12 +292,12 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     # equal stretches repeat in whole
     copies = classes.df.where("n > 1").select("gram", "whole", F.array(F.lit(0), more + 1).alias("ranges"))
     unclear = classes.df.where("kinds > 1")
-    total, n_docs = unclear.agg(F.sum(more + LENGTH), F.count_distinct("key")).first()
+    total = unclear.agg(F.sum(more + LENGTH)).first()[0]
     found = copies
     if total:
         reads = unclear.groupBy("key").agg(F.collect_list(F.struct("gram", "whole", "place", (F.col("kinds") > HOT).alias("hot"))).alias("reads"))
-        pieces = _joined(keyed, reads, n_docs, "inner")
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET_BYTES) + 1)
+        pieces = _joined(keyed, reads, "inner")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // TASK_BYTES) + 1)
         rows = pieces.select("text", "reads").mapInArrow(_pieces, "route long, gram long, whole long, shift long, piece binary")
         dealt = rows.repartition(parts, "route").sortWithinPartitions("route")
         found = found.union(dealt.mapInArrow(_expanded, "gram long, whole long, ranges array<int>"))
@@ -307,7 +307,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
         stretch.df.join(found.df, ["gram", "whole"]).groupBy("key").agg(F.collect_set(F.struct(start.alias("start"), "ranges")).alias("found")),
         "removals",
     )
-    return _joined(keyed, per_doc.df, per_doc.df.count(), "left").select("doc_id", "text", "found").mapInArrow(
+    return _joined(keyed, per_doc.df, "left").select("doc_id", "text", "found").mapInArrow(
         _cut, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
