@@ -11,6 +11,11 @@ A variant that very many fingerprints share is cut again: its members are indexe
 the one-bit variants of the two halves of the other segment. Which variants are cut
 again follows from a sample, but not the result: both ways find the same pairs.
 
+near_groups() serves a similarity bound instead of a distance of two bits. A Jaccard
+similarity of 0.8 is about 9 of 64 differing bits, which no segment of useful width
+survives, so there the fingerprint is WIDE x 64 bits, candidates meet under min-wise pairs
+of shingles, and the fingerprints' distance decides.
+
 Defined results: a null or empty text has no words and the fingerprint zero; a text of
 fewer words than a shingle is one shingle; a repeated or null id stays a row of its own;
 an empty table gives an empty result; further columns are ignored.
@@ -18,7 +23,9 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -28,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..storage import written
+from ..storage import Written, written
 from .common import slices, table
 
 SEED = 42
@@ -39,6 +46,9 @@ SAMPLE = 64
 #: ... those with at least so many sampled members.
 HOT = 16
 
+#: near_groups(): words of a fingerprint, pairs of least shingles, rounds of leaders, tolerance of the estimate in standard deviations.
+WIDE, PAIRS, ROUNDS, TOLERANCE = 8, 6, 6, 1.0
+
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE = (np.arange(8) * 256).astype(np.int64)
 
@@ -142,10 +152,100 @@ def grouped(prints: DataFrame) -> DataFrame:
     own = roots.join(distinct, roots["node"] == distinct["fp"])
     smallest = own.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = own.join(smallest, "root").select("fp", "component_id")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written, so that the last join has two plain sides and a fingerprint with very many rows can be split
+    named = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = h + np.uint64(0x9E3779B97F4A7C15 * (salt + 1) & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of WIDE words that texts of this Jaccard similarity have, with the tolerance."""
+    n, p = 64 * WIDE, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(n * p + TOLERANCE * math.sqrt(n * p * (1 - p)))
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", *(f"f{i}" for i in range(WIDE)), "keys"]
+    for s in slices(batches):
+        prints, keys = np.zeros((s.num_rows, WIDE), np.uint64), []
+        for i, t in enumerate(s.column(1).to_pylist()):
+            h = shingle_hashes(t, width)
+            if not len(h):
+                keys.append([])
+                continue
+            each = [_mixed(h, k) for k in range(2 * PAIRS)]
+            prints[i] = [fingerprint(x) for x in each[:WIDE]]
+            least = np.array([x.min() for x in each])
+            keys.append(_mixed(least[:PAIRS] ^ (least[PAIRS:] << np.uint64(1)), 99).view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays([s.column(0), *(pa.array(prints[:, k].view(np.int64)) for k in range(WIDE)), pa.array(keys, pa.list_(pa.int64()))], names=names)
+
+
+def near_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """doc_id and component_id, the smallest id of the group of near-duplicates, for each row.
+
+    Rows with the same fingerprint are one node. Under each key the smallest node leads:
+    those near it are linked to it and leave, and the next round goes on with the rest,
+    so a group of n copies costs n comparisons. What is left after ROUNDS is compared in
+    pairs within its key, and only verified pairs come out of the join.
+    """
+    prints = [f"f{i}" for i in range(WIDE)]
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, " + ", ".join(f"{f} long" for f in prints) + ", keys array<long>"
+    rows = Written(documents.select("doc_id", "text").mapInArrow(lambda b: _signatures(b, width), schema).withColumn("node", F.xxhash64(*prints)), "signatures")
+    nodes = rows.df.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(f).alias(f) for f in prints), F.first("keys").alias("keys"))
+    left = Written(nodes.select("node", *prints, F.explode("keys").alias("key")), "near-keys")
+    near = most_bits(similarity)
+
+    def close(a: str, b: str) -> Column:
+        return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in prints)) <= near
+
+    links = []
+    for _ in range(ROUNDS):
+        leader = left.df.groupBy("key").agg(F.min(F.struct("node", *prints)).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "l.*")
+        joined = left.df.alias("m").join(leader.alias("l"), (F.col("m.key") == F.col("l.key")) & (F.col("m.node") != F.col("l.node")))
+        seen = Written(joined.select("m.*", F.col("l.node").alias("leader"), close("m", "l").alias("linked")), "near-seen")
+        links.append(seen.df.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b")))
+        left.drop()
+        left = Written(seen.df.where("not linked").drop("leader", "linked"), "near-keys")
+        if not left.df.limit(1).count():
+            break
+    else:
+        a, b = left.df.alias("a"), left.df.alias("b")
+        links.append(a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & close("a", "b")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+    roots = components(reduce(DataFrame.union, links))
+    least = rows.df.groupBy("node").agg(F.min("doc_id").alias("least"))
+    own = roots.join(least, "node")
+    smallest = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = own.join(smallest, "root").select("node", "component_id")
+    named = written(least.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "near-names")
+    return rows.df.select("doc_id", "node").join(named, "node", "left").select("doc_id", "component_id")
+
+
+def deduplicated(documents: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """The documents of which no near-duplicate has a smaller id; of rows with one id the first by text stays, and rows without an id all stay."""
+    nameless = documents.where("doc_id is null")
+    documents = documents.where("doc_id is not null")
+    return _one_each(documents, near_groups(documents, similarity, width)).unionByName(nameless)
+
+
+def _one_each(documents: DataFrame, groups: DataFrame) -> DataFrame:
+    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = documents.join(keep, "doc_id", "left_semi")
+    repeated = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("text")).alias("first")).where("n > 1")
+    repeated = written(repeated.select(F.col("doc_id").alias("_id"), "first"), "repeated-ids")
+    if not repeated.limit(1).count():
+        return kept
+    first = kept.join(repeated, kept["doc_id"] == repeated["_id"], "left").where("_id is null or first = xxhash64(text)")
+    return first.drop("_id", "first").dropDuplicates(["doc_id"])  # what is left to drop are equal rows
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = written(fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
     return grouped(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
