@@ -282,9 +282,11 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     keyed = keyed.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     routes = Written(keyed.where(F.octet_length("text") >= LENGTH).select("key", "text").mapInArrow(_routes, "key long, gram long, whole long, place long"), "routes")
     # copies of a row have the same key, so a stretch is known by gram and whole, and counted by rows
-    shared = routes.df.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    stretch = Written(routes.df.join(shared, "gram"), "stretches")
+    # written, so that the join has two plain sides and a gram with very many stretches can be split
+    shared = Written(routes.df.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "shared-grams")
+    stretch = Written(routes.df.join(shared.df, "gram"), "stretches")
     routes.drop()
+    shared.drop()
     kinds = stretch.df.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("at"))
     per_gram = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
     classes = Written(kinds.join(per_gram, "gram").select("gram", "whole", "n", "kinds", "at.key", "at.place"), "classes")
