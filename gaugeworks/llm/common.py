@@ -24,15 +24,15 @@ def id_crc(col: str, modulus: int) -> Column:
     return F.crc32(F.col(col).cast("string")) % F.lit(modulus)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each slice has SLICE_ROWS rows and about SLICE_BYTES of text at most."""
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each slice has SLICE_ROWS rows and about so many bytes of text at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = [n or 0 for n in pc.binary_length(batch.column(text)).to_pylist()]
         start, held = 0, 0
         for i, n in enumerate(sizes):
-            if i > start and (held + n > SLICE_BYTES or i - start >= SLICE_ROWS):
+            if i > start and (held + n > most or i - start >= SLICE_ROWS):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
