@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The grid of a difference hash: 8 rows of 9 cells, each cell compared with its right neighbour.
@@ -34,16 +34,18 @@ def packed_difference(grid: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, bit: F.call_function("shiftleft", acc, F.lit(1)).bitwiseOR(bit))
 
 
-def text_grid(text: Column) -> Column:
-    """A grid for texts: how many words fall in each of 72 buckets by the first hexadecimal digits of their md5."""
+def text_buckets(text: Column) -> Column:
+    """The cell of every word of a text, by the first hexadecimal digits of its md5."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-    buckets = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(ROWS * COLUMNS)).cast("int"))
-    counts = F.aggregate(
-        buckets,
-        F.array_repeat(F.lit(0), ROWS * COLUMNS),
-        lambda acc, b: F.transform(acc, lambda x, i: x + F.when(i == b, 1).otherwise(0)),
-    )
-    return counts
+    return F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(ROWS * COLUMNS)).cast("int"))
+
+
+def text_hashes(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys and dhash of each text: its words are counted in 72 cells that serve as the grid; one shuffle of counts."""
+    cells = texts.select(*keys, F.explode_outer(text_buckets(F.col(text))).alias("_b"))
+    counts = [F.count_if(F.col("_b") == i).alias(f"_{i}") for i in range(ROWS * COLUMNS)]
+    grid = cells.groupBy(*keys).agg(*counts)
+    return grid.select(*keys, packed_difference(F.array(*(F.col(f"_{i}") for i in range(ROWS * COLUMNS)))).alias("dhash"))
 
 
 def bands(h: Column, distance: int) -> Column:

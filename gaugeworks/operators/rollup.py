@@ -21,12 +21,12 @@ def dashboard(inspections: DataFrame, detections: DataFrame, buckets: dict[str,
         (F.count(F.lit(1)) - fails).alias("passes"),
         fails.alias("fails"),
         F.round(fails / F.count(F.lit(1)), 4).alias("failure_rate"),
-        F.round(F.avg("inference_ms"), 3).alias("average_inference_ms"),
+        F.round(F.avg("inference_ms"), 6).alias("average_inference_ms"),
     )
     found = (
         detections.join(stamped.select(key, *names), key)
         .groupBy(*names, "class_name")
-        .agg(F.count(F.lit(1)).alias("defect_count"), F.round(F.avg("confidence"), 4).alias("average_confidence"))
+        .agg(F.count(F.lit(1)).alias("defect_count"), F.round(F.avg("confidence"), 6).alias("average_confidence"))
     )
     return totals.join(found, names, "left").select(
         *names,

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import label_problems
-from ..functions.hashing import hex16
 from ..schemas import CLASS_NAMES
 from .dedup import NEAR_BITS, cross_split_leaks, duplicate_groups
 
