@@ -208,11 +208,13 @@ def near_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5) -
 
     links = []
     for _ in range(ROUNDS):
-        leader = left.df.groupBy("key").agg(F.min(F.struct("node", *prints)).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "l.*")
-        joined = left.df.alias("m").join(leader.alias("l"), (F.col("m.key") == F.col("l.key")) & (F.col("m.node") != F.col("l.node")))
+        # written, so that the join below has two plain sides and a key with very many nodes can be split
+        leader = Written(left.df.groupBy("key").agg(F.min(F.struct("node", *prints)).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "l.*"), "near-leaders")
+        joined = left.df.alias("m").join(leader.df.alias("l"), (F.col("m.key") == F.col("l.key")) & (F.col("m.node") != F.col("l.node")))
         seen = Written(joined.select("m.*", F.col("l.node").alias("leader"), close("m", "l").alias("linked")), "near-seen")
         links.append(seen.df.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b")))
         left.drop()
+        leader.drop()
         left = Written(seen.df.where("not linked").drop("leader", "linked"), "near-keys")
         if not left.df.limit(1).count():
             break
