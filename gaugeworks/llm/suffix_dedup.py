@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ GRAM = 200
 BUCKET_BYTES, TASK_BYTES = 400_000, 4_000_000
 #: A gram with more different stretches than this is cut into ranges of RANGE offsets.
 HOT, RANGE = 2_000, 25
+#: Up to so many pieces of a route are compared in pairs before they are sorted.
+FEW = 6
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -204,7 +207,7 @@ def _ranges(mask: np.ndarray) -> list[int]:
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (text, stretches to read) to rows of text for the buckets."""
-    names = ["route", "gram", "whole", "shift", "piece"]
+    names = ["route", "gram", "whole", "shift", "piece", "anchor"]
     for s in slices(batches):
         out: list[list] = [[] for _ in names]
         for text, reads in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), strict=True):
@@ -218,16 +221,38 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         high = low + RANGE - 1
                         first, last = max(a, p - high), min(a + more, p - low)
                         shared = xxhash.xxh3_64_intdigest(data[p - low : p - high + LENGTH], low)
-                        for x, v in zip(out, (_signed(shared ^ (r["gram"] & (1 << 64) - 1)), r["gram"], r["whole"], first - a, data[first : last + LENGTH]), strict=True):
+                        for x, v in zip(out, (_signed(shared ^ (r["gram"] & (1 << 64) - 1)), r["gram"], r["whole"], first - a, data[first : last + LENGTH], p - first), strict=True):
                             x.append(v)
                 else:
-                    for x, v in zip(out, (r["gram"], r["gram"], r["whole"], 0, data[a : a + more + LENGTH]), strict=True):
+                    for x, v in zip(out, (r["gram"], r["gram"], r["whole"], 0, data[a : a + more + LENGTH], offset), strict=True):
                         x.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if n == "piece" else pa.int64()) for n, x in zip(names, out, strict=True)], names=names)
 
 
+def _common(a: tuple, b: tuple) -> int:
+    """Bytes that two pieces share around their anchors without a break."""
+    x, y = a[5], b[5]
+    left = min(x, y)
+    right = min(len(a[4]) - x, len(b[4]) - y)
+    differ = int.from_bytes(a[4][x - left : x], "little") ^ int.from_bytes(b[4][y - left : y], "little")
+    after = int.from_bytes(a[4][x : x + right], "big") ^ int.from_bytes(b[4][y : y + right], "big")
+    return left - (differ.bit_length() + 7) // 8 + right - (after.bit_length() + 7) // 8
+
+
+def _possible(group: list[tuple]) -> list[tuple]:
+    """The pieces of a route that can hold a repeat; a lone one can't, and few are compared around their anchors first."""
+    if len(group) > FEW:
+        return group
+    keep: set[int] = set()
+    for i in range(len(group)):
+        for j in range(i):
+            if not (i in keep and j in keep) and _common(group[i], group[j]) >= LENGTH:
+                keep |= {i, j}
+    return [group[i] for i in sorted(keep)]
+
+
 def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats within the buckets of a partition; rows come sorted by bucket and route."""
+    """Repeats within the buckets of a partition; rows come sorted by route."""
     held: list[tuple] = []
     size = 0
 
@@ -238,14 +263,15 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([r[1] for r, _ in rows], pa.int64()), pa.array([r[2] for r, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.int32()))], names=["gram", "whole", "ranges"]
         )
 
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            # a bucket may be split between routes, never within one
-            if size > BUCKET_BYTES and held[-1][0] != row[0]:
-                yield solved()
-                held, size = [], 0
-            held.append(row)
-            size += len(row[4]) + 1
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for _, group in groupby(rows, key=lambda row: row[0]):
+        # a bucket may be split between routes, never within one
+        more = _possible(list(group))
+        held += more
+        size += sum(len(r[4]) + 1 for r in more)
+        if size > BUCKET_BYTES:
+            yield solved()
+            held, size = [], 0
     if held:
         yield solved()
 
@@ -300,7 +326,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
         reads = unclear.groupBy("key").agg(F.collect_list(F.struct("gram", "whole", "place", (F.col("kinds") > HOT).alias("hot"))).alias("reads"))
         pieces = _joined(keyed, reads, "inner")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // TASK_BYTES) + 1)
-        rows = pieces.select("text", "reads").mapInArrow(_pieces, "route long, gram long, whole long, shift long, piece binary")
+        rows = pieces.select("text", "reads").mapInArrow(_pieces, "route long, gram long, whole long, shift long, piece binary, anchor long")
         dealt = rows.repartition(parts, "route").sortWithinPartitions("route")
         found = found.union(dealt.mapInArrow(_expanded, "gram long, whole long, ranges array<int>"))
     found = Written(found, "repeats")
@@ -316,3 +342,17 @@ def deduplicated(documents: DataFrame) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"))
+
+
+#: Every window is hashed here, which is affordable on small tables only.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, hash(substr(h, (2 * i + 1)::BIGINT, 800)) AS k FROM d, LATERAL (SELECT unnest(range(greatest(n - 399, 0))) AS i)),
+rep AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+st AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) + 400 AS fresh FROM w SEMI JOIN rep USING (k)),
+sp AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM st) GROUP BY doc_id, g),
+cut AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS removed, count(*) AS spans FROM sp GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(array_to_string(list_transform(range(spans + 1), lambda j: substr(h, (2 * coalesce(b[j], 0) + 1)::BIGINT, (2 * (coalesce(a[j + 1], n) - coalesce(b[j], 0)))::BIGINT)), ''), h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
