@@ -48,9 +48,11 @@ BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 CONTENT = frozenset("article main".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 BAD_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|cookie|cookies|consent|disqus|footer|gdpr|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|pager|popup|promo|promoted|promotion|reaction|reactions|related|recommended|reply|replies|responses|share|sharing|sidebar|signup|site-header|social|sponsor|sponsored|subscribe|subscription|toolbar|tracking|widget|widgets)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:(?:ad|ads|adv|banner|footer|gdpr|login|menu|menubar|modal|nav|navbar|navigation|notice|notices|pager|popup|reply|replies|reaction|reactions|response|responses|share|sharing|signup|site-header|social|toolbar|topbar|tracking|widget|widgets)(?:$|[\s_-])"
+    r"|(?:adbox|advert|breadcrumb|comment|consent|cookie|disclaimer|disqus|masthead|newsletter|pagination|promo|recommend|related|sidebar|sponsor|subscri))",
     re.I,
 )
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 GOOD_WORDS = re.compile(r"(?:^|[\s_-])(?:article|article-body|body-text|content|entry|entry-content|main|main-content|post|post-body|post-content|story|text)(?:$|[\s_-])", re.I)
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
 
@@ -84,7 +86,8 @@ def _verdict(tag: str, attrs: str, parent: int) -> int:
     own = 0
     if attrs and "=" in attrs or "hidden" in attrs:
         for name, a, b, c, hidden in _ATTR.findall(attrs):
-            name, value = name.lower(), (a or b or c).lower()
+            name, value = name.lower(), a or b or c
+            value = (_HUMP.sub("-", value) if name in ("class", "id") else value).lower()
             if hidden or name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
                 return -2
             if name == "role":

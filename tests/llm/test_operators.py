@@ -452,7 +452,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div class="cookie-notice">We use cookies.</div><div id="sidebar"><p>Related stories you may like, all of them.</p></div>
 <article><header><h1>A &amp; B</h1></header><p>First <b>bold</b>  text&nbsp;here.<br>More.<p>Second&#33; <a href=z>link</a></p>
 <div class="ad">Buy now.</div><form><label>Mail</label><input></form><ul><li>Item</li></ul><!-- no --><p>Is.</p></article>
-<section class="comments"><p>I disagree, says a reader, at length.</p></section><footer>&copy; me</footer></body></html>"""
+<div class="cookieBar">Ok?</div><div class="siteHeader topNav"><p>Go there, please, now.</p></div><section class="comments"><p>I disagree, says a reader, at length.</p></section><footer>&copy; me</footer></body></html>"""
 
 
 def test_main_text(spark):
@@ -487,7 +487,8 @@ def test_registered_queries(spark):
 
     assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    for t in ("pages", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in ORACLES.items():
         df = QUERIES[name](spark, SF)
         cols = sorted(df.columns)
