@@ -79,10 +79,15 @@ def sweep(images: DataFrame, thresholds: list[float] = THRESHOLDS, classes: list
     )
 
 
-def average_precision(hits: DataFrame, truths: int, confidence: str = "confidence", hit: str = "tp") -> DataFrame:
-    """Interpolated average precision of ranked predictions of one class: hits has confidence and tp (0 or 1)."""
-    ordered = Window.orderBy(F.col(confidence).desc(), F.col(hit).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    curve = hits.select(confidence, hit, F.sum(hit).over(ordered).alias("tp_sum"), F.count(F.lit(1)).over(ordered).alias("n"))
-    envelope = Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    p = F.max(F.col("tp_sum") / F.col("n")).over(envelope)
-    return curve.withColumn("p", p).agg(F.round(F.coalesce(F.sum(F.col("p") * F.col(hit)) / F.lit(max(1, truths)), F.lit(0.0)), 6).alias("average_precision"))
+def average_precision(hits: DataFrame, truths: DataFrame, group: str = "class_name", confidence: str = "confidence", hit: str = "tp") -> DataFrame:
+    """Interpolated average precision of each group: hits has group, confidence and tp (0 or 1), truths group and n.
+
+    Equal confidences are one step of the curve, so hits are summed by group and confidence
+    before they are ranked, and a group is no more rows than it has distinct confidences.
+    """
+    steps = hits.groupBy(group, confidence).agg(F.sum(hit).alias("tp"), F.count(F.lit(1)).alias("n"))
+    down = Window.partitionBy(group).orderBy(F.col(confidence).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    curve = steps.select(group, confidence, "tp", (F.sum("tp").over(down) / F.sum("n").over(down)).alias("p"))
+    up = Window.partitionBy(group).orderBy(F.col(confidence)).rowsBetween(Window.unboundedPreceding, 0)
+    area = curve.withColumn("best", F.max("p").over(up)).groupBy(group).agg(F.sum(F.col("best") * F.col("tp")).alias("area"))
+    return truths.join(area, group, "left").select(group, F.round(F.coalesce(F.try_divide("area", "n"), F.lit(0.0)), 6).alias("average_precision"))

@@ -387,3 +387,61 @@ def dedup_greedy(spark, sf_dir):
 def connected_components(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").where("l_quantity < 3 and l_discount = 0.1 and l_linenumber = 7")
     return graph.components(e.select((F.pmod("l_suppkey", F.lit(50)) * 20).alias("a"), (F.pmod("l_partkey", F.lit(40)) * 20 + 1).alias("b")))
+
+
+# ---- metrics, small conversions, streams ----
+
+
+@query(f"""WITH h AS (SELECT {_name('l_partkey % 7')} AS class_name, round(l_discount * 100)::INT / 100 AS confidence, (l_quantity > 20)::INT AS tp FROM lineitem),
+  g AS (SELECT class_name, confidence, sum(tp) AS tp, count(*) AS n FROM h GROUP BY ALL),
+  c AS (SELECT *, sum(tp) OVER (PARTITION BY class_name ORDER BY confidence DESC) / sum(n) OVER (PARTITION BY class_name ORDER BY confidence DESC) AS p FROM g),
+  b AS (SELECT *, max(p) OVER (PARTITION BY class_name ORDER BY confidence) AS best FROM c)
+SELECT class_name, round(sum(best * tp) / (2 * sum(tp)), 6) AS average_precision FROM b GROUP BY 1""")
+def average_precision(spark, sf_dir):
+    """Average precision where half of the truths are found."""
+    li = table(spark, sf_dir, "lineitem")
+    hits = li.select(naming.class_name(F.pmod("l_partkey", F.lit(7)), CLASS_NAMES).alias("class_name"), (F.round(F.col("l_discount") * 100) / 100).alias("confidence"), (F.col("l_quantity") > 20).cast("int").alias("tp"))
+    return matching.average_precision(hits, hits.groupBy("class_name").agg((2 * F.sum("tp")).alias("n")))
+
+
+@query("SELECT s_nationkey, round(coalesce(2 * avg(p) * avg(r) / nullif(avg(p) + avg(r), 0), 0), 9) AS f1 FROM (SELECT s_nationkey, (s_suppkey % 10) / 10 AS p, (s_suppkey % 7) / 7 AS r FROM supplier) GROUP BY 1")
+def f1_of_means(spark, sf_dir):
+    """F1 of mean precision and mean recall."""
+    means = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.avg(F.col("s_suppkey") % 10 / 10).alias("p"), F.avg(F.col("s_suppkey") % 7 / 7).alias("r"))
+    return means.select("s_nationkey", F.round(rollup.harmonic_f1(F.col("p"), F.col("r")), 9).alias("f1"))
+
+
+@query("SELECT round(avg(abs(l_discount - l_tax)), 9) AS mean_abs, max(abs(l_discount - l_tax)) AS max_abs, round(count(*) FILTER (l_discount <> l_tax) / count(*), 9) AS changed FROM lineitem")
+def difference_statistics(spark, sf_dir):
+    out = rollup.difference_statistics(table(spark, sf_dir, "lineitem"), "l_discount", "l_tax")
+    return out.select(F.round("mean_abs", 9).alias("mean_abs"), "max_abs", F.round("changed", 9).alias("changed"))
+
+
+@query("SELECT p_partkey, 42 * 1000003 + p_partkey % 7 * 100000 + p_size AS seed FROM part")
+def image_seeds(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", naming.image_seed(42, F.pmod("p_partkey", F.lit(7)), F.col("p_size")).alias("seed"))
+
+
+@query("SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_partkey % 7)), ',') AS class_ids, len(list(DISTINCT l_partkey % 7)) AS n FROM lineitem GROUP BY 1")
+def class_id_lists(spark, sf_dir):
+    """Class ids as the comma list of a manifest, read back for their number."""
+    ids = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.pmod("l_partkey", F.lit(7)))).alias("ids"))
+    return ids.select("l_orderkey", naming.ints_to_text(F.col("ids")).alias("class_ids")).withColumn("n", F.size(naming.text_to_ints(F.col("class_ids"))).cast("bigint"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS total_inspections, count(*) FILTER (event_type <> 'error') AS passes, count(*) FILTER (event_type = 'error') AS fails, round(sum(value), 4) AS total_inference_ms FROM events GROUP BY 1")
+def streaming_hourly(spark, sf_dir):
+    """The hourly rollup as a stream over everything there is, its result kept in the shared folder."""
+    import uuid
+
+    from ..storage import checkpoint_dir
+    from ..streaming import hourly
+
+    at = f"{checkpoint_dir(spark)}/hourly-{uuid.uuid4().hex}"
+    path = f"{sf_dir}/events.parquet*"  # as a pattern it may be one file or a folder
+    events = hourly.read(spark, path, table(spark, sf_dir, "events").schema).select(F.col("ts").alias("timestamp"), F.when(F.col("event_type") == "error", "FAIL").otherwise("PASS").alias("overall_result"), F.col("value").alias("inference_ms"))
+    rolled = hourly.hourly_rollup(events)
+    writer = rolled.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out"))
+    writer.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(rolled.schema).parquet(f"{at}/out")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "total_inspections", "passes", "fails", F.round("total_inference_ms", 4).alias("total_inference_ms"))
