@@ -445,3 +445,72 @@ def streaming_hourly(spark, sf_dir):
     writer.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema(rolled.schema).parquet(f"{at}/out")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "total_inspections", "passes", "fails", F.round("total_inference_ms", 4).alias("total_inference_ms"))
+
+
+# ---- whole reports ----
+
+
+@query("""WITH b AS (SELECT l_orderkey, min(l_partkey % 960) AS x1, min(l_suppkey % 640) AS y1, max(l_partkey % 960) + 1 AS x2, max(l_suppkey % 640) + 1 AS y2 FROM lineitem GROUP BY 1 HAVING count(*) >= 3)
+SELECT l_orderkey, round((x1 + x2) / 2 / 960, 9) AS cx, round((y1 + y2) / 2 / 640, 9) AS cy, round((x2 - x1) / 960, 9) AS w, round((y2 - y1) / 640, 9) AS h FROM b""")
+def mask_boxes(spark, sf_dir):
+    """Boxes around the pixels of masks of three pixels at least."""
+    px = table(spark, sf_dir, "lineitem").select("l_orderkey", F.pmod("l_partkey", F.lit(960)).alias("x"), F.pmod("l_suppkey", F.lit(640)).alias("y"))
+    b = px.groupBy("l_orderkey").agg(*geometry.mask_bounds(), F.count(F.lit(1)).alias("n")).where("n >= 3").select("l_orderkey", geometry.bounds_to_box(960, 640).alias("b"))
+    return b.select("l_orderkey", *(F.round(f"b.{c}", 9).alias(c) for c in ("cx", "cy", "w", "h")))
+
+
+@query("""WITH c AS (SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'timeout' END AS error, ['image/jpeg', 'image/png', 'text/html', 'image/webp', 'image/gif'][1 + page_id % 5] AS mime, page_id % 7 <> 0 AS decoded, length(html) AS width, length(url) * 4 AS height FROM pages)
+SELECT page_id, CASE WHEN error IS NOT NULL THEN 'fetch_error' WHEN mime NOT IN ('image/jpeg', 'image/jpg', 'image/png', 'image/webp', 'image/bmp', 'image/tiff') THEN 'rejected_mime' WHEN NOT decoded THEN 'corrupt' WHEN least(width, height) < 96 THEN 'too_small' ELSE 'ok' END AS status FROM c""")
+def collection_rules(spark, sf_dir):
+    """The stateless rules of collecting, with content types in several spellings."""
+    kinds = F.array(*map(F.lit, ["image/jpeg", "IMAGE/PNG; q=1", "text/html", "image/webp;x", "image/gif"]))
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.when(F.col("page_id") % 13 == 0, "timeout").alias("error"),
+        F.element_at(kinds, (F.pmod("page_id", F.lit(5)) + 1).cast("int")).alias("mime"),
+        (F.col("page_id") % 7 != 0).alias("decoded"),
+        F.char_length("html").alias("width"),
+        (F.char_length("url") * 4).alias("height"),
+    )
+    return quality.collected(pages).select("page_id", "status")
+
+
+@query(f"""WITH {_BOXES} SELECT 'folder' AS section, source AS name, count(*) AS n FROM documents GROUP BY 2
+UNION ALL SELECT 'class', name, (SELECT count(*) FROM boxes WHERE coalesce({_NAMES}[class_id + 1], class_id::VARCHAR) = name) FROM (SELECT unnest({_NAMES}) AS name UNION SELECT DISTINCT coalesce({_NAMES}[class_id + 1], class_id::VARCHAR) FROM boxes)
+UNION ALL SELECT 'split', ['train', 'val', 'test'][1 + doc_id % 3], count(*) FROM documents GROUP BY 2""".replace("[class_id + 1]", "[CASE WHEN class_id BETWEEN 0 AND 6 THEN class_id + 1 ELSE 99 END]"))
+def dataset_statistics(spark, sf_dir):
+    """Images per folder, annotations per class (also of unknown ids) and rows per split."""
+    from .inspect import dataset_statistics as report
+
+    docs = table(spark, sf_dir, "documents")
+    folders = docs.groupBy(F.col("source").alias("parent")).agg(F.count(F.lit(1)).alias("n_images"))
+    manifest = docs.select(F.element_at(F.array(*map(F.lit, SPLITS)), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")).alias("split"))
+    return report(folders, lenses.label_boxes(spark, sf_dir), manifest)
+
+
+_VALIDATION = f"""WITH {_BOXES}, {_FILES},
+  images AS (SELECT id, split, 'd' || id AS stem, 'd' || id || '.png' AS filename, split || '/d' || id || '.png' AS name, sha256, dhash FROM files),
+  marked AS (SELECT doc_id, ['train', 'val', 'test'][1 + doc_id % 3] AS split, 'd' || doc_id AS stem, quality = 1 AS valid FROM labels UNION ALL SELECT s_suppkey, 'val', 's' || s_suppkey, true FROM supplier WHERE s_suppkey < 5),
+  sound AS (SELECT images.* FROM images SEMI JOIN (SELECT * FROM marked WHERE valid) m ON m.split = images.split AND m.stem = images.stem),
+  lab AS (SELECT * FROM boxes WHERE l_orderkey IN (SELECT id FROM sound)),
+  broken AS ({" UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{n}' AS rule FROM lab WHERE {c}" for n, c in _RULES.items())})
+SELECT 1 AS ordinal, 'label_without_image' AS rule, split, stem AS key, stem || '.txt has no image' AS message FROM marked WHERE stem NOT IN (SELECT stem FROM images)
+UNION ALL SELECT 2, 'image_without_label', split, stem, filename || ' has no label file' FROM images WHERE stem NOT IN (SELECT stem FROM marked)
+UNION ALL SELECT 3, 'label_unparsable', split, stem, 'label file cannot be parsed' FROM marked WHERE NOT valid AND stem IN (SELECT stem FROM images)
+UNION ALL SELECT 4, 'label_geometry', ['train', 'val', 'test'][1 + l_orderkey % 3], 'd' || l_orderkey, 'box ' || l_linenumber || ': ' || rule FROM broken
+UNION ALL SELECT 6, 'duplicate_sha256', '', substr(sha256, 1, 12), array_to_string(list_sort(list(name)), ', ') FROM sound GROUP BY sha256 HAVING count(*) > 1
+UNION ALL SELECT 7, 'near_duplicate_leakage', '', a.name, 'and ' || b.name || ' differ by ' || bit_count(xor(a.dhash, b.dhash)::BIT) || ' bits' FROM sound a JOIN sound b ON a.name < b.name AND a.split <> b.split AND bit_count(xor(a.dhash, b.dhash)::BIT) <= 6"""
+
+
+@query(_VALIDATION)
+def dataset_validation(spark, sf_dir):
+    """Every violation of a data set: documents as images, their labels as label files, line items as boxes."""
+    stem = F.concat(F.lit("d"), F.col("id").cast("string"))
+    images = lenses.files(spark, sf_dir).withColumn("stem", stem).withColumn("filename", F.concat("stem", F.lit(".png")))
+    split_of = F.element_at(F.array(*map(F.lit, SPLITS)), (F.pmod("k", F.lit(3)) + 1).cast("int"))
+    named = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("k"), (F.col("quality") == 1).alias("valid"))
+    marked = named.select(split_of.alias("split"), F.concat(F.lit("d"), F.col("k").cast("string")).alias("stem"), "valid")
+    extra = table(spark, sf_dir, "supplier").where("s_suppkey < 5").select(F.lit("val").alias("split"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("stem"), F.lit(True).alias("valid"))
+    rows = lenses.label_boxes(spark, sf_dir).withColumn("k", F.col("l_orderkey"))
+    boxes = rows.select(split_of.alias("split"), F.concat(F.lit("d"), F.col("k").cast("string")).alias("stem"), F.col("l_linenumber").alias("line_no"), "class_id", "cx", "cy", "w", "h")
+    return validation.validate(images, marked.union(extra), boxes)
