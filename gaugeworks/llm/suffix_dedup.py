@@ -313,9 +313,11 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     stretch = Written(routes.df.join(shared.df, "gram"), "stretches")
     routes.drop()
     shared.drop()
-    kinds = stretch.df.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("at"))
-    per_gram = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
-    classes = Written(kinds.join(per_gram, "gram").select("gram", "whole", "n", "kinds", "at.key", "at.place"), "classes")
+    kinds = Written(stretch.df.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("at")), "kinds")
+    per_gram = Written(kinds.df.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")), "kinds-per-gram")
+    classes = Written(kinds.df.join(per_gram.df, "gram").select("gram", "whole", "n", "kinds", "at.key", "at.place"), "classes")
+    kinds.drop()
+    per_gram.drop()
     more = F.col("place").bitwiseAND(F.lit(255)).cast("int")
     # equal stretches repeat in whole
     copies = classes.df.where("n > 1").select("gram", "whole", F.array(F.lit(0), more + 1).alias("ranges"))
