@@ -42,7 +42,7 @@ LENGTH = 400
 #: Bytes at an anchor; an anchor is chosen among the first LENGTH - GRAM + 1 positions of a window.
 GRAM = 200
 #: Bytes of one bucket of stretches, about (its arrays stay in a core's cache), and of one task.
-BUCKET_BYTES, TASK_BYTES = 400_000, 4_000_000
+BUCKET_BYTES, TASK_BYTES = 400_000, 8_000_000
 #: A gram with more different stretches than this is cut into ranges of RANGE offsets.
 HOT, RANGE = 2_000, 25
 #: Up to so many pieces of a route are compared in pairs before they are sorted.
