@@ -41,11 +41,12 @@ def text_buckets(text: Column) -> Column:
 
 
 def text_hashes(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys and dhash of each text: its words are counted in 72 cells that serve as the grid; one shuffle of counts."""
+    """keys and dhash of each text: its words are counted in 72 cells that serve as the grid; only counts are shuffled."""
     cells = texts.select(*keys, F.explode_outer(text_buckets(F.col(text))).alias("_b"))
-    counts = [F.count_if(F.col("_b") == i).alias(f"_{i}") for i in range(ROWS * COLUMNS)]
-    grid = cells.groupBy(*keys).agg(*counts)
-    return grid.select(*keys, packed_difference(F.array(*(F.col(f"_{i}") for i in range(ROWS * COLUMNS)))).alias("dhash"))
+    counts = cells.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    held = F.map_from_entries(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "_n"))))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(ROWS * COLUMNS - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0)))
+    return counts.groupBy(*keys).agg(held.alias("_m")).select(*keys, packed_difference(grid).alias("dhash"))
 
 
 def bands(h: Column, distance: int) -> Column:
