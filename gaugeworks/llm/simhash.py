@@ -13,8 +13,9 @@ again follows from a sample, but not the result: both ways find the same pairs.
 
 near_groups() serves a similarity bound instead of a distance of two bits. A Jaccard
 similarity of 0.8 is about 9 of 64 differing bits, which no segment of useful width
-survives, so there the fingerprint is WIDE x 64 bits, candidates meet under min-wise pairs
-of shingles, and the fingerprints' distance decides.
+survives, so there the fingerprint is WIDE x 64 bits and candidates meet under min-wise
+pairs of shingles. The fingerprints' distance only leaves out hopeless candidates; every
+link is verified on the two sets of shingles.
 
 Defined results: a null or empty text has no words and the fingerprint zero; a text of
 fewer words than a shingle is one shingle; a repeated or null id stays a row of its own;
@@ -47,7 +48,11 @@ SAMPLE = 64
 HOT = 16
 
 #: near_groups(): words of a fingerprint, pairs of least shingles, rounds of leaders, tolerance of the estimate in standard deviations.
-WIDE, PAIRS, ROUNDS, TOLERANCE = 8, 6, 6, 1.0
+WIDE, PAIRS, ROUNDS, TOLERANCE = 8, 6, 6, 4.0
+#: The distance says little about sets of fewer shingles, so these are always verified.
+FEW = 32
+#: Sets of shingles held while pairs are verified.
+HELD = 256
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE = (np.arange(8) * 256).astype(np.int64)
@@ -171,12 +176,26 @@ def most_bits(similarity: float) -> int:
     return math.floor(n * p + TOLERANCE * math.sqrt(n * p * (1 - p)))
 
 
+def _shingle_set(text: str | None, width: int) -> tuple[int, np.ndarray]:
+    """The node of a text, which is the digest of its set of shingles, and the set, sorted."""
+    h = np.unique(shingle_hashes(text, width))
+    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes(), SEED)).view(np.int64)), h
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets of shingles; two empty sets are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", *(f"f{i}" for i in range(WIDE)), "keys"]
+    names = ["doc_id", "node", "size", *(f"f{i}" for i in range(WIDE)), "keys"]
     for s in slices(batches):
-        prints, keys = np.zeros((s.num_rows, WIDE), np.uint64), []
+        prints, keys, nodes, sizes = np.zeros((s.num_rows, WIDE), np.uint64), [], [], []
         for i, t in enumerate(s.column(1).to_pylist()):
-            h = shingle_hashes(t, width)
+            node, h = _shingle_set(t, width)
+            nodes.append(node)
+            sizes.append(len(h))
             if not len(h):
                 keys.append([])
                 continue
@@ -184,43 +203,85 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
             prints[i] = [fingerprint(x) for x in each[:WIDE]]
             least = np.array([x.min() for x in each])
             keys.append(_mixed(least[:PAIRS] ^ (least[PAIRS:] << np.uint64(1)), 99).view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([s.column(0), *(pa.array(prints[:, k].view(np.int64)) for k in range(WIDE)), pa.array(keys, pa.list_(pa.int64()))], names=names)
+        cols = [s.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(prints[:, k].view(np.int64)) for k in range(WIDE)), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=names)
+
+
+def _node_texts(documents: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, text): one text of each of these nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([_shingle_set(t, width)[0] for t in s.column(0).to_pylist()], pa.int64()), s.column(0)], names=["node", "text"])
+
+    each = documents.select("text").mapInArrow(run, "node long, text string")
+    return each.groupBy("node").agg(F.first("text").alias("text")).join(nodes, "node", "left_semi")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets of shingles are as similar as that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def of(node: int, text: str | None) -> np.ndarray:
+            if node not in held:
+                if len(held) >= HELD:
+                    held.clear()
+                held[node] = _shingle_set(text, width)[1]
+            return held[node]
+
+        for s in slices(batches, "text_a"):
+            rows = zip(*(c.to_pylist() for c in s.columns), strict=True)
+            ok = [jaccard(of(a, x), of(b, y)) >= similarity for a, b, x, y in rows]
+            yield s.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def near_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """doc_id and component_id, the smallest id of the group of near-duplicates, for each row.
 
-    Rows with the same fingerprint are one node. Under each key the smallest node leads:
-    those near it are linked to it and leave, and the next round goes on with the rest,
-    so a group of n copies costs n comparisons. What is left after ROUNDS is compared in
-    pairs within its key, and only verified pairs come out of the join.
+    Rows with the same set of shingles are one node. Under each key the smallest node leads:
+    those verified to be near it are linked to it and leave, and the next round goes on with
+    the rest, so a group of n copies costs n comparisons. What is left after ROUNDS is
+    compared in pairs within its key.
     """
     prints = [f"f{i}" for i in range(WIDE)]
     kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + ", ".join(f"{f} long" for f in prints) + ", keys array<long>"
-    rows = Written(documents.select("doc_id", "text").mapInArrow(lambda b: _signatures(b, width), schema).withColumn("node", F.xxhash64(*prints)), "signatures")
-    nodes = rows.df.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(f).alias(f) for f in prints), F.first("keys").alias("keys"))
-    left = Written(nodes.select("node", *prints, F.explode("keys").alias("key")), "near-keys")
+    schema = f"doc_id {kind}, node long, size int, " + ", ".join(f"{f} long" for f in prints) + ", keys array<long>"
+    rows = Written(documents.select("doc_id", "text").mapInArrow(lambda b: _signatures(b, width), schema), "signatures")
+    nodes = rows.df.groupBy("node").agg(F.first("size").alias("size"), *(F.first(f).alias(f) for f in prints), F.first("keys").alias("keys"))
+    left = Written(nodes.select("node", "size", *prints, F.explode("keys").alias("key")), "near-keys")
     near = most_bits(similarity)
+    shared = left.df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    texts = Written(_node_texts(documents, left.df.join(shared, "key").select("node").distinct(), width), "near-texts")
 
     def close(a: str, b: str) -> Column:
-        return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in prints)) <= near
+        bits = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in prints))
+        small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
+        return (small / large >= similarity) & ((small < FEW) | (bits <= near))
 
     links = []
     for _ in range(ROUNDS):
         # written, so that the join below has two plain sides and a key with very many nodes can be split
-        leader = Written(left.df.groupBy("key").agg(F.min(F.struct("node", *prints)).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "l.*"), "near-leaders")
+        leader = Written(left.df.groupBy("key").agg(F.min(F.struct("node", "size", *prints)).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "l.*"), "near-leaders")
         joined = left.df.alias("m").join(leader.df.alias("l"), (F.col("m.key") == F.col("l.key")) & (F.col("m.node") != F.col("l.node")))
-        seen = Written(joined.select("m.*", F.col("l.node").alias("leader"), close("m", "l").alias("linked")), "near-seen")
-        links.append(seen.df.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b")))
+        seen = Written(joined.select("m.*", F.col("l.node").alias("leader"), close("m", "l").alias("close")), "near-seen")
+        pairs = Written(seen.df.where("close").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
+        found = Written(_verified(pairs.df, texts.df, similarity, width), "near-links")
+        links.append(found.df)
         left.drop()
         leader.drop()
-        left = Written(seen.df.where("not linked").drop("leader", "linked"), "near-keys")
+        pairs.drop()
+        left = Written(seen.df.join(found.df, (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b")), "left_anti").drop("leader", "close"), "near-keys")
         if not left.df.limit(1).count():
             break
     else:
         a, b = left.df.alias("a"), left.df.alias("b")
-        links.append(a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & close("a", "b")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+        last = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & close("a", "b")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+        links.append(_verified(written(last.distinct(), "near-pairs"), texts.df, similarity, width))
     roots = components(reduce(DataFrame.union, links))
     least = rows.df.groupBy("node").agg(F.min("doc_id").alias("least"))
     own = roots.join(least, "node")

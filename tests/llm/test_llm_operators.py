@@ -227,6 +227,37 @@ def test_near_groups_find_near_copies(spark, odd):
     assert simhash.deduplicated(odd.limit(0)).count() == 0
 
 
+def shingle_sets(text, width=5):
+    w = text.split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+
+def likeness(a, b):
+    a, b = shingle_sets(a), shingle_sets(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_groups_verify_each_link(spark):
+    rnd = random.Random(18)
+    rows, far, near = [], [], []
+    for i in range(120):
+        t = words(rnd, 304, 5000).split()
+        u = list(t)
+        for k in range(8 if i % 2 else 6):  # words far apart, each of which changes five shingles of 300
+            u[10 + 35 * k] = f"changed{k}"
+        rows += [(i, " ".join(t)), (1000 + i, " ".join(u))]
+        (far if i % 2 else near).append((i, 1000 + i))
+    line = words(rnd, 6, 5000)
+    for i in range(4):  # a line that is repeated says nothing about the rest
+        rows.append((5000 + i, f"{' '.join([line] * 40)} {words(rnd, 60, 5000)}"))
+    text = dict(rows)
+    assert all(likeness(text[a], text[b]) < 0.8 for a, b in far) and all(likeness(text[a], text[b]) > 0.8 for a, b in near)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[a] != got[b] for a, b in far)
+    assert sum(got[a] == got[b] for a, b in near) >= 0.95 * len(near)
+    assert all(got[5000 + i] == 5000 + i for i in range(4))
+
+
 # ---------------------------------------------------------------- 4
 
 
