@@ -246,7 +246,9 @@ def near_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5) -
     Rows with the same set of shingles are one node. Under each key the smallest node leads:
     those verified to be near it are linked to it and leave, and the next round goes on with
     the rest, so a group of n copies costs n comparisons. What is left after ROUNDS is
-    compared in pairs within its key.
+    compared in pairs within its key, and those that left with a leader are compared with
+    those that stayed, except where both are connected already. So any two nodes of a key
+    that are similar enough end in one group.
     """
     prints = [f"f{i}" for i in range(WIDE)]
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -263,7 +265,7 @@ def near_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5) -
         small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
         return (small / large >= similarity) & ((small < FEW) | (bits <= near))
 
-    links = []
+    links, rounds = [], []
     for _ in range(ROUNDS):
         # written, so that the join below has two plain sides and a key with very many nodes can be split
         leader = Written(left.df.groupBy("key").agg(F.min(F.struct("node", "size", *prints)).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "l.*"), "near-leaders")
@@ -272,16 +274,29 @@ def near_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5) -
         pairs = Written(seen.df.where("close").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
         found = Written(_verified(pairs.df, texts.df, similarity, width), "near-links")
         links.append(found.df)
-        left.drop()
+        if not rounds:  # what stayed in a round is read again below
+            left.drop()
         leader.drop()
         pairs.drop()
-        left = Written(seen.df.join(found.df, (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b")), "left_anti").drop("leader", "close"), "near-keys")
+        of = (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b"))
+        left = Written(seen.df.join(found.df, of, "left_anti").drop("leader", "close"), "near-keys")
+        gone = Written(seen.df.join(found.df, of, "left_semi").drop("leader", "close"), "near-gone")
+        seen.drop()
+        rounds.append((gone.df, left.df))
         if not left.df.limit(1).count():
             break
     else:
-        a, b = left.df.alias("a"), left.df.alias("b")
-        last = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & close("a", "b")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-        links.append(_verified(written(last.distinct(), "near-pairs"), texts.df, similarity, width))
+        rounds.append((left.df, left.df))
+    # compared once all rounds are known, so that nodes connected under another key are left out
+    known = Written(components(reduce(DataFrame.union, links)), "near-roots")
+
+    def rooted(side: int) -> DataFrame:
+        rows = reduce(DataFrame.union, (r[side].withColumn("round", F.lit(k)) for k, r in enumerate(rounds)))
+        return written(rows.join(known.df, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-sides").alias("ab"[side])
+
+    ends = F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")
+    rest = rooted(0).join(rooted(1), (F.col("a.key") == F.col("b.key")) & (F.col("a.round") == F.col("b.round")) & (F.col("a.root") != F.col("b.root")) & ((F.col("a.round") < ROUNDS) | (F.col("a.node") < F.col("b.node"))) & close("a", "b")).select(*ends)
+    links.append(_verified(written(rest.distinct(), "near-pairs"), texts.df, similarity, width))
     roots = components(reduce(DataFrame.union, links))
     least = rows.df.groupBy("node").agg(F.min("doc_id").alias("least"))
     own = roots.join(least, "node")

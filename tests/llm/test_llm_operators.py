@@ -9,6 +9,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -258,6 +259,28 @@ def test_near_groups_verify_each_link(spark):
     assert all(got[5000 + i] == 5000 + i for i in range(4))
 
 
+def test_near_groups_connect_every_similar_pair_of_a_key(spark):
+    rnd, rows = random.Random(28), []
+    for family in range(40):  # chains of edited copies: neighbours are similar, the others are not
+        t = words(rnd, 304, 5000).split()
+        for i in range(6):
+            rows.append((family * 10 + i, " ".join(t)))
+            for _ in range(5):
+                t[rnd.randrange(304)] = f"edit{rnd.randrange(10**9)}"
+    keys = {i: set() for i, _ in rows}
+    for b in simhash._signatures(iter([pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows])]), 5):
+        for i, k in zip(b.column("doc_id").to_pylist(), b.column("keys").to_pylist(), strict=True):
+            keys[i] = set(k)
+    root = {i: i for i, _ in rows}
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and keys[i] & keys[j] and likeness(a, b) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {x: low if r == high else r for x, r in root.items()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == root
+
+
 # ---------------------------------------------------------------- 4
 
 
