@@ -341,6 +341,38 @@ def test_decontamination_finds_what_brute_force_finds(spark, odd):
     assert decontaminate.clean(odd, bench.limit(0)).count() == len(ODD)
 
 
+@pytest.mark.parametrize("length", [1, 3, 5, 7, 8, 10, 14, 40, 100, 150, 200, 300])
+def test_verbatim_items_of_any_length_are_found(spark, length):
+    rnd = random.Random(length)
+    items = [(i, words(rnd, length, 3000) if length > 1 else f"only{i}") for i in range(20)]
+    rows = []
+    for d in range(80):
+        t = words(rnd, 400, 3000).split()
+        if d < 20:
+            at = rnd.randrange(400)
+            t[at:at] = items[d][1].split()
+        rows.append((d, " ".join(t)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(d, i) for d, t in rows for i, x in items if f" {x} " in f" {t} "}
+
+
+def test_changed_long_and_short_items_are_found(spark):
+    rnd = random.Random(19)
+    items = [(i, words(rnd, n, 3000)) for i, n in enumerate([10, 12, 14, 200, 250, 300] * 5)]
+    rows = []
+    for i, item in items:
+        w = item.split()
+        for k in range(len(w) // 10):
+            w[10 * k + 4] = "changed"
+        t = words(rnd, 400, 3000).split()
+        t[150:150] = w
+        rows.append((i, " ".join(t)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert len(got & {(i, i) for i, _ in items}) >= 0.95 * len(items)
+
+
 def test_common_subsequence():
     vocabulary = {bytes([97 + i]): i for i in range(26)}
     rnd = random.Random(1)
