@@ -389,6 +389,12 @@ def connected_components(spark, sf_dir):
     return graph.components(e.select((F.pmod("l_suppkey", F.lit(50)) * 20).alias("a"), (F.pmod("l_partkey", F.lit(40)) * 20 + 1).alias("b")))
 
 
+@query(None)  # recursive SQL over every row is too slow; the tests compare with union-find
+def connected_components_whole(spark, sf_dir):
+    """Orders (even nodes) and parts (odd nodes) connected by all line items."""
+    return graph.components(table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")))
+
+
 # ---- metrics, small conversions, streams ----
 
 
