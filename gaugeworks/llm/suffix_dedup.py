@@ -288,21 +288,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = (text or "").encode("utf-8", "replace")
             n = len(data)
             if not found:
-                out.append((n, 0, 0, hashlib.sha256(data).hexdigest()))
+                out.append((n, 0, 0, hashlib.sha256(data).hexdigest(), text or ""))
                 continue
             edges = np.zeros(n + 1, np.int64)
             pairs = np.array([(a + x, a + y - 1 + LENGTH) for f in found for a in [f["start"]] for x, y in zip(f["ranges"][::2], f["ranges"][1::2], strict=True)])
             np.add.at(edges, pairs[:, 0], 1)
             np.add.at(edges, pairs[:, 1], -1)
             gone = np.cumsum(edges[:-1]) > 0
-            kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            out.append((n, n - len(kept), len(_ranges(gone)) // 2, hashlib.sha256(kept).hexdigest()))
+            runs = _ranges(~gone)
+            kept = [data[a:b] for a, b in zip(runs[::2], runs[1::2], strict=True)]
+            whole = b"".join(kept)
+            out.append((n, n - len(whole), len(_ranges(gone)) // 2, hashlib.sha256(whole).hexdigest(), "".join(x.decode("utf-8", "ignore") for x in kept)))
         cols = list(zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the remaining text for each row.
+
+    A code point of which a byte was removed isn't in the text; the digest is that of all remaining bytes.
+    """
     spark = documents.sparkSession
     keyed = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
@@ -336,7 +341,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
         "removals",
     )
     return _joined(keyed, per_doc.df, "left").select("doc_id", "text", "found").mapInArrow(
-        _cut, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        _cut, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
     )
 
 
@@ -353,6 +358,9 @@ st AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY
 sp AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM st) GROUP BY doc_id, g),
 cut AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS removed, count(*) AS spans FROM sp GROUP BY doc_id)
 SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
-  sha256(unhex(coalesce(array_to_string(list_transform(range(spans + 1), lambda j: substr(h, (2 * coalesce(b[j], 0) + 1)::BIGINT, (2 * (coalesce(a[j + 1], n) - coalesce(b[j], 0)))::BIGINT)), ''), h))) AS kept_sha256
+  sha256(unhex(coalesce(array_to_string(list_transform(range(spans + 1), lambda j: substr(h, (2 * coalesce(b[j], 0) + 1)::BIGINT, (2 * (coalesce(a[j + 1], n) - coalesce(b[j], 0)))::BIGINT)), ''), h))) AS kept_sha256,
+  decode(unhex(coalesce(array_to_string(list_transform(range(spans + 1), lambda j: regexp_replace(regexp_replace(
+    substr(h, (2 * coalesce(b[j], 0) + 1)::BIGINT, (2 * (coalesce(a[j + 1], n) - coalesce(b[j], 0)))::BIGINT),
+    '^([89AB][0-9A-F])+', ''), '([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-9A-F]([89AB][0-9A-F]){0,2})$', '')), ''), h))) AS text
 FROM d LEFT JOIN cut USING (doc_id)
 """

@@ -7,6 +7,7 @@ import hashlib
 import math
 import os
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -132,7 +133,9 @@ def brute_removal(texts, length):
                 gone[i : i + length] = True
         gone = gone[:-1]
         kept = bytes(b for b, g in zip(d, gone, strict=True) if not g)
-        out.append((len(d), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        runs = "".join("x" if g else "." for g in gone)
+        left = "".join(d[m.start() : m.end()].decode("utf-8", "ignore") for m in re.finditer(r"\.+", runs))
+        out.append((len(d), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), left))
     return out
 
 
@@ -155,6 +158,7 @@ def test_removal_equals_brute_force(spark, odd, monkeypatch, hot):
     base = [words(rnd, rnd.randrange(10, 250)) for _ in range(25)]
     texts = base + [base[0], base[1], "q" + base[2], base[3][:700] + "!!" + base[3][700:], base[4] * 2, "ab" * 900, "z" * 1200, None, ""]
     texts += [words(rnd, 40) + base[5][100:620] + words(rnd, 40) for _ in range(6)]
+    texts += [f"{a}{'ö' * 210}{b}" for a, b in (("é", "é€"), ("è", "è🙂"), ("\u0169", "\u20ad"))]  # repeats that begin and end inside a character
     rows = list(enumerate(texts)) + [(0, texts[0])]
     got = suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute_removal([t for _, t in rows], suffix_dedup.LENGTH)
