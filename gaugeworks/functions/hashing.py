@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,35 +30,56 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def packed_difference(grid: Column) -> Column:
+def packed_difference(cells: list[Column]) -> Column:
     """72 row-major cells to 64 bits, the first comparison in the highest bit: set where the right cell is larger."""
     at = [r * COLUMNS + c for r in range(ROWS) for c in range(COLUMNS - 1)]
-    bits = F.transform(F.array(*map(F.lit, at)), lambda i: F.when(F.get(grid, i + 1) > F.get(grid, i), F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, bit: F.call_function("shiftleft", acc, F.lit(1)).bitwiseOR(bit))
+    bits = (F.when(cells[i + 1] > cells[i], F.lit((1 << (63 - k)) - ((1 << 64) if k == 0 else 0)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k, i in enumerate(at))
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
 
+def word_cell(word: Column) -> Column:
+    """The cell of a word, by the first hexadecimal digits of its md5."""
+    return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint"), F.lit(ROWS * COLUMNS)).cast("int")
 
-def text_buckets(text: Column) -> Column:
-    """The cell of every word of a text, by the first hexadecimal digits of its md5."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(ROWS * COLUMNS)).cast("int"))
 
+def text_hashes(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key (unique) and dhash of each text: its words are counted in 72 cells that serve as the grid.
 
-def text_hashes(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys and dhash of each text: its words are counted in 72 cells that serve as the grid; only counts are shuffled."""
-    cells = texts.select(*keys, F.explode_outer(text_buckets(F.col(text))).alias("_b"))
-    counts = cells.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    held = F.map_from_entries(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "_n"))))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(ROWS * COLUMNS - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0)))
-    return counts.groupBy(*keys).agg(held.alias("_m")).select(*keys, packed_difference(grid).alias("dhash"))
+    Words are exploded and hashed in compiled code; a row is counted up where it is read, so
+    only its 72 counts are shuffled.
+    """
+    words = texts.select(key, F.explode_outer(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+")).alias("_w"))
+    cells = words.select(key, F.when(F.col("_w") != "", word_cell(F.col("_w"))).alias("_b"))
+    n = [f"_{i}" for i in range(ROWS * COLUMNS)]
+    counts = cells.groupBy(key).agg(*(F.count_if(F.col("_b") == i).alias(c) for i, c in enumerate(n)))
+    return counts.select(key, packed_difference([F.col(c) for c in n]).alias("dhash"))
 
 
-def bands(h: Column, distance: int) -> Column:
-    """distance + 1 bands of the 64 bits: two hashes within the distance share one whole band."""
-    n = distance + 1
+def segments(h: Column, distance: int, clean: int = 3) -> list[Column]:
+    """distance + clean segments of the 64 bits: two hashes within the distance agree on `clean` of them at least."""
+    n = distance + clean
     edges = [64 * i // n for i in range(n + 1)]
+    return [F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("bigint")) for low, high in zip(edges, edges[1:], strict=False)]
+
+
+def segment_keys(h: Column, distance: int, clean: int = 3) -> Column:
+    """Every choice of `clean` segments as struct(mask, key): the segments chosen and their bits in one number."""
+    parts, n = segments(h, distance, clean), distance + clean
+    width = -(-64 // n)
+    chosen = combinations(range(n), clean)
     return F.array(
         *(
-            F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1 if high - low < 64 else -1).cast("bigint")).alias("bits"))
-            for i, (low, high) in enumerate(zip(edges, edges[1:], strict=False))
+            F.struct(F.lit(sum(1 << i for i in c)).alias("mask"), reduce(lambda a, b: F.call_function("shiftleft", a, F.lit(width)).bitwiseOR(b), (parts[i] for i in c)).alias("key"))
+            for c in chosen
         )
     )
+
+
+def first_key(x: Column, distance: int, clean: int = 3) -> Column:
+    """The mask of the first key that two hashes with these differing bits share."""
+    z = reduce(lambda a, b: a.bitwiseOR(b), (F.when(s == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, s in enumerate(segments(x, distance, clean))))
+    out, left = F.lit(0), z
+    for _ in range(clean):
+        one = left.bitwiseAND(-left)
+        out, left = out.bitwiseOR(one), left.bitwiseXOR(one)
+    return out

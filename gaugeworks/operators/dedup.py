@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.hashing import bands, hamming
+from ..functions.hashing import first_key, segment_keys
 from ..storage import Written
+from .ordered import ranked
 
 NEAR_BITS = 6
 
@@ -24,41 +24,66 @@ def first_of_digest(files: DataFrame, order: str, sha: str = "sha256") -> DataFr
     return files.join(first, sha).withColumn("is_first", F.col(order) == F.col("_first")).drop("_first")
 
 
-def near_pairs(hashes: DataFrame, distance: int = NEAR_BITS, key: str = "id", h: str = "dhash") -> DataFrame:
-    """(a, b, distance) with a < b of all rows within the distance.
+def near_classes(hashes: DataFrame, key: str = "id", h: str = "dhash") -> DataFrame:
+    """h, representative (the smallest key) and n_members of each hash: copies are one class from here on."""
+    return hashes.where(F.col(h).isNotNull()).groupBy(F.col(h).alias("h")).agg(F.min(key).alias("representative"), F.count(F.lit(1)).alias("n_members"))
 
-    Equal hashes are one node of the join, so groups of copies are not expanded there;
-    the band join emits each pair of hashes at the first band they share and verifies
-    the whole distance in the join. The pairs of keys are expanded from the hash pairs at last.
-    """
-    linked = hash_links(hashes.where(F.col(h).isNotNull()).select(F.col(h).alias("h")).distinct(), distance)
-    own = hashes.where(F.col(h).isNotNull()).select(F.col(key).alias("k"), F.col(h).alias("h"))
-    other = linked.select(F.col("a").alias("h"), F.col("b").alias("g"), "distance").union(linked.select(F.col("b").alias("h"), F.col("a").alias("g"), "distance"))
-    across = own.join(other, "h").join(own.select(F.col("k").alias("k2"), F.col("h").alias("g")), "g").where("k < k2")
-    same = own.alias("x").join(own.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.k") < F.col("y.k")))
-    return across.select(F.col("k").alias("a"), F.col("k2").alias("b"), "distance").union(same.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.lit(0).alias("distance")))
+
+def near_pairs(hashes: DataFrame, distance: int = NEAR_BITS, key: str = "id", h: str = "dhash") -> DataFrame:
+    """(a, b, distance, n_a, n_b) with a < b: the classes of equal hashes within the distance, by their representatives and sizes."""
+    own = Written(near_classes(hashes, key, h), "near-classes").df
+    linked = hash_links(own.select("h"), distance)
+    named = lambda end: own.select(F.col("h").alias(f"h{end}"), F.col("representative").alias(f"r{end}"), F.col("n_members").alias(f"m{end}"))
+    both = linked.select(F.col("a").alias("h1"), F.col("b").alias("h2"), "distance").join(named(1), "h1").join(named(2), "h2")
+    up = F.col("r1") < F.col("r2")
+    pick = lambda x, y: F.when(up, F.col(x)).otherwise(F.col(y))
+    return both.select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b"), "distance", pick("m1", "m2").alias("n_a"), pick("m2", "m1").alias("n_b"))
+
+
+def near_members(hashes: DataFrame, distance: int = NEAR_BITS, key: str = "id", h: str = "dhash") -> DataFrame:
+    """A row for each row: key, its class's representative, and n_links: how many other rows are within the distance."""
+    pairs = Written(near_pairs(hashes, distance, key, h), "near-pairs").df
+    ends = pairs.select(F.col("a").alias("representative"), F.col("n_b").alias("n")).union(pairs.select("b", "n_a"))
+    linked = ends.groupBy("representative").agg(F.sum("n").alias("n"))
+    classes = near_classes(hashes, key, h).join(linked, "representative", "left")
+    sized = Written(classes.select(F.col("h").alias(h), "representative", (F.col("n_members") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "near-sizes").df
+    rows = hashes.select(key, h).join(sized, h, "left")
+    return rows.select(key, F.coalesce("representative", key).alias("representative"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def hash_links(distinct: DataFrame, distance: int = NEAR_BITS) -> DataFrame:
-    """(a, b, distance) with a < b of distinct hashes (column h) within the distance, by a banded equality join."""
-    banded = distinct.select("h", F.explode(bands(F.col("h"), distance)).alias("x")).select("h", "x.band", "x.bits")
-    a, b = banded.alias("a"), banded.alias("b")
+    """(a, b, distance) with a < b of distinct hashes (column h) within the distance.
+
+    An equality join on every choice of three of distance + 3 segments (84 keys of about 21
+    bits for 6 differing bits); a pair is emitted at the first key it shares, and the whole
+    distance is verified in the join.
+    """
+    keyed = distinct.select("h", F.explode(segment_keys(F.col("h"), distance)).alias("x")).select("h", "x.mask", "x.key")
+    a, b = keyed.alias("a"), keyed.alias("b")
     ha, hb = F.col("a.h"), F.col("b.h")
-    first = F.array_min(F.transform(F.filter(F.arrays_zip(bands(ha, distance).alias("p"), bands(hb, distance).alias("q")), lambda z: z["p"]["bits"] == z["q"]["bits"]), lambda z: z["p"]["band"]))
+    x = ha.bitwiseXOR(hb)
     return a.join(
-        b,
-        (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (ha < hb) & (hamming(ha, hb) <= distance) & (F.col("a.band") == first),
-    ).select(ha.alias("a"), hb.alias("b"), hamming(ha, hb).alias("distance"))
+        b, (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key")) & (ha < hb) & (F.bit_count(x) <= distance) & (F.col("a.mask") == first_key(x, distance))
+    ).select(ha.alias("a"), hb.alias("b"), F.bit_count(x).cast("int").alias("distance"))
 
 
 def cross_split_leaks(files: DataFrame, distance: int = NEAR_BITS, key: str = "id", h: str = "dhash", split: str = "split") -> DataFrame:
-    """Near pairs whose members are in different splits."""
-    where = files.select(F.col(key).alias("_k"), F.col(split).alias("_s"))
-    pairs = near_pairs(files, distance, key, h)
-    return (
-        pairs.join(where.select(F.col("_k").alias("a"), F.col("_s").alias("split_a")), "a")
-        .join(where.select(F.col("_k").alias("b"), F.col("_s").alias("split_b")), "b")
-        .where("split_a <> split_b")
+    """(a, b, distance, split_a, split_b, n_a, n_b), a < b: hashes within the distance in different splits.
+
+    The rows of one hash in one split are a class, named by its smallest key; a leak is a
+    pair of classes, so copies are counted but never expanded into pairs.
+    """
+    spread = files.where(F.col(h).isNotNull()).groupBy(F.col(h).alias("h"), F.col(split).alias("s")).agg(F.min(key).alias("r"), F.count(F.lit(1)).alias("n"))
+    own = Written(spread, "split-classes").df
+    linked = hash_links(own.select("h").distinct(), distance)
+    same = own.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("h").alias("a"), F.col("h").alias("b"), F.lit(0).alias("distance"))
+    x, y = own.alias("x"), own.alias("y")
+    met = linked.union(same).alias("l").join(x, F.col("l.a") == F.col("x.h")).join(y, (F.col("l.b") == F.col("y.h")) & (F.col("x.s") != F.col("y.s")))
+    up = F.col("x.r") < F.col("y.r")
+    pick = lambda c, d: F.when(up, F.col(c)).otherwise(F.col(d))
+    out = met.where((F.col("l.a") != F.col("l.b")) | up)
+    return out.select(
+        pick("x.r", "y.r").alias("a"), pick("y.r", "x.r").alias("b"), "distance", pick("x.s", "y.s").alias("split_a"), pick("y.s", "x.s").alias("split_b"), pick("x.n", "y.n").alias("n_a"), pick("y.n", "x.n").alias("n_b")
     )
 
 
@@ -71,65 +96,63 @@ def greedy(files: DataFrame, order: str = "id", sha: str = "sha256", h: str = "d
     earlier run kept; they come before all others.
 
     The rule is the lexicographically first maximal independent set of the graph of equal
-    digests and near hashes, so it is solved in rounds: a row is kept once all earlier
-    neighbours are dropped, and dropped once an earlier one is kept. Rows that agree in
-    digest and hash are one node (the earliest), which later copies follow.
+    digests and near hashes, so it is solved in rounds: a row is kept once no earlier
+    neighbour is open, and dropped once one is kept. Rows that agree in digest and hash are
+    one node (the earliest), which later copies follow. Neighbours are known by class (hash
+    or digest), never as pairs of rows: a class tells its first open and first kept node.
     """
     rows = files.select(F.col(order).alias("id"), F.nullif(F.col(sha), F.lit("")).alias("sha"), F.col(h).alias("h"), F.col(status).alias("status"))
     if kept is not None:
         # an earlier run's rows stand first: their order is below every id
         least = files.agg(F.min(order)).first()[0] or 0
-        n = kept.select(F.col(sha).alias("sha"), F.col(h).alias("h")).distinct()
-        ranked = n.select((F.lit(least - 1) - F.row_number().over(Window.orderBy("sha", "h")).cast("bigint")).alias("id"), "sha", "h", F.lit("kept_before").alias("status"))
-        rows = ranked.union(rows)
+        n = kept.select(F.nullif(F.col(sha), F.lit("")).alias("sha"), F.col(h).alias("h")).distinct()
+        before = ranked(n, [F.col("sha"), F.col("h")], "_n").select((F.lit(least - 1) - F.col("_n")).alias("id"), "sha", "h", F.lit("kept_before").alias("status"))
+        rows = before.union(rows)
     rows = Written(rows, "dedup-rows")
     live = rows.df.where(F.col("status").isin("ok", "kept_before"))
     nodes = live.groupBy("sha", "h").agg(F.min("id").alias("id"), F.max(F.col("status") == "kept_before").alias("fixed"))
-    nodes = Written(nodes, "dedup-nodes")
-    # edges from the earlier to the later node, with what kind of match it would be
-    x, y = nodes.df.alias("x"), nodes.df.alias("y")
-    by_sha = x.join(y, (F.col("x.sha") == F.col("y.sha")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("src"), F.col("y.id").alias("dst"), F.lit(0).alias("kind"))
-    links = hash_links(nodes.df.where("h is not null").select("h").distinct(), distance)
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(nodes.df.where("h is not null").select(F.col("h").alias("a"), F.col("h").alias("b")).distinct())
-    near = (
-        nodes.df.select(F.col("id").alias("src"), F.col("h").alias("a"))
-        .join(both, "a")
-        .join(nodes.df.select(F.col("id").alias("dst"), F.col("h").alias("b")), "b")
-        .where("src < dst")
-        .select("src", "dst", F.lit(1).alias("kind"))
-    )
-    edges = Written(by_sha.union(near), "dedup-edges")
-    state = Written(nodes.df.select("id", F.when(F.col("fixed"), F.lit(1)).otherwise(F.lit(0)).alias("s")), "dedup-state")  # 0 open, 1 kept, -1 dropped
+    state = Written(nodes.select("id", "sha", "h", F.when(F.col("fixed"), F.lit(1)).otherwise(F.lit(0)).alias("s")), "dedup-state")  # 0 open, 1 kept, -1 dropped
+    links = hash_links(state.df.where("h is not null").select("h").distinct(), distance).select("a", "b")
+    links = Written(links.union(links.select("b", "a")), "dedup-links")
+
+    def told(by: str) -> DataFrame:
+        """The first open and the first kept node of each class."""
+        known = state.df.where(F.col(by).isNotNull() & (F.col("s") >= 0)).groupBy(by)
+        return known.agg(F.min(F.when(F.col("s") == 0, F.col("id"))).alias("open"), F.min(F.when(F.col("s") == 1, F.col("id"))).alias("kept"))
+
+    def around() -> DataFrame:
+        """The same of each hash and all hashes near it."""
+        own = Written(told("h"), "dedup-heads")
+        near = links.df.join(own.df, links.df["b"] == own.df["h"]).select(F.col("a").alias("h"), "open", "kept").union(own.df)
+        return near.groupBy("h").agg(F.min("open").alias("near_open"), F.min("kept").alias("near_kept"))
+
     while True:
-        seen = edges.df.join(state.df.select(F.col("id").alias("src"), F.col("s").alias("src_s")), "src").groupBy("dst").agg(F.max("src_s").alias("best"), F.min("src_s").alias("worst"))
-        step = state.df.join(seen, state.df["id"] == seen["dst"], "left").select(
-            "id", F.when(F.col("s") != 0, F.col("s")).when(F.col("best") == 1, F.lit(-1)).when(F.coalesce("best", F.lit(-1)) == -1, F.lit(1)).otherwise(F.lit(0)).alias("s")
-        )
-        after = Written(step, "dedup-state")
-        state.drop()
-        state = after
+        # written, so that the joins have plain sides and a hash or digest of very many nodes can be split
+        by_hash, by_sha = Written(around(), "dedup-near"), Written(told("sha").select("sha", F.col("open").alias("sha_open"), F.col("kept").alias("sha_kept")), "dedup-same")
+        seen = state.df.join(by_hash.df, "h", "left").join(by_sha.df, "sha", "left")
         if not state.df.where("s = 0").limit(1).count():
             break
-    winners = state.df.where("s = 1").select(F.col("id").alias("src"))
-    match = edges.df.join(winners, "src", "left_semi").groupBy("dst").agg(F.min(F.struct("kind", "src")).alias("m"))
-    fate = (
-        nodes.df.join(state.df, "id")
-        .join(match, nodes.df["id"] == match["dst"], "left")
-        .select("sha", "h", F.col("id").alias("node"), "s", "m.kind", "m.src")
-    )
+        first = (F.coalesce("near_open", "id") >= F.col("id")) & (F.coalesce("sha_open", "id") >= F.col("id"))
+        dropped = F.col("near_kept").isNotNull() | F.col("sha_kept").isNotNull()
+        step = Written(seen.select("id", "sha", "h", F.when(F.col("s") != 0, F.col("s")).when(dropped, F.lit(-1)).when(first, F.lit(1)).otherwise(F.lit(0)).alias("s")), "dedup-state")
+        for t in (state, by_hash, by_sha):
+            t.drop()
+        state = step
+    fate = Written(seen.select("sha", "h", F.col("id").alias("node"), "s", "near_kept", "sha_kept"), "dedup-fate").df
     j = live.alias("r").join(fate.alias("f"), F.col("r.sha").eqNullSafe(F.col("f.sha")) & F.col("r.h").eqNullSafe(F.col("f.h")))
     first = F.col("r.id") == F.col("f.node")
-    kept_node = F.col("s") == 1
+    kept_node, earlier = F.col("s") == 1, F.col("sha_kept") < F.col("r.id")
     # a later copy of a kept node: by digest if it has one, else by hash; with neither every row is kept
     verdict = (
         F.when(first & kept_node, F.lit("ok"))
         .when(kept_node & F.col("r.sha").isNotNull(), F.lit("duplicate_sha256"))
         .when(kept_node & F.col("r.h").isNotNull(), F.lit("near_duplicate"))
         .when(kept_node, F.lit("ok"))
-        .when(F.col("kind") == 0, F.lit("duplicate_sha256"))
+        .when(earlier, F.lit("duplicate_sha256"))
         .otherwise(F.lit("near_duplicate"))
     )
-    out = j.select(F.col("r.id").alias(order), F.col("r.status").alias("st"), verdict.alias("verdict"), F.when(kept_node, F.col("f.node")).otherwise(F.col("src")).alias("match"))
+    match = F.when(kept_node, F.col("f.node")).when(earlier, F.col("sha_kept")).otherwise(F.col("near_kept"))
+    out = j.select(F.col("r.id").alias(order), F.col("r.status").alias("st"), verdict.alias("verdict"), match.alias("match"))
     out = out.where("st <> 'kept_before'").select(order, "verdict", F.when(F.col("verdict") != "ok", F.col("match")).alias("match"))
     passed = rows.df.where(~F.col("status").isin("ok", "kept_before") | F.col("status").isNull()).select(F.col("id").alias(order), F.col("status").alias("verdict"), F.lit(None).cast("bigint").alias("match"))
     return out.union(passed)

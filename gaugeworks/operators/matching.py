@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.geometry import array_iou
 from ..schemas import CLASS_NAMES
+from .ordered import accumulated
 
 LEAST_IOU = 0.5
+# Fixed value: the note of a sweep without confirmed good images.
+NO_GOOD_IMAGES = "false reject not estimable: no confirmed-good images in this file"
 THRESHOLDS = [round(i / 10, 1) for i in range(1, 10)]
 
 
@@ -35,47 +37,82 @@ def matched(gt: Column, pred: Column) -> Column:
     return F.when((F.size(gt) > 0) & (F.size(pred) > 0), F.size(F.aggregate(gt, none, take))).otherwise(F.lit(0))
 
 
+def candidates(gt: Column, pred: Column) -> Column:
+    """The truths that overlap a prediction of their class enough, in order: struct(class, options array<struct(iou, at, confidence)>)."""
+
+    def options(g: Column) -> Column:
+        scored = F.transform(pred, lambda p, i: F.struct(F.when(p["class"] == g["class"], array_iou(g["bbox"], p["bbox"])).alias("iou"), i.alias("at"), p["confidence"].alias("confidence")))
+        return F.struct(g["class"].alias("class"), F.filter(scored, lambda o: o["iou"] >= LEAST_IOU).alias("options"))
+
+    return F.filter(F.transform(gt, options), lambda c: F.size(c["options"]) > 0)
+
+
+def matched_classes(found: Column, threshold: float) -> Column:
+    """Class of each truth that finds a prediction over the threshold: each in order takes its unused option of the largest IoU, the later of equal ones."""
+
+    def take(state: Column, c: Column) -> Column:
+        free = F.filter(c["options"], lambda o: (o["confidence"] > threshold) & ~F.isnan(o["confidence"]) & ~F.array_contains(state["used"], o["at"]))
+        best = F.array_max(free)
+        return F.when(best.isNull(), state).otherwise(F.struct(F.concat(state["used"], F.array(best["at"])).alias("used"), F.concat(state["classes"], F.array(c["class"])).alias("classes")))
+
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<string>").alias("classes"))
+    return F.aggregate(found, start, take)["classes"]
+
+
 def sweep(images: DataFrame, thresholds: list[float] = THRESHOLDS, classes: list[str] = CLASS_NAMES) -> DataFrame:
-    """Precision, recall and errors for each threshold and group (all and every class), zero-filled.
+    """Precision, recall and errors for each threshold and group (all and every class), zero-filled, with a note.
 
-    images: gt array<struct<class,bbox>>, pred array<struct<class,confidence,bbox>>. Matching
-    never crosses classes, so the row of all known classes is the sum of the class rows;
-    boxes of other classes count in all only.
+    images: gt array<struct<class,bbox>>, pred array<struct<class,confidence,bbox>>. Overlaps
+    are computed once for each image, and only images that have any are matched at each
+    threshold. Matching never crosses classes, so the row of all classes is a sum; boxes of
+    classes outside the list count in it only. What is shuffled is one count for each class,
+    kind and level (how many thresholds a confidence is over).
     """
+    thresholds = sorted(thresholds)
     none_gt, none_pred = F.array().cast("array<struct<class:string,bbox:array<double>>>"), F.array().cast("array<struct<class:string,confidence:double,bbox:array<double>>>")
-    base = images.select(F.coalesce("gt", none_gt).alias("gt"), F.coalesce("pred", none_pred).alias("pred"))
-    at = base.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).withColumn(
-        "kept", F.filter("pred", lambda p: (p["confidence"] > F.col("threshold")) & ~F.isnan(p["confidence"]))
-    )
-    groups = F.explode(F.array(F.lit("all"), *map(F.lit, classes)))
-    per = (
-        at.withColumn("class_name", groups)
-        .select(
-            "threshold",
-            "class_name",
-            F.when(F.col("class_name") == "all", F.col("gt")).otherwise(F.filter("gt", lambda g: g["class"] == F.col("class_name"))).alias("gt"),
-            F.when(F.col("class_name") == "all", F.col("kept")).otherwise(F.filter("kept", lambda p: p["class"] == F.col("class_name"))).alias("kept"),
-        )
-        .select("threshold", "class_name", F.size("gt").alias("n_gt"), F.size("kept").alias("n_pred"), matched(F.col("gt"), F.col("kept")).alias("tp"))
-    )
-    sums = per.groupBy("threshold", "class_name").agg(
-        F.sum("tp").alias("tp"),
-        F.sum(F.col("n_pred") - F.col("tp")).alias("fp"),
-        F.sum(F.col("n_gt") - F.col("tp")).alias("fn"),
-        F.count_if(F.col("n_gt") == 0).alias("good"),
-        F.count_if((F.col("n_gt") == 0) & (F.col("n_pred") > 0)).alias("rejected"),
-    )
+    base = images.select(F.coalesce("gt", none_gt).alias("gt"), F.coalesce("pred", none_pred).alias("pred")).withColumn("found", candidates(F.col("gt"), F.col("pred")))
+
+    def entry(kind: str, name: Column, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("class"), value.cast("double").alias("value"))
+
+    top = F.array_max(F.transform(F.filter("pred", lambda p: ~F.isnan(p["confidence"])), lambda p: p["confidence"]))
+
+    def hits(t: float) -> Column:
+        return F.transform(matched_classes(F.col("found"), t), lambda c: entry("tp", c, F.lit(t)))
+
+    no_entries = F.array().cast("array<struct<kind:string,class:string,value:double>>")
+    rows = base.select(
+        F.explode(
+            F.concat(
+                F.transform("gt", lambda g: entry("gt", g["class"], F.lit(None))),
+                F.transform("pred", lambda p: entry("pred", p["class"], p["confidence"])),
+                F.when(F.size("gt") == 0, F.array(entry("good", F.lit(None), top))).otherwise(no_entries),
+                F.when(F.size("found") > 0, F.concat(*map(hits, thresholds))).otherwise(no_entries),
+            )
+        ).alias("e")
+    ).select("e.*")
+    over = [F.when((F.col("value") > t) & ~F.isnan("value"), 1).otherwise(0) for t in thresholds]
+    level = F.when(F.col("kind") == "tp", F.col("value")).otherwise(sum(over[1:], over[0]).cast("double"))
+    counts = rows.select("kind", F.col("class"), level.alias("level")).groupBy("kind", "class", "level").agg(F.count(F.lit(1)).alias("n"))
     spark = images.sparkSession
+    steps = spark.createDataFrame(list(enumerate(thresholds)), "k int, threshold double")
+    # a hit counts at its own threshold, a box at all thresholds that it is over; a row of counts for each class, kind and level
+    at = counts.join(F.broadcast(steps), F.when(F.col("kind") == "tp", F.col("level") == F.col("threshold")).otherwise((F.col("level") > F.col("k")) | F.col("kind").isin("gt", "good")))
+    fits = F.col("level") > F.col("k")
+    n = lambda kind, c=F.lit(True): F.sum(F.when((F.col("kind") == kind) & c, F.col("n")).otherwise(0))
+    named = at.withColumn("class_name", F.explode(F.when(F.col("class").isin(classes), F.array("class", F.lit("all"))).otherwise(F.array(F.lit("all")))))
+    sums = named.groupBy("threshold", "class_name").agg(n("tp").alias("tp"), n("pred").alias("n_pred"), n("gt").alias("n_gt"), n("good").alias("good"), n("good", fits).alias("rejected"))
     grid = spark.createDataFrame([(t, c) for t in thresholds for c in ["all", *classes]], "threshold double, class_name string")
     filled = grid.join(F.broadcast(sums), ["threshold", "class_name"], "left").na.fill(0)  # one row for each cell of the grid
     return filled.select(
         "threshold",
         "class_name",
-        F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)).alias("precision"),
-        F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0)).alias("recall"),
-        F.col("fp").alias("false_positives"),
-        F.col("fn").alias("false_negatives"),
+        F.coalesce(F.try_divide("tp", "n_pred"), F.lit(0.0)).alias("precision"),
+        F.coalesce(F.try_divide("tp", "n_gt"), F.lit(0.0)).alias("recall"),
+        (F.col("n_pred") - F.col("tp")).alias("false_positives"),
+        (F.col("n_gt") - F.col("tp")).alias("false_negatives"),
         F.when((F.col("class_name") == "all") & (F.col("good") > 0), F.col("rejected")).alias("false_rejects"),
+        F.when((F.col("class_name") == "all") & (F.col("good") == 0), F.lit(NO_GOOD_IMAGES)).otherwise(F.lit("")).alias("note"),
     )
 
 
@@ -86,8 +123,15 @@ def average_precision(hits: DataFrame, truths: DataFrame, group: str = "class_na
     before they are ranked, and a group is no more rows than it has distinct confidences.
     """
     steps = hits.groupBy(group, confidence).agg(F.sum(hit).alias("tp"), F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy(group).orderBy(F.col(confidence).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    curve = steps.select(group, confidence, "tp", (F.sum("tp").over(down) / F.sum("n").over(down)).alias("p"))
-    up = Window.partitionBy(group).orderBy(F.col(confidence)).rowsBetween(Window.unboundedPreceding, 0)
-    area = curve.withColumn("best", F.max("p").over(up)).groupBy(group).agg(F.sum(F.col("best") * F.col("tp")).alias("area"))
+    down = accumulated(steps, group, [F.col(confidence).desc()], F.sum, ["tp", "n"], ["tp_so_far", "n_so_far"])
+    curve = down.select(group, confidence, "tp", (F.col("tp_so_far") / F.col("n_so_far")).alias("p"))
+    best = accumulated(curve, group, [F.col(confidence)], F.max, ["p"], ["best"])
+    area = best.groupBy(group).agg(F.sum(F.col("best") * F.col("tp")).alias("area"))
     return truths.join(area, group, "left").select(group, F.round(F.coalesce(F.try_divide("area", "n"), F.lit(0.0)), 6).alias("average_precision"))
+
+
+def metrics_by_class(vectors: DataFrame, classes: list[str] = CLASS_NAMES) -> DataFrame:
+    """A row for each class from one row of metric vectors (precision, recall, ap50, ap50_95); blank where a vector isn't of the classes' number."""
+    names = F.posexplode(F.array(*map(F.lit, classes))).alias("class_id", "class")
+    each = [F.when(F.size(v) == len(classes), F.get(v, F.col("class_id"))).alias(v) for v in ("precision", "recall", "ap50", "ap50_95")]
+    return vectors.select("*", names).select(*[c for c in vectors.columns if c not in ("precision", "recall", "ap50", "ap50_95")], "class", *each)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from itertools import islice
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..schemas import SPLITS
-from ..storage import Written
+from ..schemas import CLASS_NAMES, SPLITS
 from .dedup import hash_links
 from .graph import components
+from .ordered import ranked, ranked_within
 
 RATIOS = (0.70, 0.15, 0.15)
 
@@ -20,17 +22,22 @@ def checked_ratios(ratios) -> None:
 
 
 def apportioned(n: int, ratios=RATIOS) -> list[int]:
-    """Whole shares by largest remainder; from three on, no share of the first three stays empty if one can give."""
-    shares = [int(n * r) for r in ratios]
-    by_rest = sorted(range(len(ratios)), key=lambda i: shares[i] - n * ratios[i])
-    for k in range(n - sum(shares)):
-        shares[by_rest[k % len(shares)]] += 1
-    if n >= 3:
-        for i in range(min(3, len(shares))):
-            giver = max(range(min(3, len(shares))), key=shares.__getitem__)
-            if not shares[i] and shares[giver] > 1:
-                shares[giver], shares[i] = shares[giver] - 1, 1
-    return shares
+    """Whole shares of n by largest remainder, the earlier of equal remainders first.
+
+    From three on, each of the first three shares gets one if the largest of them can spare it.
+    """
+    import numpy as np
+
+    exact = n * np.asarray(ratios, np.float64)
+    floor = np.floor(exact).astype(np.int64)
+    place = np.empty(len(exact), np.int64)  # of each remainder, from the largest
+    place[np.argsort(-(exact - floor), kind="stable")] = np.arange(len(exact))
+    shares = floor + (place < n - floor.sum())
+    first = shares[:3]
+    if n >= 3 and (empty := int((first == 0).sum())) and first.max() > empty:
+        first[first.argmax()] -= empty
+        first[first == 0] = 1
+    return shares.tolist()
 
 
 def percent_cuts(n: int) -> tuple[int, int]:
@@ -43,22 +50,6 @@ def shuffled_key(seed: int, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Global ranks from 1 without one task that sorts everything: range partitions, counted, then ranked apart."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = Written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranked")
-    sizes = {r["_part"]: r["n"] for r in cut.df.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number for each partition
-    offset, total = {}, 0
-    for p in sorted(sizes):
-        offset[p], total = total, total + sizes[p]
-    if not offset:
-        return df.withColumn(name, F.lit(1).cast("bigint"))
-    table = F.create_map(*(F.lit(x) for kv in offset.items() for x in kv))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return cut.df.withColumn(name, (within + F.element_at(table, F.col("_part"))).cast("bigint")).drop("_part")
-
-
 def plain_split(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """70/15/15 of the whole set in seeded order: key and split."""
     train, val = percent_cuts(rows.count())
@@ -67,16 +58,10 @@ def plain_split(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 
 def stratified_split(rows: DataFrame, key: str, stratum: str, seed: int = 42) -> DataFrame:
-    """70/15/15 of each stratum in seeded order: key, stratum, split."""
-    sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(stratum).orderBy(shuffled_key(seed, F.col(key)), F.col(key))
-    r, train, val = F.col("rank"), F.expr("n * 70 div 100"), F.expr("n * 15 div 100")
-    return (
-        rows.select(key, stratum)
-        .withColumn("rank", F.row_number().over(w))
-        .join(F.broadcast(sizes), stratum)  # one row a stratum
-        .select(key, stratum, F.when(r <= train, SPLITS[0]).when(r <= train + val, SPLITS[1]).otherwise(SPLITS[2]).alias("split"))
-    )
+    """70/15/15 of each stratum in seeded order: key, stratum, split. A stratum may hold most rows: ranks come from ranges."""
+    r, train, val = F.col("rank"), F.expr("_n * 70 div 100"), F.expr("_n * 15 div 100")
+    at = ranked_within(rows.select(key, stratum), [stratum], [shuffled_key(seed, F.col(key)), F.col(key)])
+    return at.select(key, stratum, F.when(r <= train, SPLITS[0]).when(r <= train + val, SPLITS[1]).otherwise(SPLITS[2]).alias("split"))
 
 
 def near_clusters(files: DataFrame, key: str = "id", h: str = "dhash", distance: int = 6) -> DataFrame:
@@ -100,24 +85,48 @@ def cluster_split(clusters: DataFrame, key: str = "id", seed: int = 42, ratios=R
     return clusters.select(key, "cluster").join(sides, "cluster")
 
 
-def balanced_plan(seed: int = 20261008, least_images: int = 700, least_per_class: int = 100, n_classes: int = 7, most: int = 4000):
-    """Class lists for images, drawn one after the other so that rare classes are likelier; sequential, so on the driver.
+# Fixed values of the balanced plan: its seed, sizes, and the weight of a class (BASE + most seen - seen, at least FLOOR).
+PLAN_SEED, PLAN_IMAGES, PLAN_PER_CLASS, PLAN_STEP, PLAN_MOST = 20261008, 700, 100, 20, 4000
+PLAN_BASE, PLAN_FLOOR, PLAN_CLASSES_OF_AN_IMAGE = 4.0, 0.35, (1, 3)
+
+
+def plan_rows(seed: int = PLAN_SEED, n_classes: int = len(CLASS_NAMES)) -> Iterator[tuple[int, ...]]:
+    """Distinct classes of one image after the other, without end; classes seen less often are likelier.
 
-    Stops at a multiple of 20 once every minimum is met.
+    Each draw depends on all earlier ones, so this is a sequence and not a table.
     """
     import numpy as np
 
-    rng = np.random.default_rng(seed)
-    seen, plan = np.zeros(n_classes, np.int32), []
-    while len(plan) < least_images or seen.min() < least_per_class or len(plan) % 20:
-        if len(plan) > most:
-            raise RuntimeError(f"no balance within {most} images: {seen.tolist()}")
-        picks = int(rng.integers(1, 4))
-        chance = np.maximum(4.0 + float(seen.max()) - seen.astype(np.float64), 0.35)
-        row: list[int] = []
-        while len(row) < picks and chance.sum() > 0:
-            row.append(int(rng.choice(n_classes, p=chance / chance.sum())))
-            chance[row[-1]] = 0.0
-        seen[row] += 1
-        plan.append(row)
-    return plan, seen
+    draw = np.random.default_rng(seed)
+    low, high = PLAN_CLASSES_OF_AN_IMAGE
+    tally = np.zeros(n_classes)
+    while True:
+        wanted = draw.integers(low, high + 1)
+        weight = (PLAN_BASE + tally.max() - tally).clip(PLAN_FLOOR)
+        taken: tuple[int, ...] = ()
+        for _ in range(wanted):
+            share = np.where(np.isin(np.arange(n_classes), taken), 0.0, weight)
+            taken += (int(draw.choice(n_classes, p=share / share.sum())),)
+        tally[list(taken)] += 1
+        yield taken
+
+
+def balanced_plan(seed: int = PLAN_SEED, least_images: int = PLAN_IMAGES, least_per_class: int = PLAN_PER_CLASS, n_classes: int = len(CLASS_NAMES), most: int = PLAN_MOST):
+    """(class lists, counts by class): the shortest plan of a multiple of PLAN_STEP images that meets both minimums."""
+    import numpy as np
+
+    plan = list(islice(plan_rows(seed, n_classes), most + 1))
+    counts = np.cumsum([np.bincount(row, minlength=n_classes) for row in plan], axis=0)
+    size = np.arange(1, len(plan) + 1)
+    fits = (size >= least_images) & (counts.min(axis=1) >= least_per_class) & (size % PLAN_STEP == 0)
+    if not fits.any():
+        raise RuntimeError(f"no balance within {most} images: {counts[-1].tolist()}")
+    end = int(fits.argmax())
+    return [list(row) for row in plan[: end + 1]], counts[end]
+
+
+def planned(spark: SparkSession, prefix: int | None = None, **plan) -> DataFrame:
+    """The balanced plan as a table: number, seed of the image, class_ids; prefix: only the first so many images."""
+    rows, _ = balanced_plan(**plan)
+    seed = plan.get("seed", PLAN_SEED)
+    return spark.createDataFrame([(i, seed + i, ids) for i, ids in enumerate(rows[:prefix])], "number long, seed long, class_ids array<int>")

@@ -67,12 +67,13 @@ def validate(images: DataFrame, label_files: DataFrame, labels: DataFrame, near_
     copies = duplicate_groups(named).select(
         F.lit(6).alias("ordinal"), F.lit("duplicate_sha256").alias("rule"), F.lit("").alias("split"), F.substring("sha256", 1, 12).alias("key"), F.array_join("members", ", ").alias("message")
     )
+    many = F.when(F.col("n_a") + F.col("n_b") > 2, F.concat(F.lit(" ("), F.col("n_a").cast("string"), F.lit(" and "), F.col("n_b").cast("string"), F.lit(" files)"))).otherwise(F.lit(""))
     leaks = cross_split_leaks(named.where("status = 'ok'"), near_bits, "name").select(
         F.lit(7).alias("ordinal"),
         F.lit("near_duplicate_leakage").alias("rule"),
         F.lit("").alias("split"),
         F.col("a").alias("key"),
-        F.concat(F.lit("and "), F.col("b"), F.lit(" differ by "), F.col("distance").cast("string"), F.lit(" bits")).alias("message"),
+        F.concat(F.lit("and "), F.col("b"), F.lit(" differ by "), F.col("distance").cast("string"), F.lit(" bits"), many).alias("message"),
     )
     return reduce(DataFrame.unionByName, [orphan, bare, spoilt, shape, broken, copies, leaks])
 

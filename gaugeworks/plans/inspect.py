@@ -11,7 +11,8 @@ from ..functions.geometry import corners
 from ..functions.hashing import hex16
 from ..functions.naming import class_name
 from ..functions.raster import probe
-from ..operators import dedup, policy, quality, splits
+from ..operators import dedup, policy, quality
+from ..operators.ordered import ranked
 from ..schemas import CLASS_NAMES
 from ..sources.images import with_digests
 
@@ -30,7 +31,7 @@ def assessed(files: DataFrame) -> DataFrame:
 
 def cleaned(records: DataFrame, near_bits: int = dedup.NEAR_BITS) -> DataFrame:
     """Quality records with duplicates flagged in path order (by parts), and the kept row that each copy matches."""
-    numbered = splits.ranked(records, [F.split("path", "/")], "ord")
+    numbered = ranked(records, [F.split("path", "/")], "ord")
     verdict = dedup.greedy(numbered.select("ord", "sha256", F.col("hash").alias("dhash"), "status"), "ord", distance=near_bits)
     names = numbered.select(F.col("ord").alias("match"), F.col("filename").alias("match_name"))
     return numbered.drop("status", "hash").join(verdict, "ord").join(names, "match", "left").select(*[c for c in records.columns if c not in ("status", "hash")], F.col("verdict").alias("status"), "match_name", "ord")

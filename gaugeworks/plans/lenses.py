@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import sha256, text_hashes
 from ..functions.naming import class_name
 from ..schemas import CLASS_NAMES
-from ..session import table
+from ..session import spread, table
 from ..storage import written
 
 
@@ -48,9 +48,11 @@ def event_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files with a digest and a perceptual hash."""
     split = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
-    named = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), sha256(F.col("text").cast("binary")).alias("sha256"), split.alias("split"), "text")
+    docs = table(spark, sf_dir, "documents")
+    named = docs.select(F.col("doc_id").alias("id"), sha256(F.col("text").cast("binary")).alias("sha256"), split.alias("split"))
+    hashed = text_hashes(spread(docs.select(F.col("doc_id").alias("id"), "text")), "id")
     # the operators read it several times, and the texts need be hashed once only
-    return written(text_hashes(named, ["id", "sha256", "split"]).withColumn("status", F.lit("ok")), "files")
+    return written(named.join(hashed, "id").withColumn("status", F.lit("ok")), "files")
 
 
 def label_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,7 +187,7 @@ _SWEEP = f"""WITH RECURSIVE {_IMAGES}, ts AS (SELECT i / 10 AS t FROM range(1, 1
   every AS (SELECT * FROM per UNION ALL SELECT t, 'all', sum(tp), sum(n_pred), sum(n_gt) FROM per GROUP BY t),
   rejects AS (SELECT t, count(DISTINCT image) FILTER (confidence > t) AS n FROM ts, preds WHERE image NOT IN (SELECT image FROM truths) GROUP BY t)
 SELECT t AS threshold, class AS class_name, round(CASE WHEN n_pred = 0 THEN 0 ELSE tp / n_pred END, 9) AS precision, round(CASE WHEN n_gt = 0 THEN 0 ELSE tp / n_gt END, 9) AS recall,
-  (n_pred - tp)::BIGINT AS false_positives, (n_gt - tp)::BIGINT AS false_negatives, CASE WHEN class = 'all' THEN rejects.n END AS false_rejects FROM every LEFT JOIN rejects USING (t)"""
+  (n_pred - tp)::BIGINT AS false_positives, (n_gt - tp)::BIGINT AS false_negatives, CASE WHEN class = 'all' THEN rejects.n END AS false_rejects, '' AS note FROM every LEFT JOIN rejects USING (t)"""
 
 
 @query(_SWEEP)
@@ -321,15 +321,29 @@ def text_dhash(spark, sf_dir):
     return lenses.files(spark, sf_dir).select("id", hashing.hex16(F.col("dhash")).alias("dhash"))
 
 
-_NEAR = "near AS (SELECT a.id AS a, b.id AS b, bit_count(xor(a.dhash, b.dhash)::BIGINT::BIT) AS distance, a.split AS split_a, b.split AS split_b FROM files a JOIN files b ON a.id < b.id AND bit_count(xor(a.dhash, b.dhash)::BIT) <= 6)".replace("::BIGINT::BIT", "::BIT")
+_NEAR = "near AS (SELECT a.id AS a, b.id AS b FROM files a JOIN files b ON a.id < b.id AND bit_count(xor(a.dhash, b.dhash)::BIT) <= 6)"
 
 
-@query(f"WITH {_FILES}, {_NEAR} SELECT a, b, distance::INT AS distance FROM near")
+_PAIRS = f"""{_FILES}, held AS (SELECT dhash, min(id) AS r, count(*) AS n FROM files GROUP BY 1),
+  pairs AS (SELECT a.r AS a, b.r AS b, bit_count(xor(a.dhash, b.dhash)::BIT)::INT AS distance, a.n AS n_a, b.n AS n_b FROM held a JOIN held b ON a.r < b.r AND bit_count(xor(a.dhash, b.dhash)::BIT) <= 6)"""
+
+
+@query(f"WITH {_PAIRS} SELECT * FROM pairs")
 def near_dup_pairs(spark, sf_dir):
+    """Pairs of classes of equal hashes, by their representatives."""
     return dedup.near_pairs(lenses.files(spark, sf_dir))
 
 
-@query(f"WITH {_FILES}, {_NEAR} SELECT a, b, distance::INT AS distance, split_a, split_b FROM near WHERE split_a <> split_b")
+@query(f"""WITH {_PAIRS}, linked AS (SELECT r, sum(n)::BIGINT AS n FROM (SELECT a AS r, n_b AS n FROM pairs UNION ALL SELECT b, n_a FROM pairs) GROUP BY 1)
+SELECT id, r AS representative, held.n - 1 + coalesce(linked.n, 0) AS n_links FROM files JOIN held USING (dhash) LEFT JOIN linked USING (r)""")
+def near_dup_members(spark, sf_dir):
+    """The class of every document, and how many others are near it."""
+    return dedup.near_members(lenses.files(spark, sf_dir))
+
+
+@query(f"""WITH {_FILES}, held AS (SELECT dhash, split, min(id) AS r, count(*) AS n FROM files GROUP BY ALL)
+SELECT a.r AS a, b.r AS b, bit_count(xor(a.dhash, b.dhash)::BIT)::INT AS distance, a.split AS split_a, b.split AS split_b, a.n AS n_a, b.n AS n_b
+FROM held a JOIN held b ON a.r < b.r AND a.split <> b.split AND bit_count(xor(a.dhash, b.dhash)::BIT) <= 6""")
 def cross_split_leakage(spark, sf_dir):
     return dedup.cross_split_leaks(lenses.files(spark, sf_dir))
 
@@ -383,14 +397,11 @@ def dedup_greedy(spark, sf_dir):
     return dedup.greedy(lenses.files(spark, sf_dir))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 50 * 20 AS u, l_partkey % 40 * 20 + 1 AS v FROM lineitem WHERE l_quantity < 3 AND l_discount = 0.1 AND l_linenumber = 7), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u AS node, u AS root FROM b UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node) SELECT node, min(root) AS root FROM r GROUP BY 1")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey * 2 AS u, l_partkey * 2 + 1 AS v FROM lineitem), b AS MATERIALIZED (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+  r(node, root) USING KEY (node) AS (SELECT u, min(least(u, v)) FROM b GROUP BY 1
+    UNION SELECT n.node, n.root FROM (SELECT b.v AS node, min(r.root) AS root FROM r JOIN b ON b.u = r.node GROUP BY 1) n JOIN recurring.r AS o ON o.node = n.node WHERE n.root < o.root)
+SELECT node, root FROM r""")
 def connected_components(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").where("l_quantity < 3 and l_discount = 0.1 and l_linenumber = 7")
-    return graph.components(e.select((F.pmod("l_suppkey", F.lit(50)) * 20).alias("a"), (F.pmod("l_partkey", F.lit(40)) * 20 + 1).alias("b")))
-
-
-@query(None)  # recursive SQL over every row is too slow; the tests compare with union-find
-def connected_components_whole(spark, sf_dir):
     """Orders (even nodes) and parts (odd nodes) connected by all line items."""
     return graph.components(table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")))
 
@@ -498,6 +509,7 @@ _VALIDATION = f"""WITH {_BOXES}, {_FILES},
   images AS (SELECT id, split, 'd' || id AS stem, 'd' || id || '.png' AS filename, split || '/d' || id || '.png' AS name, sha256, dhash FROM files),
   marked AS (SELECT doc_id, ['train', 'val', 'test'][1 + doc_id % 3] AS split, 'd' || doc_id AS stem, quality = 1 AS valid FROM labels UNION ALL SELECT s_suppkey, 'val', 's' || s_suppkey, true FROM supplier WHERE s_suppkey < 5),
   sound AS (SELECT images.* FROM images SEMI JOIN (SELECT * FROM marked WHERE valid) m ON m.split = images.split AND m.stem = images.stem),
+  held AS (SELECT dhash, split, min(name) AS name, count(*) AS n FROM sound GROUP BY ALL),
   lab AS (SELECT * FROM boxes WHERE l_orderkey IN (SELECT id FROM sound)),
   broken AS ({" UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{n}' AS rule FROM lab WHERE {c}" for n, c in _RULES.items())})
 SELECT 1 AS ordinal, 'label_without_image' AS rule, split, stem AS key, stem || '.txt has no image' AS message FROM marked WHERE stem NOT IN (SELECT stem FROM images)
@@ -505,7 +517,8 @@ UNION ALL SELECT 2, 'image_without_label', split, stem, filename || ' has no lab
 UNION ALL SELECT 3, 'label_unparsable', split, stem, 'label file cannot be parsed' FROM marked WHERE NOT valid AND stem IN (SELECT stem FROM images)
 UNION ALL SELECT 4, 'label_geometry', ['train', 'val', 'test'][1 + l_orderkey % 3], 'd' || l_orderkey, 'box ' || l_linenumber || ': ' || rule FROM broken
 UNION ALL SELECT 6, 'duplicate_sha256', '', substr(sha256, 1, 12), array_to_string(list_sort(list(name)), ', ') FROM sound GROUP BY sha256 HAVING count(*) > 1
-UNION ALL SELECT 7, 'near_duplicate_leakage', '', a.name, 'and ' || b.name || ' differ by ' || bit_count(xor(a.dhash, b.dhash)::BIT) || ' bits' FROM sound a JOIN sound b ON a.name < b.name AND a.split <> b.split AND bit_count(xor(a.dhash, b.dhash)::BIT) <= 6"""
+UNION ALL SELECT 7, 'near_duplicate_leakage', '', a.name, 'and ' || b.name || ' differ by ' || bit_count(xor(a.dhash, b.dhash)::BIT) || ' bits' || CASE WHEN a.n + b.n > 2 THEN ' (' || a.n || ' and ' || b.n || ' files)' ELSE '' END
+  FROM held a JOIN held b ON a.name < b.name AND a.split <> b.split AND bit_count(xor(a.dhash, b.dhash)::BIT) <= 6"""
 
 
 @query(_VALIDATION)

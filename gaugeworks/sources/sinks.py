@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.splits import ranked
+from ..operators.ordered import ranked
 from ..schemas import DETECTIONS, INSPECTIONS
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import geometry, hashing, naming
-from gaugeworks.operators import dedup, graph, matching, policy, quality, splits, validation
+from gaugeworks.operators import dedup, graph, matching, ordered, policy, quality, splits, validation
 from gaugeworks.schemas import CLASS_NAMES
 
 
@@ -185,9 +185,48 @@ def test_near_pairs_equal_brute_force(spark):
     rnd = random.Random(5)
     base = [rnd.getrandbits(63) for _ in range(20)]
     rows = [(i, rnd.choice(base) ^ (1 << rnd.randrange(63)) ^ (1 << rnd.randrange(63)) ^ rnd.getrandbits(3)) for i in range(150)]
-    got = {(r["a"], r["b"], r["distance"]) for r in dedup.near_pairs(spark.createDataFrame(rows, "id long, dhash long")).collect()}
-    want = {(i, j, d) for i, x in rows for j, y in rows if i < j and (d := bin(x ^ y).count("1")) <= 6}
-    assert got == want
+    first, sizes = {}, {}
+    for i, x in rows:
+        first.setdefault(x, i)
+        sizes[x] = sizes.get(x, 0) + 1
+    df = spark.createDataFrame(rows, "id long, dhash long")
+    got = {tuple(r) for r in dedup.near_pairs(df).collect()}
+    near = lambda x, y: bin(x ^ y).count("1") <= 6
+    assert got == {(i, j, bin(x ^ y).count("1"), sizes[x], sizes[y]) for x, i in first.items() for y, j in first.items() if i < j and near(x, y)}
+    members = {r["id"]: (r["representative"], r["n_links"]) for r in dedup.near_members(df).collect()}
+    assert members == {i: (first[x], sum(near(x, y) for _, y in rows) - 1) for i, x in rows}
+    none = dedup.near_members(spark.createDataFrame([(1, None)], "id long, dhash long")).first()
+    assert (none["representative"], none["n_links"]) == (1, 0)
+
+
+def test_links_equal_all_pairs(spark):
+    rnd = random.Random(15)
+    hashes = set()
+    for _ in range(40):
+        x = rnd.getrandbits(64)
+        for _ in range(8):
+            y = x
+            for k in rnd.sample(range(64), rnd.randrange(9)):
+                y ^= 1 << k
+            hashes.add(y - (1 << 64) if y >> 63 else y)
+    got = [tuple(r) for r in dedup.hash_links(spark.createDataFrame([(h,) for h in hashes], "h long")).collect()]
+    bits = lambda x, y: bin((x ^ y) & (1 << 64) - 1).count("1")
+    assert len(got) == len(set(got))
+    assert set(got) == {(x, y, bits(x, y)) for x in hashes for y in hashes if x < y and bits(x, y) <= 6}
+
+
+def test_ranks_and_running_columns_of_large_groups(spark):
+    rnd = random.Random(25)
+    rows = [(rnd.choice([None, "a", "a", "a", "b"]), i, rnd.randrange(100)) for i in rnd.sample(range(1000), 300)]
+    df = spark.createDataFrame(rows, "g string, k long, v long")
+    got = {r["k"]: (r["rank"], r["_n"]) for r in ordered.ranked_within(df, ["g"], [F.col("k")]).collect()}
+    groups = {g: sorted(k for x, k, _ in rows if x == g) for g in (None, "a", "b")}
+    assert got == {k: (groups[g].index(k) + 1, len(groups[g])) for g, k, _ in rows}
+    named = [r for r in rows if r[0]]
+    value = {k: v for _, k, v in rows}
+    for how, plain in ((F.sum, sum), (F.max, max)):
+        out = {r["k"]: r["x"] for r in ordered.accumulated(df.where("g is not null"), "g", [F.col("k").desc()], how, ["v"], ["x"]).collect()}
+        assert out == {k: plain(value[j] for j in groups[g] if j >= k) for g, k, _ in named}
 
 
 def test_components(spark):

@@ -41,21 +41,3 @@ def test_query_equals_sql(spark, db, name):
     columns = [d[0] for d in cur.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows(df.columns, got) == rows(columns, cur.fetchall())
-
-
-def test_components_of_all_line_items_equal_union_find(spark, db):
-    edges = db.execute("SELECT l_orderkey * 2, l_partkey * 2 + 1 FROM lineitem").fetchall()
-    root = {}
-
-    def find(x):
-        root.setdefault(x, x)
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in edges:
-        low, high = sorted((find(a), find(b)))
-        root[high] = low
-    got = {r["node"]: r["root"] for r in QUERIES["connected_components_whole"](spark, SF).collect()}
-    assert got == {x: find(x) for e in edges for x in e}
