@@ -361,20 +361,43 @@ def test_verbatim_items_of_any_length_are_found(spark, length):
     assert got == {(d, i) for d, t in rows for i, x in items if f" {x} " in f" {t} "}
 
 
-def test_changed_long_and_short_items_are_found(spark):
+@pytest.mark.parametrize("sample", [8000, 60])
+def test_changed_items_of_any_length_are_found(spark, monkeypatch, sample):
+    monkeypatch.setattr(decontaminate, "SAMPLE_DOCS", sample)  # the space is fitted to part of the documents only
     rnd = random.Random(19)
-    items = [(i, words(rnd, n, 3000)) for i, n in enumerate([10, 12, 14, 200, 250, 300] * 5)]
-    rows = []
-    for i, item in items:
-        w = item.split()
-        for k in range(len(w) // 10):
-            w[10 * k + 4] = "changed"
-        t = words(rnd, 400, 3000).split()
-        t[150:150] = w
-        rows.append((i, " ".join(t)))
-    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    lengths, shares = [9, 12, 16, 24, 40, 64, 120, 300, 1000], [0.0, 0.1, 0.2, 0.3]
+    items, rows, asked = [], [], {}
+    for n in lengths:
+        for share in shares:
+            for _ in range(6):
+                i = f"item{len(items)}"
+                w = words(rnd, n, 3000).split()
+                items.append((i, " ".join(w)))
+                for k in rnd.sample(range(n), round(share * n)):
+                    w[k] = f"w{rnd.randrange(3000)}x"
+                t = words(rnd, 400, 3000).split()
+                t[150:150] = w
+                asked[f"doc{len(rows)}", i] = n, share
+                rows.append((f"doc{len(rows)}", " ".join(t)))
+    rows += [(f"plain{k}", words(rnd, 300, 3000)) for k in range(100)]
+    docs, bench = spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
-    assert len(got & {(i, i) for i, _ in items}) >= 0.95 * len(items)
+    for share in shares:
+        of = [k for k, (_, s) in asked.items() if s == share]
+        assert len(got & set(of)) >= (1.0 if not share else 0.9) * len(of), share
+    assert not got - set(asked)
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in got}
+
+
+def test_blocks_of_items_give_the_same_pairs(spark, monkeypatch):
+    rnd = random.Random(29)
+    items = [(i, words(rnd, 30, 3000)) for i in range(12)]
+    docs = spark.createDataFrame([(i, f"{words(rnd, 50, 3000)} {t} {words(rnd, 50, 3000)}") for i, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(decontaminate, "TILE", 2)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()} == {(i, i) for i, _ in items}
+    assert decontaminate.clean(docs, bench).count() == 0
 
 
 def test_common_subsequence():
