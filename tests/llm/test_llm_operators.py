@@ -580,10 +580,11 @@ def test_main_text(spark):
 
 def test_minimum_cut_equals_brute_force():
     rnd = random.Random(7)
-    for _ in range(60):
+    for k in range(200):
         n = rnd.randrange(1, 9)
         terminal = [(float(rnd.randrange(5)), float(rnd.randrange(5))) for _ in range(n)]
-        links = [(i, j, float(rnd.randrange(1, 4))) for i in range(n) for j in range(i) if rnd.random() < 0.4]
+        most = 4 if k % 2 else 1.2
+        links = [(i, j, rnd.uniform(0.1, most)) for i in range(n) for j in range(i) if rnd.random() < 0.4]
 
         def cost(side, terminal=terminal, links=links):
             return sum(t if x else s for (s, t), x in zip(terminal, side, strict=True)) + sum(c for i, j, c in links if side[i] != side[j])
@@ -592,6 +593,61 @@ def test_minimum_cut_equals_brute_force():
         assert math.isclose(cost(html_extract.min_cut(terminal, links)), best)
 
 
+def bare_page(rnd):
+    """A page whose containers say nothing, and its article: short paragraphs among long ones, one sentence among links."""
+    sentence = lambda n: " ".join(rnd.choice("time people way water day work life part place case week house point end".split()) for _ in range(n)).capitalize() + "."
+    article = [sentence(rnd.randrange(20, 60)) for _ in range(6)]
+    article[2:2] = ["so it went"]
+    article[5:5] = ["and then"]
+    links = lambda k: "".join(f"<li><a href=/x{i}>{rnd.choice('home news sport about contact'.split())}</a></li>" for i in range(k))
+    body = "".join(f"<p>{t}</p>" if t.endswith(".") else f"<div>{t}</div>" for t in article)
+    page = f"<html><body><div class=x1><ul>{links(4)}<li>All of it.</li>{links(4)}</ul></div><div class=q7><h1>A headline of some words</h1>{body}</div><div class=z3><p>Copyright 2020, all rights reserved</p><ul>{links(3)}</ul></div></body></html>"
+    return page, " ".join(["A headline of some words", *article])
+
+
+def test_cut_overrules_single_blocks_and_rightly(spark):
+    rnd = random.Random(17)
+    cases = [bare_page(rnd) for _ in range(40)]
+    df = spark.createDataFrame([(i, "u", p) for i, (p, _) in enumerate(cases)], "page_id long, url string, html string")
+    for w in (html_extract.UNTRAINED, html_extract.train(df)):
+        got = {r["page_id"]: r["text"] for r in html_extract.main_text(df, w).collect()}
+        assert sum(got[i] == want for i, (_, want) in enumerate(cases)) >= 38
+        carried = collections.Counter()
+        for page, want in cases:
+            found = html_extract.blocks(page)
+            for b, keep in zip(found, html_extract.labelled(found, w), strict=True):
+                source, sink = html_extract.capacities(b, w)
+                if (source > sink) != keep:
+                    carried[keep, keep == (b.text in want)] += 1
+        assert carried[True, True] > 10  # short paragraphs come to the article against their own cost
+        assert carried[True, False] + carried[False, False] <= 0.1 * sum(carried.values())
+
+
+def test_containers_are_weighed_not_obeyed():
+    text = " ".join(["These are the words of a long paragraph, which goes on, and on."] * 6)
+    page = f'<div class="layout has-sidebar"><main><p>{text}</p><p>{text}</p></main><aside><p>{text}</p></aside></div>'
+    assert html_extract.extract(page) == f"{text} {text}"
+    nested = f'<article><p>{text}</p><div class="related"><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></div><p>Short end.</p></article>'
+    assert html_extract.extract(nested) == f"{text} Short end."
+    hidden = f'<article><p>{text}</p><p hidden>{text}</p><form><p>{text}</p></form><div style="display: none">{text}</div></article>'
+    assert html_extract.extract(hidden) == text
+
+
+@pytest.mark.parametrize("page", ["<p>Some words of a sentence.</p>", "<p>x</p><p>A sentence of several words, here.</p>", "<div>x ", "<a ", "<!x ", "<b><p>x</p>", "</u><i>", '<a title="'])
+def test_long_pages_take_time_in_proportion(page):
+    import time
+
+    def took(n):
+        best = 9.0
+        for _ in range(2):
+            t = time.perf_counter()
+            html_extract.extract(page * n)
+            best = min(best, time.perf_counter() - t)
+        return best
+
+    assert took(16000) < 12 * max(took(4000), 0.01)
+
+
 @data
 def test_registered_queries(spark):
     import duckdb
