@@ -17,4 +17,4 @@ QUERIES = {
     "op10_html_extraction": html_extract.op10_html_extraction,
 }
 
-ORACLES = {"op2_suffix_dedup": suffix_dedup.ORACLE, "op6_url_filter": url_filter.ORACLE}
+ORACLES = {"op2_suffix_dedup": suffix_dedup.ORACLE, "op4_spotsigs": spotsigs.ORACLE, "op6_url_filter": url_filter.ORACLE}

@@ -2,34 +2,45 @@
 
 A signature is an anchor (a common word) with the CHAIN content words that follow it;
 a document's fingerprint is the digest of its set of signatures, and two documents are
-compared by the Jaccard similarity of their sets. Sets are partitioned by length: two
-sets whose lengths differ so much that the similarity cannot reach a bound are pruned
-before any signature is compared, and a running bound stops hopeless comparisons.
+compared by the Jaccard similarity of their sets. A likeness under LEAST is reported as 0,
+and never worked out: sets are partitioned by length, so that two whose lengths differ too
+much are not compared at all, and a running bound stops hopeless comparisons.
+
+Documents are dealt to buckets, ranges of ids of about BUCKET_BYTES of text, one to a
+partition; each bucket gets a copy of the row that follows its last. The driver holds the
+buckets' bounds and first rows, by id and hash only.
+
+Words are runs of letters (the ranges below), lower-cased.
 
 Defined results: null counts as the empty text; a text with words but without an anchor
-uses every word as an anchor; a text without words has its own content as its one
-signature, and the empty text has none (two empty sets are alike, an empty and another
-set are not). Documents of equal id follow each other in the order of their text's
-hash, null ids come last, and a lone document is its own follower. An empty table gives
-an empty result.
+uses every word as one; a text without words has its own content as its one signature, and
+the empty text has none (two empty sets are alike, an empty and another set are not).
+Documents of equal id follow each other in the descending order of their text's hash, null
+ids come last, and a lone document is its own follower. Ids may be numbers or strings. An
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, LongType, NumericType, StringType, StructField, StructType
 
 from .common import slices, table
 
 CHAIN = 2
+#: The least likeness that is told from none.
+LEAST = 0.1
+#: Text of one bucket, about, and keys sampled for each to find its bounds.
+BUCKET_BYTES, SAMPLED = 32 << 20, 50
 
 # Common words of English, German, French and Spanish, which serve as anchors.
 COMMON = frozenset(
@@ -39,7 +50,9 @@ COMMON = frozenset(
     "al algo como con cual cuando del desde donde el ella entre era eres esta este ha hay la las lo los me mi muy más ni nos o os otra para pero poco por porque que quien se ser si sin sobre su sus también te tiene todo un una uno ya".split()
 )
 
-_WORD = re.compile(r"[^\W\d_]+")
+# Ranges of code points that are letters here.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0370-\u1fff\u3040-\ud7ff\uf900-\ufdff\U00020000-\U0003ffff"
+_WORD = re.compile(f"[{LETTERS}]+")
 
 
 def signatures(text: str | None) -> frozenset[str]:
@@ -48,7 +61,7 @@ def signatures(text: str | None) -> frozenset[str]:
         return frozenset()
     words = _WORD.findall(text.lower())
     if not words:
-        return frozenset([f"\x00{text}"])
+        return frozenset([f"={text}"])
     content, anchors = [], []
     for w in words:
         if w in COMMON:
@@ -62,10 +75,10 @@ def signatures(text: str | None) -> frozenset[str]:
 
 
 def digest(sigs: frozenset[str]) -> str:
-    return xxhash.xxh3_128_hexdigest("\n".join(sorted(sigs)).encode("utf-8", "replace"))
+    return hashlib.md5("\n".join(sorted(sigs)).encode("utf-8", "replace")).hexdigest()
 
 
-def similarity(a: frozenset[str], b: frozenset[str], at_least: float = 0.0) -> float:
+def similarity(a: frozenset[str], b: frozenset[str], at_least: float = LEAST) -> float:
     """Jaccard similarity; 0 as soon as it is sure to be under at_least."""
     if a is b or not a and not b:
         return 1.0
@@ -124,68 +137,93 @@ def _compared(rows: Iterator[tuple]) -> Iterator[tuple]:
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[tuple]:
-        for s in slices(batches):
-            yield from zip(*(c.to_pylist() for c in s.columns), strict=True)
-
-    held: list[tuple] = []
-
-    def flush() -> pa.RecordBatch:
-        cols = list(zip(*held, strict=True))
-        held.clear()
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=_NAMES)
-
-    for row in _compared(rows()):
-        held.append(row)
-        if len(held) >= 4096:
-            yield flush()
-    if held:
-        yield flush()
-
-
 def with_followers(documents: DataFrame) -> DataFrame:
-    """(bucket, copied, doc_id, text): ranges of descending ids, each with a copy of the row that follows its last.
-
-    The only things the driver holds are the bounds and the largest id of each range.
-    """
+    """(bucket, copied, doc_id, text): ranges of descending ids, each with a copy of the row that follows its last."""
     spark = documents.sparkSession
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted({int(b) for b in rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    ranged = rows.withColumn("bucket", _bucket(bounds))
-    largest = {r["bucket"]: r["top"] for r in ranged.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(largest, reverse=True)
-    # The row after the last of a range is the largest of the next lower one, and of the highest after the lowest.
-    follows = {b: (order[i + 1] if i + 1 < len(order) else order[0]) for i, b in enumerate(order)}
-    to = {largest[src]: dst for dst, src in follows.items()}
-    if order:
-        kept = ranged.where(F.col("doc_id").isin([k for k in to if k is not None]) if to.keys() != {None} else F.col("doc_id").isNull())
-        goal = F.coalesce(*[F.when(F.col("doc_id").eqNullSafe(F.lit(k)), F.lit(v)) for k, v in to.items()])
-        copies = kept.select(goal.alias("bucket"), F.lit(True).alias("copied"), "doc_id", "text")
-        ranged = ranged.select("bucket", F.lit(False).alias("copied"), "doc_id", "text").union(copies)
-    else:
-        ranged = ranged.select("bucket", F.lit(False).alias("copied"), "doc_id", "text")
-    return ranged.repartition(parts, "bucket").sortWithinPartitions("bucket", "copied", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-
-
-def _bucket(bounds: list[int]):
-    """Number of bounds at or below the id; a null id is below all."""
-    held = np.array(bounds, np.int64)
-
-    def count(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(held, ids.to_numpy(np.int64), side="right").astype(np.int32))
-
-    return F.pandas_udf(count, "int")(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
+    kind = documents.schema["doc_id"].dataType
+    none = F.lit(0 if isinstance(kind, NumericType) else "").cast(kind)
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select("doc_id", text.alias("text"), F.col("doc_id").isNotNull().alias("_there"), F.coalesce("doc_id", none).alias("_id"), F.xxhash64(text).alias("_h"))
+    key = ["_there", "_id", "_h"]
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
+    rate = max(1, n // (SAMPLED * parts))
+    sample = sorted(map(tuple, rows.select(*key).where(F.pmod(F.xxhash64(*key), F.lit(rate)) == 0).collect()))  # about SAMPLED keys a bucket
+    bounds = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
+    numbered = rows.withColumn("b", _bucket(bounds, {})(*key).getField("bucket"))
+    largest = {r["b"]: tuple(r["top"]) for r in numbered.groupBy("b").agg(F.max(F.struct(*key)).alias("top")).collect()}  # a key a bucket
+    order = sorted(largest)
+    # the row after the last of a bucket is the first of the next lower one, and of the highest after the lowest
+    goals = {largest[b]: order[(i + 1) % len(order)] for i, b in enumerate(order)}
+    own = F.struct(F.col("x.bucket").alias("bucket"), F.lit(False).alias("copied"))
+    copy = F.struct(F.col("x.goal").alias("bucket"), F.lit(True).alias("copied"))
+    placed = rows.withColumn("x", _bucket(bounds, goals)(*key)).select("doc_id", "text", "_h", F.explode(F.when(F.col("x.goal") >= 0, F.array(own, copy)).otherwise(F.array(own))).alias("y"))
+    dealt = placed.select("y.bucket", "y.copied", "doc_id", "text", "_h").repartitionById(parts, "bucket")
+    return dealt.sortWithinPartitions("bucket", "copied", F.col("doc_id").desc_nulls_last(), F.col("_h").desc()).drop("_h")
+
+
+def _bucket(bounds: list[tuple], goals: dict[tuple, int]):
+    """bucket: how many bounds are at or below the key; goal: the bucket that needs a copy of the row, or -1."""
+
+    def of(there: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        keys = list(zip(there.tolist(), ids.tolist(), hashes.tolist(), strict=True))
+        return pd.DataFrame({"bucket": [bisect_right(bounds, k) for k in keys], "goal": [goals.get(k, -1) for k in keys]}).astype("int32")
+
+    return F.pandas_udf(of, "bucket int, goal int")
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """A row for each document: its fingerprint, that of its edited text, and both likenesses."""
-    out = with_followers(documents).mapInArrow(_run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     kind = documents.schema["doc_id"].dataType
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+    kinds = [LongType(), StringType(), StringType(), StringType(), DoubleType(), DoubleType()]
+    schema = StructType([StructField(n, k) for n, k in zip(_NAMES, [kind, *kinds], strict=True)])
+    arrow = [to_arrow_type(f.dataType) for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for s in slices(batches):
+                yield from zip(*(c.to_pylist() for c in s.columns), strict=True)
+
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*held, strict=True))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, arrow, strict=True)], names=_NAMES)
+
+        for row in _compared(rows()):
+            held.append(row)
+            if len(held) >= 4096:
+                yield flush()
+        if held:
+            yield flush()
+
+    return with_followers(documents).mapInArrow(run, schema)
 
 
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+_RANGES = re.sub("[^\\x00-\\x7f]", lambda m: f"\\x{{{ord(m[0]):x}}}", LETTERS)
+_COMMON = ", ".join(f"'{w}'" for w in sorted(COMMON))
+ORACLE = f"""
+WITH own AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(text) OVER (ORDER BY doc_id DESC), CASE WHEN lead(doc_id) OVER (ORDER BY doc_id DESC) IS NULL THEN coalesce(first(text) OVER (ORDER BY doc_id DESC), '') ELSE '' END) AS f FROM documents),
+both_ AS (SELECT doc_id, t, f, left(t, length(t) - length(t) // 3) || left(f, length(t) // 3) AS e FROM own),
+texts AS (SELECT doc_id, 0 AS k, t FROM both_ UNION ALL SELECT doc_id, 1, e FROM both_),
+lists AS (SELECT doc_id, k, regexp_extract_all(lower(t), '[{_RANGES}]+') AS l FROM texts),
+words AS (SELECT doc_id, k, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM lists),
+marked AS (SELECT *, w IN ({_COMMON}) AS anchor FROM words),
+ranked AS (SELECT *, coalesce(sum((NOT anchor)::INT) OVER (PARTITION BY doc_id, k ORDER BY i), 0) AS c FROM marked),
+content AS (SELECT doc_id, k, c, w, lead(w) OVER (PARTITION BY doc_id, k ORDER BY c) AS w2 FROM ranked WHERE NOT anchor),
+spots AS (SELECT r.doc_id, r.k, r.w || ':' || concat_ws(' ', x.w, x.w2) AS s FROM ranked r JOIN content x ON x.doc_id = r.doc_id AND x.k = r.k AND x.c = r.c + 1 WHERE anchor),
+chains AS (SELECT doc_id, k, concat_ws(' ', w, lead(w, 1) OVER p, lead(w, 2) OVER p) AS s FROM words ANTI JOIN spots USING (doc_id, k) WINDOW p AS (PARTITION BY doc_id, k ORDER BY i)),
+wordless AS (SELECT doc_id, k, '=' || t AS s FROM texts ANTI JOIN words USING (doc_id, k) WHERE t <> ''),
+sets AS (SELECT doc_id, k, list_sort(list(DISTINCT s)) AS l FROM (SELECT * FROM spots UNION ALL SELECT * FROM chains UNION ALL SELECT * FROM wordless) GROUP BY ALL),
+sides AS (SELECT doc_id, t, e, coalesce(a.l, []) AS a, coalesce(b.l, []) AS b FROM both_ LEFT JOIN (SELECT * FROM sets WHERE k = 0) a USING (doc_id) LEFT JOIN (SELECT * FROM sets WHERE k = 1) b USING (doc_id)),
+three AS (SELECT *, coalesce(lead(a) OVER (ORDER BY doc_id DESC), first(a) OVER (ORDER BY doc_id DESC)) AS n FROM sides),
+shared AS (SELECT *, len(list_intersect(a, b)) AS ab, len(list_intersect(a, n)) AS an FROM three),
+likely AS (SELECT *, CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE ab / (len(a) + len(b) - ab) END AS je, CASE WHEN len(a) + len(n) = 0 THEN 1.0 ELSE an / (len(a) + len(n) - an) END AS jn FROM shared)
+SELECT doc_id, length(t) AS n_chars, sha256(e) AS edited_sha256, md5(array_to_string(a, chr(10))) AS fingerprint, md5(array_to_string(b, chr(10))) AS edited_fingerprint,
+  CASE WHEN je >= {LEAST} THEN je ELSE 0 END AS near_edited, CASE WHEN jn >= {LEAST} THEN jn ELSE 0 END AS near_next FROM likely
+"""
