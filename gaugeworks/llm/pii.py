@@ -1,19 +1,30 @@
 """Surrogates for personal data.
 
-Entities are found by patterns with checks (Luhn, mod 97, octet ranges, titles before
-names) and each is replaced by a surrogate of its own type and format. A surrogate is a
-keyed permutation of the entity's canonical form within its class: the class fixes what
-must stay (country prefix, card type and validity, address class of an IP, the gender
-and script of a first name, the positions of letters, digits and punctuation), and the
-permutation is a Feistel network walked in cycles until it is back in the class. A
-permutation is one-to-one, so two entities never share a surrogate and one entity has
-the same surrogate in every document, with nothing to be looked up or exchanged between
-executors. collisions() checks exactly that over a whole corpus.
-
-Defined results: a null text stays null with no entities; a text without entities
-stays as it is; overlapping finds go to the one that starts first, then to the order of
-the patterns; repeated rows are treated alike; every other column passes through; an
-empty table gives an empty result.
+Entities are found by patterns with checks (Luhn, mod 97, octet ranges, titles or known
+first names before surnames) and each is replaced by a surrogate of its own type and format.
+
+Addresses, numbers, cards, keys and secrets get a keyed permutation of their canonical form
+within its class: the class fixes what must stay (country prefix, card type and validity,
+address class of an IP, the places of letters, digits and punctuation), and the permutation
+is a Feistel network walked in cycles until it is back in the class. A permutation is
+one-to-one, so two of them never share a surrogate.
+
+Names are parted into first names, with the gender that a title, the lists or their form
+give, and surnames. A listed first name becomes another of its list; any other is written
+anew from syllables of its script, with an ending of its gender, chosen by a keyed digest.
+Once a person is found in a text, every later or earlier mention of that first name or
+surname in it is replaced, too. As digests can meet, the distinct names of all texts are
+checked before any is replaced: of names that share a surrogate all but the first get a
+salt, until none share one.
+
+One entity has the same surrogate in every document. collisions() checks all of it again
+over a corpus.
+
+Defined results: a null text stays null with no entities; a text without entities stays as
+it is; overlapping finds go to the one that starts first, then to the order of the patterns;
+repeated rows are treated alike; every other column passes through, but columns of the input
+called n_entities or entity_types are replaced where counts are asked for; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,17 +33,23 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, MapType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
+from ..storage import Written
 from .common import slices, table
 
 #: The key of the query; production passes its own secret.
 KEY = b"surrogates"
 ROUNDS = 8
+#: Characters permuted together.
+BLOCK = 64
 
 # First names by gender and script, replaced by others of the same list.
 NAMES = {
@@ -48,6 +65,18 @@ TITLES = {
     "": "Dr Prof Professor Doctor".split(),
 }
 
+# Syllables (onsets, vowels, codas) of written surrogates by script, and endings of female and male first names and of surnames.
+SYLLABLES = {
+    "latin": ("b d f g h k l m n p r s t v w br dr gr kl tr".split(), "a e i o u".split(), ["", "l", "n", "r"]),
+    "cyrillic": ("б в г д ж з к л м н п р с т ф х бр др кр тр".split(), "а е и о у".split(), ["", "л", "н", "р"]),
+    "greek": ("β γ δ θ κ λ μ ν π ρ σ τ φ χ βρ γρ δρ κρ πρ τρ".split(), "α ε η ι ο".split(), ["", "λ", "ν", "ρ"]),
+}
+ENDINGS = {
+    "latin": {"f": "a ia ina ela ita ena ora isa".split(), "m": "an en ias ard ol ert in on".split(), "s": "er man sen ini ell off ard ez".split()},
+    "cyrillic": {"f": "а ия ина ела ита ена ора иса".split(), "m": "ан ен ий ард ол ерт ин он".split(), "s": "ов ин енко ский ев ук ян ич".split()},
+    "greek": {"f": "α ια ινα ελα ιτα ενα ορα ισα".split(), "m": "ος ης ας ιος ων ανος ινος ερης".split(), "s": "ιδης ακης ου ας ογλου ιας ατος ινος".split()},
+}
+
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 CYR = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
@@ -73,8 +102,21 @@ def permuted(value: int, size: int, key: bytes, tweak: str, allowed: Callable[[i
             return value
 
 
+def _blocks(text: str) -> Iterator[tuple[str, str]]:
+    """Each block of a text, with a digest of all before it."""
+    before = hashlib.blake2b(digest_size=16)
+    for i in range(0, len(text), BLOCK):
+        yield text[i : i + BLOCK], before.hexdigest()
+        before.update(text[i : i + BLOCK].encode("utf-8", "replace"))
+
+
 def reshaped(text: str, key: bytes, tweak: str, allowed: Callable[[str], bool] = lambda s: True, alphabets: dict[str, str] = _OF) -> str:
-    """Another text with each character from the same alphabet; characters of no alphabet stay."""
+    """Another text with each character from the same alphabet; characters of no alphabet stay.
+
+    A long text is taken in blocks, each under a tweak that holds all before it, which is one-to-one, too.
+    """
+    if len(text) > BLOCK:
+        return "".join(reshaped(x, key, f"{tweak}|{len(text)}|{before}", allowed, alphabets) for x, before in _blocks(text))
     at = [(i, alphabets[c]) for i, c in enumerate(text) if c in alphabets]
     size, value = 1, 0
     for i, a in at:
@@ -123,14 +165,13 @@ def _email(c: str, key: bytes) -> str:
 
 def _phone(c: str, key: bytes) -> str:
     keep = len(c) - 10 if len(c) > 10 else min(3, len(c) // 3)
-    return c[:keep] + reshaped(c[keep:], key, f"phone{c[:keep]}", lambda s: s[0] not in "01" or c[keep] in "01")
+    low = c[keep] in "01"
+    return c[:keep] + reshaped(c[keep:], key, f"phone{c[:keep]}{low}", lambda s: (s[0] in "01") == low)
 
 
 def _card(c: str, key: bytes) -> str:
-    if luhn(c):
-        body = c[0] + reshaped(c[1:-1], key, f"card{c[0]}{len(c)}")
-        return next(body + d for d in DIGITS if luhn(body + d))
-    return c[0] + reshaped(c[1:], key, f"number{c[0]}{len(c)}", lambda s: not luhn(c[0] + s))
+    body = c[0] + reshaped(c[1:-1], key, f"card{c[0]}{len(c)}")
+    return next(body + d for d in DIGITS if luhn(body + d))
 
 
 #: Address blocks within which an address stays (first address, prefix length).
@@ -159,10 +200,14 @@ def _iban(c: str, key: bytes) -> str:
     return f"{c[:2]}{check:02d}{body}"
 
 
+_IS_HEX = re.compile("[0-9a-f]*").fullmatch
+
+
 def _secret(c: str, key: bytes) -> str:
-    if re.fullmatch("[0-9a-f]+", c):
+    if _IS_HEX(c):
         return reshaped(c, key, "hex", alphabets=dict.fromkeys(HEX, HEX))
-    return reshaped(c, key, "secret")
+    # a block that is hexadecimal by chance stays so and the others don't become it, so the two kinds never meet
+    return "".join(reshaped(x, key, f"secret{len(c)}|{before}", lambda s, h=bool(_IS_HEX(x)): bool(_IS_HEX(s)) == h) for x, before in _blocks(c))
 
 
 def _aws(c: str, key: bytes) -> str:
@@ -170,34 +215,62 @@ def _aws(c: str, key: bytes) -> str:
     return c[:4] + reshaped(c[4:], key, "aws", alphabets=dict.fromkeys(both, both))
 
 
-_LISTED = {n: k for k, names in NAMES.items() for n in names}
+_LISTED: dict[str, str] = {n: k for k, names in NAMES.items() for n in names}
 
 
-def _name_part(word: str, key: bytes) -> str:
-    known = _LISTED.get(word)
-    if known:
-        names = NAMES[known]
-        order = sorted(names, key=lambda n: hashlib.blake2b(n.encode(), key=key).digest())
-        return order[(order.index(word) + 1) % len(order)]
-    return reshaped(word, key, "name", lambda s: s not in _LISTED)
+def _script(word: str) -> str:
+    return "cyrillic" if "А" <= word[0] <= "Я" or word[0] == "Ё" else "greek" if "Α" <= word[0] <= "Ω" else "latin"
+
 
+def _gender(word: str, titled: str) -> str:
+    """Of a first name: the title's, else that of its list, else by its ending."""
+    return titled or _LISTED.get(word, "")[:1] or ("f" if word[-1] in "aаяα" else "m")
 
-def _person(c: str, key: bytes) -> str:
-    return " ".join("-".join(_name_part(p, key) for p in w.split("-")) for w in c.split(" "))
+
+def _written(word: str, role: str, key: bytes, salt: int) -> str:
+    """A name of the word's script from syllables, with an ending of its role (f, m or s)."""
+    script = _script(word)
+    onsets, vowels, codas = SYLLABLES[script]
+    n = 0
+    while True:
+        x = int.from_bytes(hashlib.blake2b(f"{role}|{word}|{salt}|{n}".encode("utf-8", "replace"), key=key, digest_size=16).digest(), "big")
+        out = ""
+        for k in range(4):
+            x, o = divmod(x, len(onsets))
+            x, v = divmod(x, len(vowels))
+            x, c = divmod(x, len(codas))
+            out += onsets[o] + (vowels[v] + codas[c] if k < 3 else "")
+        out = (out + ENDINGS[script][role][x % len(ENDINGS[script][role])]).capitalize()
+        if out != word and out not in _LISTED:
+            return out
+        n += 1
+
+
+def _name(c: str, key: bytes, salt: int = 0) -> str:
+    """c: role (f, m: a first name of that gender; s: a surname), a colon and the name."""
+    role, _, word = c.partition(":")
+    listed = NAMES.get(_LISTED.get(word, ""), []) if role != "s" and _LISTED.get(word, "")[:1] == role else []
+    if listed:
+        order = sorted(listed, key=lambda n: hashlib.blake2b(n.encode(), key=key).digest())
+        return order[(order.index(word) + 1) % len(order)]
+    return _written(word, role, key, salt)
 
 
 _ALNUM = re.compile(r"[^0-9A-Za-z]")
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=lambda t: (-len(t), t)))
-_PROPER = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я'’]+(?:-[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я'’]+)?"
+_PART = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][a-zß-öø-ÿа-яёά-ώ'’]+"
+_PROPER = rf"{_PART}(?:-{_PART})*"
+_FIRST = "|".join(sorted(_LISTED, key=lambda n: (-len(n), n)))
+_TITLED = {t: g for g, ts in TITLES.items() for t in ts}
 
 #: (type, pattern with the entity in group "e" or whole, check, canonical form, surrogate, how the surrogate is written)
 _TYPES: list[tuple] = [
-    ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-])", None, str.lower, _email, None),
+    ("email", r"(?<![\w.+%'-])[^\W_][\w.+%'-]*@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])", None, str.lower, _email, None),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b", lambda s: 15 <= len(x := _ALNUM.sub("", s)) <= 34 and _iban_ok(x), lambda s: _ALNUM.sub("", s), _iban, _in_format),
     ("aws_key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", None, str, _aws, None),
     (
         "secret",
-        r"(?i:\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b[\"']?\s*[:=]\s*[\"']?)(?P<secret_e>(?=[^\s\"',;]*\d)[A-Za-z0-9+/_.~!#$%^&*-]{6,200})",
+        r"(?i:\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b[\"']?\s*[:=]\s*[\"']?)(?P<secret_e>(?=[^\s\"',;]*\d)[A-Za-z0-9+/_.~!#$%^&*-]{6,})",
         None,
         str,
         _secret,
@@ -205,7 +278,7 @@ _TYPES: list[tuple] = [
     ),
     ("ip", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)", lambda s: all(int(x) < 256 for x in s.split(".")), lambda s: ".".join(str(int(x)) for x in s.split(".")), _ip, None),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", None, lambda s: _ALNUM.sub("", s), lambda c, k: reshaped(c, k, "ssn"), _in_format),
-    ("card", r"(?<![\w.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w])", None, lambda s: _ALNUM.sub("", s), _card, _in_format),
+    ("card", r"(?<![\w.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w])", lambda s: luhn(_ALNUM.sub("", s)), lambda s: _ALNUM.sub("", s), _card, _in_format),
     (
         "phone",
         r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])",
@@ -214,47 +287,87 @@ _TYPES: list[tuple] = [
         _phone,
         lambda found, c: _in_format(found, c[-sum(x.isdigit() for x in found) :]),
     ),
-    ("person", rf"\b(?:{_TITLE})\b\.? (?P<person_e>{_PROPER}(?: {_PROPER}){{0,2}})", None, str, _person, None),
+    ("person", rf"\b(?:(?P<title>{_TITLE})\b\.? (?P<titled>{_PROPER}(?: {_PROPER}){{0,2}})|(?P<plain>(?:{_FIRST})(?:-{_PART})*(?: [A-ZÀ-ÞА-ЯΑ-Ω]\.)? {_PROPER}))", None, str, None, None),
 ]
 _ALL = re.compile("|".join(f"(?P<{n}>{p})" for n, p, *_ in _TYPES))
-#: A text without any of these has no entity: a digit, an at sign or a title.
-_MAYBE = re.compile(rf"[0-9@]|\b(?:{_TITLE})\b\.? [A-ZÀ-ÖØ-ÞА-Я]")
+#: A text without any of these has no entity: a digit, an at sign, a title or a known first name before a capital.
+_MAYBE = re.compile(rf"[0-9@]|\b(?:{_TITLE}|{_FIRST})\b[.\w-]* [A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]")
 _BY_NAME = {n: rest for n, *rest in _TYPES}
+_INITIAL = re.compile(r"[^\W\d_]\.")
+
+
+class Find(NamedTuple):
+    kind: str
+    start: int
+    end: int
+    canonical: str  # of a name: role, colon, name
+
+
+def _people(m: re.Match) -> list[Find]:
+    """The parts of a person's name; with a title a lone name is a surname."""
+    group = "titled" if m["titled"] else "plain"
+    words = [(w.start() + m.start(group), w[0]) for w in re.finditer(r"\S+", m[group])]
+    gender = _TITLED[m["title"]] if m["title"] else ""
+    out = []
+    for k, (at, word) in enumerate(words):
+        if _INITIAL.fullmatch(word):
+            continue
+        for part in re.finditer(r"[^-]+", word):
+            role = "s" if k == len(words) - 1 else _gender(part[0], gender)
+            out.append(Find("person", at + part.start(), at + part.end(), f"{role}:{part[0]}"))
+    return out
 
 
 @lru_cache(maxsize=100_000)
-def surrogate(kind: str, canonical: str, key: bytes) -> str:
-    return _BY_NAME[kind][3](canonical, key)
+def surrogate(kind: str, canonical: str, key: bytes, salt: int = 0) -> str:
+    return _name(canonical, key, salt) if kind == "person" else _BY_NAME[kind][3](canonical, key)
 
 
-def entities(text: str | None) -> Iterator[tuple[str, int, int, str]]:
-    """(type, start, end, canonical form) of each entity."""
+def entities(text: str | None) -> list[Find]:
+    """The entities of a text in order; a person's name is one for each part, and further mentions of the parts are found, too."""
     if not text or not _MAYBE.search(text):
-        return
-    at = 0
+        return []
+    at, out, people = 0, [], {}
     while m := _ALL.search(text, at):
-        kind = m.lastgroup.removesuffix("_e") if m.lastgroup else ""
+        kind = next(n for n in _BY_NAME if m[n] is not None)
         check, canonical = _BY_NAME[kind][1], _BY_NAME[kind][2]
-        group = f"{kind}_e" if kind in ("secret", "person") else kind
-        found = m[group]
-        if check is None or check(found):
-            yield kind, m.start(group), m.end(group), canonical(found)
+        if kind == "person":
+            found = _people(m)
+            for f in found:
+                people.setdefault(f.canonical[2:], f.canonical)
+            out += found
+            at = m.end()
+            continue
+        group = f"{kind}_e" if kind == "secret" else kind
+        if check is None or check(m[group]):
+            out.append(Find(kind, m.start(group), m.end(group), canonical(m[group])))
             at = m.end()
         else:
             # another pattern may still fit what this one took
             at = m.start() + 1
             while at < len(text) and text[at - 1].isalnum() and text[at].isalnum():
                 at += 1
-
-
-def replaced(text: str | None, key: bytes = KEY) -> tuple[str | None, dict[str, int]]:
-    """The text with surrogates, and the number of entities by type."""
+    if people:
+        taken = iter([*out, Find("", len(text) + 1, len(text) + 1, "")])
+        following, more = next(taken), []
+        for m in re.finditer(rf"{_PART}", text):
+            while following.end <= m.start():
+                following = next(taken)
+            if m[0] in people and m.end() <= following.start and not text[m.start() - 1 : m.start()].isalnum() and not text[m.end() : m.end() + 1].isalnum():
+                more.append(Find("person", m.start(), m.end(), people[m[0]]))
+        # the parts of one name have one role within a text
+        out = sorted([*(f._replace(canonical=people[f.canonical[2:]]) if f.kind == "person" else f for f in out), *more], key=lambda f: f.start)
+    return out
+
+
+def replaced(text: str | None, key: bytes = KEY, salts: dict[str, int] | None = None) -> tuple[str | None, dict[str, int]]:
+    """The text with surrogates, and the number of entities by type. salts: of names whose surrogates would meet."""
     counts: dict[str, int] = {}
     if text is None:
         return None, counts
     out, at = [], 0
     for kind, start, end, canonical in entities(text):
-        new = surrogate(kind, canonical, key)
+        new = surrogate(kind, canonical, key, (salts or {}).get(canonical, 0))
         write = _BY_NAME[kind][4]
         out += [text[at:start], write(text[start:end], new) if write else new]
         at = end
@@ -262,32 +375,72 @@ def replaced(text: str | None, key: bytes = KEY) -> tuple[str | None, dict[str,
     return ("".join(out) + text[at:] if out else text), counts
 
 
-def pseudonymised(documents: DataFrame, key: bytes = KEY) -> DataFrame:
-    """The documents with surrogates in text, and two more columns: n_entities and their types."""
-    names = [c for c in documents.columns if c not in ("n_entities", "entity_types")]
-    schema = StructType([documents.schema[n] for n in names] + [StructField("n_entities", LongType()), StructField("entity_types", MapType(StringType(), LongType()))])
+def name_salts(documents: DataFrame, key: bytes = KEY) -> dict[str, int]:
+    """Salts that keep the surrogates of all names of the documents apart; empty as long as no two digests meet.
+
+    Only names that meet another's surrogate come to the driver: of n distinct names about
+    n * n / 2**38, a few hundred for ten million.
+    """
+    spark = documents.sparkSession
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in slices(batches):
+            names = {f.canonical for t in s.column(0).to_pylist() for f in entities(t) if f.kind == "person"}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(names), pa.string())], names=["canonical"])
+
+    names = Written(documents.select("text").mapInArrow(found, "canonical string").distinct(), "names")
+    salts: dict[str, int] = {}
+    while True:
+        sent = spark.sparkContext.broadcast(dict(salts))
+
+        def named(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                each = b.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([surrogate("person", c, key, sent.value.get(c, 0)) for c in each], pa.string())], names=["canonical", "surrogate"])
+
+        # the first of the names that share a surrogate keeps it
+        rank = F.row_number().over(Window.partitionBy("surrogate").orderBy("canonical"))
+        met = names.df.mapInArrow(named, "canonical string, surrogate string").withColumn("rank", rank).where("rank > 1").select("canonical").collect()
+        if not met:
+            names.drop()
+            return salts
+        for r in met:
+            salts[r["canonical"]] = salts.get(r["canonical"], 0) + 1
+
+
+def pseudonymised(documents: DataFrame, key: bytes = KEY, counts: bool = True) -> DataFrame:
+    """The documents with surrogates in text and, with counts, two more columns: n_entities and entity_types."""
+    more = ["n_entities", "entity_types"] if counts else []
+    names = [c for c in documents.columns if c not in more]
+    extra = [StructField("n_entities", LongType()), StructField("entity_types", MapType(StringType(), LongType()))] if counts else []
+    schema = StructType([documents.schema[n] for n in names] + extra)
+    sent = documents.sparkSession.sparkContext.broadcast(name_salts(documents, key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
-            got = [replaced(t, key) for t in s.column("text").to_pylist()]
+            got = [replaced(t, key, sent.value) for t in s.column("text").to_pylist()]
             cols = [pa.array([t for t, _ in got], s.schema.field(n).type) if n == "text" else s.column(n) for n in names]
-            counts = [sorted(c.items()) for _, c in got]
-            cols += [pa.array([sum(c.values()) for _, c in got], pa.int64()), pa.array(counts, pa.map_(pa.string(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_entities", "entity_types"])
+            if counts:
+                cols += [pa.array([sum(c.values()) for _, c in got], pa.int64()), pa.array([sorted(c.items()) for _, c in got], pa.map_(pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, *more])
 
     return documents.select(*names).mapInArrow(run, schema)
 
 
 def entity_table(documents: DataFrame, key: bytes = KEY) -> DataFrame:
     """(doc_id, kind, canonical, surrogate), one row for each entity found."""
+    sent = documents.sparkSession.sparkContext.broadcast(name_salts(documents, key))
+    ids = documents.schema["doc_id"]
+    kind = to_arrow_type(ids.dataType)
+    schema = StructType([ids, *(StructField(n, StringType()) for n in ("kind", "canonical", "surrogate"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
-            rows = [(i, k, c, surrogate(k, c, key)) for i, t in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), strict=True) for k, _, _, c in entities(t)]
+            rows = [(i, f.kind, f.canonical, surrogate(f.kind, f.canonical, key, sent.value.get(f.canonical, 0))) for i, t in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), strict=True) for f in entities(t)]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names=["doc_id", "kind", "canonical", "surrogate"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.string(), pa.string(), pa.string()), strict=True)], names=["doc_id", "kind", "canonical", "surrogate"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, kind string, canonical string, surrogate string")
+    return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def collisions(found: DataFrame) -> DataFrame:
