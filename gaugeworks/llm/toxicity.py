@@ -9,7 +9,9 @@ texts and K is fitted to their best segments. Documents aggregate their
 segments into three features, calibrated to a probability by logistic regression.
 
 The model learns from a documented, bounded sample of labelled rows (TRAIN_DOCS whole
-texts, chosen by a hash of the id); every text is scored whole.
+texts, chosen by a hash of the id). The sample is written once and counted and searched by
+the executors: the driver sees the tokens that score, and a few numbers for each document of
+the sample. Every text is scored whole.
 
 Defined results: a null or empty text has no segment and gets the calibrated score of
 "no toxic passage"; with no labels to learn from every score is 0; repeated rows score
@@ -28,13 +30,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..storage import Written
 from .common import id_crc, slices, table
 
 #: Bound of the labelled training sample: the expected number of documents.
 TRAIN_DOCS = 16_000
-#: Most tokens kept in the broadcast table; tokens are kept by significance.
-TABLE_TOKENS = 50_000
 PRIOR_WEIGHT = 50.0
 PRIOR_FLOOR = 0.5
 #: A token's score is the lower confidence bound of its log-odds at so many standard errors, if at least MIN_SCORE.
@@ -115,25 +117,18 @@ def score(text: str | None, model: Model) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def log_odds(toxic: Counter, clean: Counter) -> dict[str, float]:
-    """Lower bounds of the tokens' log-odds, with a Dirichlet prior in proportion to the pooled counts.
+def log_odds(counts: DataFrame, totals: tuple[int, int]) -> DataFrame:
+    """token, score and clean of the tokens that score: lower bounds of their log-odds, with a Dirichlet prior in proportion to the pooled counts.
 
-    The counts are of texts that hold a token, so that one long text weighs no more than another.
+    counts: token, toxic and clean, the numbers of texts that hold it, so that one long text
+    weighs no more than another; totals: their sums.
     """
-    pooled = toxic + clean
-    n = sum(pooled.values())
-    n_t, n_c = sum(toxic.values()), sum(clean.values())
-    if not n_t or not n_c:
-        return {}
-    out = {}
-    for w, c in pooled.items():
-        a = PRIOR_WEIGHT * c / n + PRIOR_FLOOR
-        t, k = toxic[w] + a, clean[w] + a
-        odds = math.log(t / (n_t + PRIOR_WEIGHT - t)) - math.log(k / (n_c + PRIOR_WEIGHT - k))
-        bound = odds - BOUND_Z * math.sqrt(1 / t + 1 / k)
-        if bound >= MIN_SCORE:
-            out[w] = min(MAX_SCORE, bound)
-    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:TABLE_TOKENS])
+    n_t, n_c = map(float, totals)
+    prior = PRIOR_WEIGHT * (F.col("toxic") + F.col("clean")) / (n_t + n_c) + PRIOR_FLOOR
+    t, k = F.col("toxic") + prior, F.col("clean") + prior
+    odds = F.log(t / (n_t + PRIOR_WEIGHT - t)) - F.log(k / (n_c + PRIOR_WEIGHT - k))
+    bound = odds - BOUND_Z * F.sqrt(1 / t + 1 / k)
+    return counts.select("token", F.least(F.lit(MAX_SCORE), bound).alias("score"), "clean").where(F.col("score") >= MIN_SCORE)
 
 
 def karlin(scores: list[float], background: float, positives: float) -> float:
@@ -171,46 +166,70 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def fit(rows: list[tuple[int, str | None]]) -> Model:
-    """A model from (label, text) rows; three of five rows give the token scores, the rest the calibration."""
-    head, tail = [r for i, r in enumerate(rows) if i % 5 < 3], [r for i, r in enumerate(rows) if i % 5 >= 3]
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, toxic, clean: in how many texts of each label a token occurs."""
     toxic, clean = Counter(), Counter()
-    for y, text in dict.fromkeys(head):  # copies count once
-        (toxic if y else clean).update(set(tokens(text)))
-    table_ = log_odds(toxic, clean)
-    hits = [s for w, s in table_.items() for _ in range(clean[w])]
-    lam = karlin(hits, BACKGROUND, len(hits) / max(1, sum(clean.values())))
-    raw = Model(table_, lam, 0.0, None)
-    best = [max((s for _, _, s in segments(t, raw)[0]), default=None) for y, t in head if not y]
-    best = [b for b in best if b is not None]
-    # E[max of a standard Gumbel variable] is Euler's constant; best is lambda*S - ln(n)
-    model = Model(table_, lam, float(np.mean(best)) - 0.5772 if best else 0.0, None)
-    tail = tail or head
-    y = np.array([float(r[0]) for r in tail])
-    if not len(y) or y.min() == y.max():
-        return model
-    return model._replace(weights=logistic(np.array([features(t, model) for _, t in tail]), y))
+    for s in slices(batches):
+        for y, t in zip(s.column("toxic").to_pylist(), s.column("text").to_pylist(), strict=True):
+            (toxic if y else clean).update(set(t.split()))
+    words = sorted(toxic.keys() | clean.keys())
+    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([clean[w] for w in words], pa.int64())], names=["token", "toxic", "clean"])
+
+
+def _sought(rows: DataFrame, model: Model) -> np.ndarray:
+    """toxic, best raw score (NaN without a segment) and the features of each row, sorted."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in slices(batches):
+            got = []
+            for y, t in zip(s.column("toxic").to_pylist(), s.column("text").to_pylist(), strict=True):
+                found, _ = segments(t, sent.value)
+                got.append((float(y), max((v for _, _, v in found), default=math.nan), *features(t, sent.value)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*got, strict=True)], names=_SOUGHT)
+
+    got = rows.select("toxic", "text").mapInArrow(run, ", ".join(f"{n} double" for n in _SOUGHT)).toPandas().to_numpy(np.float64)
+    return got[np.lexsort(got.T[::-1])]
+
+
+_SOUGHT = ["toxic", "best", "x0", "x1", "x2"]
 
 
 def train(documents: DataFrame, labels: DataFrame, keep=None) -> Model:
-    """Fit on a bounded sample of the labelled rows."""
+    """Fit on a bounded sample of the labelled rows; three of five rows give the token scores, the rest the calibration."""
     named = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     named = named if keep is None else named.where(keep)
     share = min(1.0, TRAIN_DOCS / max(1, named.count()))
     if share < 1:
         named = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003)))
-    named = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).hint("broadcast")  # at most about TRAIN_DOCS rows
-    rows = documents.select("doc_id", "text").join(named, "doc_id")
-    out = []
-    for batch in rows.select("doc_id", "toxic", "text").mapInArrow(_words, "doc_id long, toxic int, text string").toLocalIterator(prefetchPartitions=True):
-        out.append((batch["doc_id"], int(batch["toxic"]), batch["text"]))
-    out.sort(key=lambda r: (r[0], r[2]))
-    return fit([(y, t) for _, y, t in out])
+    named = named.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).hint("broadcast")  # at most about TRAIN_DOCS rows
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(5))
+    rows = documents.select("doc_id", "text").join(named, "doc_id").select("toxic", part.alias("part"), "text").mapInArrow(_words, "toxic int, part int, text string")
+    sample = Written(rows, "labelled")
+    head, tail = sample.df.where("part < 3"), sample.df.where("part >= 3")
+    once = head.groupBy("toxic", F.xxhash64("text")).agg(F.first("text").alias("text"))  # copies count once
+    counts = Written(once.select("toxic", "text").mapInArrow(_counted, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "tokens")
+    n_t, n_c = (int(x or 0) for x in counts.df.agg(F.sum("toxic"), F.sum("clean")).first())
+    table_ = {r["token"]: (r["score"], r["clean"]) for r in log_odds(counts.df, (n_t, n_c)).collect()} if n_t and n_c else {}
+    scores = {w: s for w, (s, _) in sorted(table_.items())}
+    hits = [s for _, (s, c) in sorted(table_.items()) for _ in range(c)]
+    raw = Model(scores, karlin(hits, BACKGROUND, len(hits) / max(1, n_c)), 0.0, None)
+    best = _sought(head.where("toxic = 0"), raw)[:, 1]
+    best = best[~np.isnan(best)]
+    # E[max of a standard Gumbel variable] is Euler's constant; best is lambda*S - ln(n)
+    model = raw._replace(log_k=float(best.mean()) - 0.5772 if len(best) else 0.0)
+    got = _sought(tail, model)
+    got = got if len(got) else _sought(head, model)
+    sample.drop()
+    counts.drop()
+    if not len(got) or got[:, 0].min() == got[:, 0].max():
+        return model
+    return model._replace(weights=logistic(got[:, 2:], got[:, 0]))
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32()), pa.array([" ".join(tokens(t)) for t in b.column(2).to_pylist()], pa.string())], names=["doc_id", "toxic", "text"])
+    for s in slices(batches):
+        yield pa.RecordBatch.from_arrays([s.column("toxic").cast(pa.int32()), s.column("part").cast(pa.int32()), pa.array([" ".join(tokens(t)) for t in s.column("text").to_pylist()], pa.string())], names=["toxic", "part", "text"])
 
 
 def with_scores(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:
@@ -231,15 +250,16 @@ def with_scores(documents: DataFrame, model: Model, column: str = "score") -> Da
 
 def passages(documents: DataFrame, model: Model) -> DataFrame:
     """Every significant toxic passage: doc_id, first and last token, extreme-value score."""
+    kind = documents.schema["doc_id"].dataType
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
             rows = [(i, a, b, v) for i, t in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), strict=True) for a, b, v in segments(t, sent.value)[0] if v > SIGNIFICANT]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64())], names=["doc_id", "first_token", "last_token", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], to_arrow_type(kind)), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64())], names=["doc_id", "first_token", "last_token", "score"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, first_token int, last_token int, score double")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, first_token int, last_token int, score double")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
