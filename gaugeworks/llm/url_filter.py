@@ -1,15 +1,18 @@
 """URL filter by a sorted digest array.
 
 Rules are host + path strings (``org/``, ``example.org/es/``). Their 64-bit XXH64 keys
-form one sorted array, written to a file and memory-mapped by each Python worker. A
-url is looked up through every suffix of its host and every path length that occurs
-among the rules; a batch of candidate keys is probed by one vectorised binary search
-and each hit is confirmed against the stored full string, so a collision of two keys
-cannot give a wrong verdict. Rules and the method's own list of hosts share the array.
+form one sorted array; keys, strings and actions lie in one file that each Python worker
+memory-maps. A url is looked up through every suffix of its host and every path length
+that occurs among the rules; a batch of candidate keys is probed by one vectorised binary
+search and each hit is confirmed against the stored full string, so a collision of two
+keys cannot give a wrong verdict. Rules and the method's own list of hosts each have an
+array. An array of more than BROADCAST_BYTES is cut by key into several, which are probed
+one after the other.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no
-rule and the verdict allow; repeated rows are judged alike; an empty table gives an
-empty result; further columns of the input are ignored.
+rule and the verdict allow; a rule's path starts with a slash, so no rule fits an empty
+path, while the method's own list looks at hosts only; repeated rows are judged alike; an
+empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -17,11 +20,14 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .common import table
 
@@ -41,7 +47,7 @@ BLOCKED_HOSTS = [
     for top in ("com", "net", "org")
 ]
 
-#: A digest array up to this size is sent to the executors as one broadcast.
+#: Bytes of a digest array that are sent to the executors as one broadcast.
 BROADCAST_BYTES = 256 << 20
 
 SEED = 0
@@ -61,34 +67,62 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host, tail[:end]
 
 
-def build(entries: Iterable[tuple[str, str]]) -> tuple[bytes, list[tuple[str, str]], list[int]]:
-    """Sorted key array (as bytes), the entries in the same order, and the path lengths in use.
+class Digests(NamedTuple):
+    """Part of a sorted digest array, as bytes, and the path lengths in use."""
 
-    An entry is (action, host/path); the first of two with equal strings stays.
-    """
+    keys: bytes
+    ends: bytes  # of each entry's string in strings
+    strings: bytes
+    blocks: bytes  # 1 for each entry that blocks
+    lengths: list[int]
+
+
+def build(entries: Iterable[tuple[str, str]], most: int = BROADCAST_BYTES) -> list[Digests]:
+    """The sorted digest array of (action, host/path) entries, in parts of about so many bytes; the first of two with equal strings stays."""
     first: dict[str, str] = {}
     for action, rule in entries:
         first.setdefault(rule, action)
-    rows = sorted((xxhash.xxh64_intdigest(rule.encode(), SEED), rule, action) for rule, action in first.items())
-    keys = np.array([r[0] for r in rows], dtype="<u8")
+    rows = sorted((xxhash.xxh64_intdigest(rule.encode(), SEED), rule.encode(), action) for rule, action in first.items())
     lengths = sorted({len(rule) - rule.index("/") for rule in first})
-    return keys.tobytes(), [(rule, action) for _, rule, action in rows], lengths
-
-
-def mapped(data: bytes) -> np.ndarray:
-    """Memory-map the key array from the worker's own temporary folder; the file's name goes at once."""
-    if not data:
-        return np.empty(0, "<u8")
+    out, at = [], 0
+    while at < len(rows):
+        end, size = at, 0
+        while end < len(rows) and (end == at or size + len(rows[end][1]) + 17 <= most):
+            size += len(rows[end][1]) + 17
+            end += 1
+        part = rows[at:end]
+        out.append(Digests(np.array([r[0] for r in part], "<u8").tobytes(), np.cumsum([len(r[1]) for r in part]).astype("<i8").tobytes(), b"".join(r[1] for r in part), bytes(r[2] == "block" for r in part), lengths))
+        at = end
+    return out
+
+
+class Mapped(NamedTuple):
+    keys: np.ndarray
+    ends: np.ndarray
+    strings: np.ndarray
+    blocks: np.ndarray
+    lengths: list[int]
+
+    def entry(self, k: int) -> tuple[str, str]:
+        low = int(self.ends[k - 1]) if k else 0
+        return self.strings[low : int(self.ends[k])].tobytes().decode(), "block" if self.blocks[k] else "allow"
+
+
+def mapped(part: Digests) -> Mapped:
+    """One memory-mapped file in the worker's own temporary folder; its name goes at once."""
+    data = part.keys + part.ends + part.strings + part.blocks
     fd, path = tempfile.mkstemp(suffix=".digests")
     try:
         with os.fdopen(fd, "wb") as f:
             f.write(data)
-        return np.memmap(path, dtype="<u8", mode="r")
+        held = np.memmap(path, np.uint8, mode="r")
     finally:
         os.unlink(path)
+    a, b, c = len(part.keys), len(part.keys) + len(part.ends), len(data) - len(part.blocks)
+    return Mapped(held[:a].view("<u8"), held[a:b].view("<i8"), held[b:c], held[c:], part.lengths)
 
 
-def longest_rules(pairs: list[tuple[str, str]], keys: np.ndarray, stored: list[tuple[str, str]], lengths: list[int]) -> list[tuple[str, str] | None]:
+def longest_rules(pairs: list[tuple[str, str]], held: Mapped) -> list[tuple[str, str] | None]:
     """For each (host, path) the longest stored entry that fits it, as (rule, action)."""
     owners, candidates = [], []
     for i, (host, path) in enumerate(pairs):
@@ -97,62 +131,64 @@ def longest_rules(pairs: list[tuple[str, str]], keys: np.ndarray, stored: list[t
         labels = host.split(".")
         for k in range(len(labels)):
             suffix = ".".join(labels[k:])
-            for n in lengths:
-                # A rule that ends in the host's slash alone also fits an empty path.
-                if n <= len(path):
-                    candidates.append(suffix + path[:n])
-                elif n == 1 and not path:
-                    candidates.append(suffix + "/")
-                else:
+            for n in held.lengths:
+                if n > len(path):
                     break
+                candidates.append(suffix + path[:n])
                 owners.append(i)
     found: list[tuple[str, str] | None] = [None] * len(pairs)
-    if not candidates or not len(keys):
+    if not candidates:
         return found
     probe = np.fromiter((xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass"), SEED) for c in candidates), dtype="<u8", count=len(candidates))
-    at = np.searchsorted(keys, probe)
-    hit = np.nonzero(keys[np.minimum(at, len(keys) - 1)] == probe)[0]
+    at = np.searchsorted(held.keys, probe)
+    hit = np.nonzero(held.keys[np.minimum(at, len(held.keys) - 1)] == probe)[0]
     for j in hit:
         k = int(at[j])
-        while k < len(stored) and keys[k] == probe[j]:  # equal keys of different strings stand side by side
-            if stored[k][0] == candidates[j]:
+        while k < len(held.keys) and held.keys[k] == probe[j]:  # equal keys of different strings stand side by side
+            entry = held.entry(k)
+            if entry[0] == candidates[j]:
                 i = owners[j]
-                if found[i] is None or len(stored[k][0]) > len(found[i][0]):
-                    found[i] = stored[k]
+                if found[i] is None or len(entry[0]) > len(found[i][0]):
+                    found[i] = entry
                 break
             k += 1
     return found
 
 
-def judge(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, id_col: str = "page_id", url_col: str = "url", most: int = BROADCAST_BYTES) -> DataFrame:
     """One row per page: id, host, path, rule (null if none fits) and verdict."""
     spark = pages.sparkSession
-    ruled = {r for _, r in rules}
-    parts = (build(rules), build(("block", f"{h}/") for h in blocked_hosts if f"{h}/" not in ruled))
-    total = sum(len(p[0]) + sum(len(s) for s, _ in p[1]) for p in parts)
-    if total > BROADCAST_BYTES:
-        raise ValueError(f"the digest array has {total} bytes; the limit is {BROADCAST_BYTES}: split the list by host")
-    sent = spark.sparkContext.broadcast(parts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = [(mapped(keys), stored, lengths) for keys, stored, lengths in sent.value]
-        for batch in batches:
-            ids, urls = batch.column(0), batch.column(1).to_pylist()
-            pairs = [split_url(u) for u in urls]
-            by_rule, by_list = (longest_rules(pairs, *a) for a in arrays)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids,
-                    pa.array([h for h, _ in pairs], pa.string()),
-                    pa.array([p for _, p in pairs], pa.string()),
-                    pa.array([r[0] if r else None for r in by_rule], pa.string()),
-                    pa.array([r[1] if r else (m[1] if m else "allow") for r, m in zip(by_rule, by_list, strict=True)], pa.string()),
-                ],
-                names=[id_col, "host", "path", "rule", "verdict"],
-            )
-
-    kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, url_col).mapInArrow(run, f"{id_col} {kind}, host string, path string, rule string, verdict string")
+    ident = pages.schema[id_col]
+    names = ["id", "url", "rule", "action", "listed"]
+    schema = StructType([StructField("id", ident.dataType), *(StructField(n, StringType()) for n in names[1:4]), StructField("listed", BooleanType())])
+    out = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("action"), F.lit(False).alias("listed"))
+    for own, entries in ((False, rules), (True, [("block", f"{h}/") for h in blocked_hosts])):
+        for part in build(entries, most):
+            sent = spark.sparkContext.broadcast(part)
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent, own=own) -> Iterator[pa.RecordBatch]:
+                held = mapped(sent.value)
+                for b in batches:
+                    pairs = [split_url(u) for u in b.column("url").to_pylist()]
+                    # the method's own list looks at the host only
+                    found = longest_rules([(h, "/") for h, _ in pairs] if own else pairs, held)
+                    cols = [b.column(n).to_pylist() for n in ("rule", "action", "listed")]
+                    if own:
+                        cols[2] = [was or f is not None for was, f in zip(cols[2], found, strict=True)]
+                    else:
+                        best = [f if f and (was is None or len(f[0]) > len(was)) else (was, act) for f, was, act in zip(found, cols[0], cols[1], strict=True)]
+                        cols[:2] = [x[0] for x in best], [x[1] for x in best]
+                    yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_())], names=names)
+
+            out = out.mapInArrow(run, schema)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [split_url(u) for u in b.column("url").to_pylist()]
+            verdict = [a or ("block" if x else "allow") for a, x in zip(b.column("action").to_pylist(), b.column("listed").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([h for h, _ in pairs], pa.string()), pa.array([p for _, p in pairs], pa.string()), b.column("rule"), pa.array(verdict, pa.string())], names=[id_col, "host", "path", "rule", "verdict"])
+
+    return out.mapInArrow(split, StructType([StructField(id_col, ident.dataType), *(StructField(n, StringType()) for n in ("host", "path", "rule", "verdict"))]))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +206,7 @@ WITH cut AS (
   VALUES {", ".join(f"('{a}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for a, r in RULES)}
 ), fit AS (
   SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(action, length(rhost || rpath)) AS action
-  FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND (starts_with(path, rpath) OR (rpath = '/' AND path = '' AND host <> ''))
+  FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
   GROUP BY page_id
 )
 SELECT p.page_id, p.host, p.path, f.rule,
