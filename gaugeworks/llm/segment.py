@@ -33,19 +33,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import slices, table
 
-#: The default vocabulary file; a parameter of every function here.
-MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+#: The default vocabulary file, where neither the function's parameter nor the setting MODEL_SETTING names one.
+MODEL_FILE, MODEL_SETTING = "/opt/tokenizers/piece_bpe_32k.model", "spark.gaugeworks.sentencepiece.model"
 SAMPLES = 2
 #: Rank offset of the Zipf law, and the exponent that sharpens (over 1) or flattens it.
 ZIPF, THETA = 2.7, 1.0
 #: Extra cost of spelling a character in bytes.
 BYTE_LOGP = -16.0
 #: Distinct atoms kept by a worker between batches.
-KEPT_ATOMS = 80_000
+KEPT_ATOMS = 150_000
 #: Bytes of text handled together; an array of this many numbers stays small.
 SLICE = 600_000
 SEED = 0
@@ -60,6 +60,10 @@ class Vocabulary(NamedTuple):
     surface: list[bytes]  # by id: what decoding writes
 
 
+def model_file(spark: SparkSession, given: str | None = None) -> str:
+    return given or spark.conf.get(MODEL_SETTING, MODEL_FILE)
+
+
 def load(path: str = MODEL_FILE) -> Vocabulary:
     """Pieces with Zipf log-probabilities by rank; read on the driver and broadcast."""
     import sentencepiece
@@ -102,6 +106,10 @@ def uniform(key: np.ndarray | int, purpose: int, place: np.ndarray | int) -> np.
     return (_splitmix(x) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
+#: Places whose part of a random number is kept in a table.
+KEPT_PLACES = 1 << 18
+
+
 class Lattices:
     """Edges of distinct atoms: from each character the pieces that start there, with the chance of each given what follows."""
 
@@ -142,6 +150,7 @@ class Lattices:
             a, b = parent.get(k >> 21), k & 0x1FFFFF
             if a is not None and a < 1024 and b < 1024:
                 self.two[a, b] = node
+        self.mixed: dict[int, np.ndarray] = {}
         self.clear()
 
     def _step(self, node: np.ndarray, chars: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -172,6 +181,14 @@ class Lattices:
         self.chance = np.zeros(1 << 18)  # running sum of the chances from the same position
         self.logq = np.zeros(1 << 18)
 
+    def draws(self, key: np.ndarray, purpose: int, place: np.ndarray) -> np.ndarray:
+        """As uniform(), the part of near places from a table."""
+        if purpose not in self.mixed:
+            self.mixed[purpose] = _splitmix(np.arange(KEPT_PLACES, dtype=np.uint64) ^ (np.uint64(purpose) << np.uint64(48)))
+        if len(place) and place.max() >= KEPT_PLACES:
+            return uniform(key, purpose, place)
+        return (_splitmix(key ^ self.mixed[purpose][place]) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+
     def _grow(self, positions: int, edges: int) -> None:
         """Room for so many more, by doubling."""
         for name, n in (("edge_from", self.n_positions + positions + 1), ("piece", self.n_edges + edges), ("length", self.n_edges + edges), ("chance", self.n_edges + edges), ("logq", self.n_edges + edges)):
@@ -220,13 +237,14 @@ class Lattices:
         code = chars[lone]
         # a character without a piece: the byte's piece, or for several bytes a number past the vocabulary
         found.append((lone, np.where(code < 128, self.v.byte_ids[np.minimum(code, 127)], self.n_pieces + code), 1))
+        found.reverse()  # the longest piece of a position first: it is mostly the likeliest, so a draw is soon decided
         src = np.concatenate([f[0] for f in found])
         piece = np.concatenate([f[1] for f in found])
         span = np.concatenate([np.full(len(f[0]), f[2]) for f in found])
         order = np.argsort(src, kind="stable")
         src, piece, span = src[order], piece[order], span[order]
         cost = np.where(piece < self.n_pieces, self.v.logp[np.minimum(piece, self.n_pieces - 1)], 2 * BYTE_LOGP)
-        edge_from = np.searchsorted(src, np.arange(n + 1))
+        edge_from = np.append(0, np.cumsum(np.bincount(src, minlength=n)))
         # mass of everything from a position to the atom's end, nearest the end first
         mass = np.zeros(n + 1)
         goal = src + span
@@ -306,7 +324,7 @@ def walk(t: Texts, lat: Lattices, sample: int, atoms: np.ndarray, owner: np.ndar
     key, length = t.keys[owner], t.length[atoms]
     place = t.atom_from[atoms] - t.atom_from[np.minimum(t.text_from[owner], len(t.atom_from) - 1)]
     while len(at):
-        u = uniform(key[at], sample, place[at] + done[at])
+        u = lat.draws(key[at], sample, place[at] + done[at])
         edge = lat.edge_from[position[at]]
         wrong = np.nonzero(u >= lat.chance[edge])[0]
         while len(wrong):
@@ -492,13 +510,13 @@ def row_keys(ids: list, seed: int = SEED) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(str(i).encode(), seed) for i in ids], np.uint64)
 
 
-def sampled(documents: DataFrame, k: int = SAMPLES, vocabulary: str = MODEL_FILE, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
+def sampled(documents: DataFrame, k: int = SAMPLES, vocabulary: str | None = None, key: str = "doc_id") -> DataFrame:
     """A row for each sample: key, sample (0, 1 ...), ids, n_pieces, log_prob, perturbed, inclusion, ids_xxh64, decoded_ok.
 
-    ids is left null without with_ids. decoded_ok: decoding the ids gave the text.
+    decoded_ok: decoding the ids gave the text.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(load(vocabulary))
-    kinds = [pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
+    sent = documents.sparkSession.sparkContext.broadcast(load(model_file(documents.sparkSession, vocabulary)))
+    kinds = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
     names = ["sample", "ids", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_xxh64", "decoded_ok"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,45 +525,52 @@ def sampled(documents: DataFrame, k: int = SAMPLES, vocabulary: str = MODEL_FILE
         for s in slices(batches, most=SLICE):
             texts = s.column(1).to_pylist()
             t = prepare(texts, row_keys(s.column(0).to_pylist()), lat)
-            rows, who = [], []
+            rows, who, pieces = [], [], []
             for i, (got, bound) in enumerate(search(t, lat, k)):
                 for j, x in enumerate(got):
-                    ids = piece_ids(x, lat, v)
+                    ids = piece_ids(x, lat, v).astype(np.int32)
                     logp = float(x.logp.sum())
-                    listed = ids.tolist()
-                    rows.append((j, listed if with_ids else None, len(listed), logp, x.score, inclusion(logp, bound), xxhash.xxh64_hexdigest(ids.astype("<i4").tobytes()), decode(listed, v) == (texts[i] or "")))
+                    rows.append((j, len(ids), logp, x.score, inclusion(logp, bound), xxhash.xxh64_hexdigest(ids.astype("<i4").tobytes()), decode(ids.tolist(), v) == (texts[i] or "")))
                     who.append(i)
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([s.column(0).take(pa.array(who)), *(pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True))], names=[key, *names])
+                    pieces.append(ids)
+            ends = np.cumsum([0, *map(len, pieces)], dtype=np.int32)
+            cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+            cols.insert(1, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces))))
+            yield pa.RecordBatch.from_arrays([s.column(0).take(pa.array(who)), *cols], names=[key, *names])
 
     kind = documents.schema[key].dataType.simpleString()
     return documents.select(key, "text").mapInArrow(run, f"{key} {kind}, sample int, ids array<int>, n_pieces long, log_prob double, perturbed double, inclusion double, ids_xxh64 string, decoded_ok boolean")
 
 
-def encoded(documents: DataFrame, vocabulary: str = MODEL_FILE) -> DataFrame:
-    """The documents with the library's own (deterministic) encoding in ids."""
-    with open(vocabulary, "rb") as f:
+def encoded(documents: DataFrame, vocabulary: str | None = None, ids: str = "ids") -> DataFrame:
+    """The documents with the library's own (deterministic) encoding in ids; a column of that name is replaced. Null is the empty text."""
+    with open(model_file(documents.sparkSession, vocabulary), "rb") as f:
         sent = documents.sparkSession.sparkContext.broadcast(f.read())
+    kept = documents.drop(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=sent.value)
         for s in slices(batches):
-            ids = sp.encode([t or "" for t in s.column("text").to_pylist()], num_threads=1)
-            yield pa.RecordBatch.from_arrays([*s.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*s.schema.names, "ids"])
+            found = sp.encode([t or "" for t in s.column("text").to_pylist()], num_threads=1)
+            yield pa.RecordBatch.from_arrays([*s.columns, pa.array(found, pa.list_(pa.int32()))], names=[*s.schema.names, ids])
+
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
 
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+def decoded(rows: DataFrame, vocabulary: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """The rows with the text of their ids in decoded; a column of that name is replaced. Null ids give null."""
+    sent = rows.sparkSession.sparkContext.broadcast(load(model_file(rows.sparkSession, vocabulary)))
+    kept = rows.drop(text)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [None if x is None else decode(x, sent.value) for x in b.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*b.schema.names, text])
 
-def decoded(rows: DataFrame, vocabulary: str = MODEL_FILE, ids: str = "ids") -> DataFrame:
-    """The rows with the text of their ids in decoded."""
-    sent = rows.sparkSession.sparkContext.broadcast(load(vocabulary))
-    surface = F.udf(lambda x: None if x is None else decode(x, sent.value), "string")
-    return rows.withColumn("decoded", surface(ids))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(text, StringType())]))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+    return sampled(table(spark, sf_dir, "documents"))
