@@ -287,12 +287,16 @@ _TYPES: list[tuple] = [
         _phone,
         lambda found, c: _in_format(found, c[-sum(x.isdigit() for x in found) :]),
     ),
-    ("person", rf"\b(?:(?P<title>{_TITLE})\b\.? (?P<titled>{_PROPER}(?: {_PROPER}){{0,2}})|(?P<plain>(?:{_FIRST})(?:-{_PART})*(?: [A-ZÀ-ÞА-ЯΑ-Ω]\.)? {_PROPER}))", None, str, None, None),
 ]
 _ALL = re.compile("|".join(f"(?P<{n}>{p})" for n, p, *_ in _TYPES))
-#: A text without any of these has no entity: a digit, an at sign, a title or a known first name before a capital.
-_MAYBE = re.compile(rf"[0-9@]|\b(?:{_TITLE}|{_FIRST})\b[.\w-]* [A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]")
 _BY_NAME = {n: rest for n, *rest in _TYPES}
+#: A text without any of these has none of the above.
+_MAYBE = re.compile(r"[0-9@]|A[KS]IA")
+_CAPITAL = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω"
+#: A capitalised word before another: a person is looked for where the first is a title or a listed first name.
+_PAIR = re.compile(rf"([{_CAPITAL}](?<![^\W_].)[^\W\d_]*)[\w'’-]*\.? (?=[{_CAPITAL}])")
+_KNOWN = frozenset([*_LISTED, *_TITLED])
+_PERSON = re.compile(rf"(?:(?P<title>{_TITLE})\b\.? (?P<titled>{_PROPER}(?: {_PROPER}){{0,2}})|(?P<plain>(?:{_FIRST})(?:-{_PART})*(?: [{_CAPITAL}]\.)? {_PROPER}))(?![^\W_])")
 _INITIAL = re.compile(r"[^\W\d_]\.")
 
 
@@ -323,21 +327,24 @@ def surrogate(kind: str, canonical: str, key: bytes, salt: int = 0) -> str:
     return _name(canonical, key, salt) if kind == "person" else _BY_NAME[kind][3](canonical, key)
 
 
+def people(text: str) -> list[Find]:
+    """The parts of the names of persons that a title or a listed first name tells."""
+    out, end = [], 0
+    for m in _PAIR.finditer(text):
+        if m[1] in _KNOWN and m.start() >= end and (p := _PERSON.match(text, m.start())):
+            out += _people(p)
+            end = p.end()
+    return out
+
+
 def entities(text: str | None) -> list[Find]:
     """The entities of a text in order; a person's name is one for each part, and further mentions of the parts are found, too."""
-    if not text or not _MAYBE.search(text):
+    if not text:
         return []
-    at, out, people = 0, [], {}
-    while m := _ALL.search(text, at):
+    at, out = 0, []
+    while _MAYBE.search(text, at) and (m := _ALL.search(text, at)):
         kind = next(n for n in _BY_NAME if m[n] is not None)
         check, canonical = _BY_NAME[kind][1], _BY_NAME[kind][2]
-        if kind == "person":
-            found = _people(m)
-            for f in found:
-                people.setdefault(f.canonical[2:], f.canonical)
-            out += found
-            at = m.end()
-            continue
         group = f"{kind}_e" if kind == "secret" else kind
         if check is None or check(m[group]):
             out.append(Find(kind, m.start(group), m.end(group), canonical(m[group])))
@@ -347,16 +354,20 @@ def entities(text: str | None) -> list[Find]:
             at = m.start() + 1
             while at < len(text) and text[at - 1].isalnum() and text[at].isalnum():
                 at += 1
-    if people:
+    found = people(text)
+    if found:
+        # the parts of one name have one role within a text, that of their first mention
+        roles: dict[str, str] = {}
+        for f in found:
+            roles.setdefault(f.canonical[2:], f.canonical)
         taken = iter([*out, Find("", len(text) + 1, len(text) + 1, "")])
-        following, more = next(taken), []
-        for m in re.finditer(rf"{_PART}", text):
+        following = next(taken)
+        for m in re.finditer(_PART, text):
             while following.end <= m.start():
                 following = next(taken)
-            if m[0] in people and m.end() <= following.start and not text[m.start() - 1 : m.start()].isalnum() and not text[m.end() : m.end() + 1].isalnum():
-                more.append(Find("person", m.start(), m.end(), people[m[0]]))
-        # the parts of one name have one role within a text
-        out = sorted([*(f._replace(canonical=people[f.canonical[2:]]) if f.kind == "person" else f for f in out), *more], key=lambda f: f.start)
+            if m[0] in roles and m.end() <= following.start and not text[m.start() - 1 : m.start()].isalnum() and not text[m.end() : m.end() + 1].isalnum():
+                out.append(Find("person", m.start(), m.end(), roles[m[0]]))
+        out.sort(key=lambda f: f.start)
     return out
 
 
@@ -368,7 +379,7 @@ def replaced(text: str | None, key: bytes = KEY, salts: dict[str, int] | None =
     out, at = [], 0
     for kind, start, end, canonical in entities(text):
         new = surrogate(kind, canonical, key, (salts or {}).get(canonical, 0))
-        write = _BY_NAME[kind][4]
+        write = None if kind == "person" else _BY_NAME[kind][4]
         out += [text[at:start], write(text[start:end], new) if write else new]
         at = end
         counts[kind] = counts.get(kind, 0) + 1
@@ -385,7 +396,7 @@ def name_salts(documents: DataFrame, key: bytes = KEY) -> dict[str, int]:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
-            names = {f.canonical for t in s.column(0).to_pylist() for f in entities(t) if f.kind == "person"}
+            names = {f.canonical for t in s.column(0).to_pylist() if t for f in people(t)}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(names), pa.string())], names=["canonical"])
 
     names = Written(documents.select("text").mapInArrow(found, "canonical string").distinct(), "names")
