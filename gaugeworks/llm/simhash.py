@@ -19,7 +19,8 @@ link is verified on the two sets of shingles.
 
 Defined results: a null or empty text has no words and the fingerprint zero; a text of
 fewer words than a shingle is one shingle; a repeated or null id stays a row of its own;
-an empty table gives an empty result; further columns are ignored.
+an empty table gives an empty result; further columns are ignored, and deduplicated() lets
+them pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..storage import Written, written
-from .common import slices, table
+from .common import free_name, slices, table
 
 SEED = 42
 SHINGLE = 3
@@ -189,10 +190,10 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "node", "size", *(f"f{i}" for i in range(WIDE)), "keys"]
+    names = ["doc_id", "hash", "node", "size", *(f"f{i}" for i in range(WIDE)), "keys"]
     for s in slices(batches):
         prints, keys, nodes, sizes = np.zeros((s.num_rows, WIDE), np.uint64), [], [], []
-        for i, t in enumerate(s.column(1).to_pylist()):
+        for i, t in enumerate(s.column("text").to_pylist()):
             node, h = _shingle_set(t, width)
             nodes.append(node)
             sizes.append(len(h))
@@ -203,7 +204,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
             prints[i] = [fingerprint(x) for x in each[:WIDE]]
             least = np.array([x.min() for x in each])
             keys.append(_mixed(least[:PAIRS] ^ (least[PAIRS:] << np.uint64(1)), 99).view(np.int64).tolist())
-        cols = [s.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(prints[:, k].view(np.int64)) for k in range(WIDE)), pa.array(keys, pa.list_(pa.int64()))]
+        cols = [s.column("doc_id"), s.column("hash"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(prints[:, k].view(np.int64)) for k in range(WIDE)), pa.array(keys, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
@@ -240,8 +241,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """doc_id and component_id, the smallest id of the group of near-duplicates, for each row.
+def _near_nodes(documents: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hash of the text, node) of each row, and (node, root) of the nodes that have near ones.
 
     Rows with the same set of shingles are one node. Under each key the smallest node leads:
     those verified to be near it are linked to it and leave, and the next round goes on with
@@ -252,8 +253,8 @@ def near_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5) -
     """
     prints = [f"f{i}" for i in range(WIDE)]
     kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, node long, size int, " + ", ".join(f"{f} long" for f in prints) + ", keys array<long>"
-    rows = Written(documents.select("doc_id", "text").mapInArrow(lambda b: _signatures(b, width), schema), "signatures")
+    schema = f"doc_id {kind}, hash long, node long, size int, " + ", ".join(f"{f} long" for f in prints) + ", keys array<long>"
+    rows = Written(documents.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(lambda b: _signatures(b, width), schema), "signatures")
     nodes = rows.df.groupBy("node").agg(F.first("size").alias("size"), *(F.first(f).alias(f) for f in prints), F.first("keys").alias("keys"))
     left = Written(nodes.select("node", "size", *prints, F.explode("keys").alias("key")), "near-keys")
     near = most_bits(similarity)
@@ -297,31 +298,40 @@ def near_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5) -
     ends = F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")
     rest = rooted(0).join(rooted(1), (F.col("a.key") == F.col("b.key")) & (F.col("a.round") == F.col("b.round")) & (F.col("a.root") != F.col("b.root")) & ((F.col("a.round") < ROUNDS) | (F.col("a.node") < F.col("b.node"))) & close("a", "b")).select(*ends)
     links.append(_verified(written(rest.distinct(), "near-pairs"), texts.df, similarity, width))
-    roots = components(reduce(DataFrame.union, links))
-    least = rows.df.groupBy("node").agg(F.min("doc_id").alias("least"))
+    return rows.df.select("doc_id", "hash", "node"), written(components(reduce(DataFrame.union, links)), "near-roots")
+
+
+def near_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """doc_id and component_id, the smallest id of the group of near-duplicates, for each row."""
+    rows, roots = _near_nodes(documents, similarity, width)
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     own = roots.join(least, "node")
     smallest = own.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = own.join(smallest, "root").select("node", "component_id")
     named = written(least.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "near-names")
-    return rows.df.select("doc_id", "node").join(named, "node", "left").select("doc_id", "component_id")
+    return rows.join(named, "node", "left").select("doc_id", "component_id")
 
 
 def deduplicated(documents: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """The documents of which no near-duplicate has a smaller id; of rows with one id the first by text stays, and rows without an id all stay."""
-    nameless = documents.where("doc_id is null")
-    documents = documents.where("doc_id is not null")
-    return _one_each(documents, near_groups(documents, similarity, width)).unionByName(nameless)
-
-
-def _one_each(documents: DataFrame, groups: DataFrame) -> DataFrame:
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = documents.join(keep, "doc_id", "left_semi")
-    repeated = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("text")).alias("first")).where("n > 1")
-    repeated = written(repeated.select(F.col("doc_id").alias("_id"), "first"), "repeated-ids")
-    if not repeated.limit(1).count():
-        return kept
-    first = kept.join(repeated, kept["doc_id"] == repeated["_id"], "left").where("_id is null or first = xxhash64(text)")
-    return first.drop("_id", "first").dropDuplicates(["doc_id"])  # what is left to drop are equal rows
+    """One row of each group of near-duplicates: that of the smallest id, of equal ids that of the smallest text hash, of equal rows any.
+
+    Groups are made of rows, so rows that share an id but not their text are judged apart;
+    rows without an id all stay. All columns pass, whatever their names.
+    """
+    at, named = free_name(documents, "hash"), documents.where("doc_id is not null")
+    rows, roots = _near_nodes(named, similarity, width)
+    # one small row a node and then a group; a node with very many rows is summed up where it is read
+    first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
+    best = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    keep = written(best.select(F.col("first.doc_id").alias("doc_id"), F.col("first.hash").alias(at)).distinct(), "near-kept")
+    marked = named.withColumn(at, F.xxhash64("text"))
+    kept = marked.join(keep, ["doc_id", at], "left_semi")
+    again = rows.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.col("hash").alias(at))
+    again = written(again.join(keep, ["doc_id", at], "left_semi"), "repeated-rows")
+    if again.limit(1).count():  # equal rows
+        one = kept.join(again, ["doc_id", at], "left_semi").dropDuplicates(["doc_id", at])
+        kept = kept.join(again, ["doc_id", at], "left_anti").unionByName(one)
+    return kept.select(*documents.columns).unionByName(documents.where("doc_id is null"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,6 +242,19 @@ def likeness(a, b):
     return len(a & b) / len(a | b)
 
 
+def test_rows_are_judged_not_ids(spark):
+    rnd = random.Random(38)
+    a, b, c = (words(rnd, 60, 5000) for _ in range(3))
+    # one id with two texts, one of which leads its copies; equal rows; an id that comes later with a smaller text
+    rows = [(1, a, 0), (1, b, 1), (2, a, 2), (3, b, 3), (4, c, 4), (4, c, 5), (None, a, 6), (None, a, 7), (9, None, 8), (10, "", 9)]
+    for name in ("hash", "first", "_id", "component_id", "node", "root", "HASH_"):
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {name} int")
+        kept = simhash.deduplicated(df)
+        assert kept.columns == df.columns
+        got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+        assert got == sorted([(1, a), (1, b), (4, c), (None, a), (None, a), (9, None)], key=str)
+
+
 def test_near_groups_verify_each_link(spark):
     rnd = random.Random(18)
     rows, far, near = [], [], []
@@ -272,7 +285,7 @@ def test_near_groups_connect_every_similar_pair_of_a_key(spark):
             for _ in range(5):
                 t[rnd.randrange(304)] = f"edit{rnd.randrange(10**9)}"
     keys = {i: set() for i, _ in rows}
-    for b in simhash._signatures(iter([pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows])]), 5):
+    for b in simhash._signatures(iter([pa.RecordBatch.from_pylist([{"doc_id": i, "text": t, "hash": 0} for i, t in rows])]), 5):
         for i, k in zip(b.column("doc_id").to_pylist(), b.column("keys").to_pylist(), strict=True):
             keys[i] = set(k)
     root = {i: i for i, _ in rows}
@@ -442,7 +455,8 @@ def test_urls(spark):
         "http://x.com/fr/1": ("x.com", "/fr/1", "com/fr/", "allow"),
         "http://x.com/de/#t": ("x.com", "/de/", "com/de/", "block"),
         "http://m.casino-win.example.com/x": ("m.casino-win.example.com", "/x", None, "block"),
-        "http://casino-win.example.org": ("casino-win.example.org", "", "org/", "allow"),
+        "http://casino-win.example.org": ("casino-win.example.org", "", None, "block"),
+        "http://casino-win.example.org/": ("casino-win.example.org", "/", "org/", "allow"),
         "http://x.net#a": ("x.net", "", None, "allow"),
         "nothing": ("", "", None, "allow"),
         None: ("", "", None, "allow"),
@@ -455,11 +469,22 @@ def test_urls(spark):
 
 
 def test_colliding_keys_are_told_apart():
-    keys, stored, lengths = url_filter.build([("block", "a.com/"), ("block", "b.com/")])
-    same = np.full(2, np.frombuffer(keys, "<u8")[0], "<u8")
-    for s, _ in stored:
-        if xxhash.xxh64_intdigest(s.encode(), 0) == same[0]:
-            assert url_filter.longest_rules([(s[:-1], "/")], same, stored[::-1], lengths)[0][0] == s
+    held = url_filter.mapped(url_filter.build([("block", "a.com/"), ("allow", "b.com/")])[0])
+    same = held._replace(keys=np.full(2, xxhash.xxh64_intdigest("a.com/", 0), "<u8"))
+    assert url_filter.longest_rules([("a.com", "/")], same) == [("a.com/", "block")]
+    same = held._replace(keys=np.full(2, xxhash.xxh64_intdigest("b.com/", 0), "<u8"))
+    assert url_filter.longest_rules([("b.com", "/x")], same) == [("b.com/", "allow")]
+
+
+def test_large_lists_are_probed_in_parts(spark):
+    rules = [("block" if i % 2 else "allow", f"h{i}.org/{'a' * (i % 5)}") for i in range(300)] + [("block", "org/")]
+    urls = [(i, f"http://x.h{i}.org/{'a' * (i % 7)}") for i in range(300)]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    hosts = [f"h{i}.org" for i in range(0, 300, 3)]
+    assert len(url_filter.build(rules, 3000)) > 2
+    whole = sorted(map(tuple, url_filter.judge(df, rules, hosts).collect()))
+    assert whole == sorted(map(tuple, url_filter.judge(df, rules, hosts, most=3000).collect()))
+    assert {r[3] for r in whole} >= {"org/", "h4.org/aaaa"}
 
 
 # ---------------------------------------------------------------- 7

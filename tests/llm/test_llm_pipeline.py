@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeworks.llm import decontaminate, pii
 
@@ -50,3 +51,31 @@ def test_empty_documents_pass(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("clash", ["toxicity", "toxicity_", "score", "_toxicity", "n_entities", "entity_types", "hash", "_id", "first", "ids", "item_id", "n"])
+def test_columns_of_any_name_pass_all_stages(spark, clash):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn(clash, F.col("doc_id") * 3)
+    docs = docs.union(docs.limit(20)).union(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long"))).union(docs.limit(3).withColumn("text", F.lit(None).cast("string")))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns
+    assert docs.where(f"{clash} <> doc_id * 3").count() == 0
+    assert docs.where("doc_id is null").count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(20), SF).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_empty_benchmark_and_labels_drop_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["toxicity"](spark, docs, str(tmp_path)).count() == docs.count()
+    assert stages["decontamination"](spark, docs, str(tmp_path)).count() == docs.count()
