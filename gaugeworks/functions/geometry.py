@@ -27,6 +27,24 @@ def clipped(cx: Column, cy: Column, w: Column, h: Column) -> Column:
     return F.when((x2 - x1 > EPS) & (y2 - y1 > EPS), box)
 
 
+def area(w: Column, h: Column) -> Column:
+    return w * h
+
+
+#: The least share of a box that must stay in the picture.
+LEAST_VISIBLE = 0.2
+
+
+def clipped_boxes(boxes: Column, least_visible: float = LEAST_VISIBLE) -> Column:
+    """An array of struct(class_id, cx, cy, w, h) after a transformation: boxes cut to the picture, those hardly in it dropped."""
+
+    def cut(b: Column) -> Column:
+        return F.struct(b["class_id"].alias("class_id"), area(b["w"], b["h"]).alias("was"), clipped(b["cx"], b["cy"], b["w"], b["h"]).alias("to"))
+
+    seen = F.filter(F.transform(boxes, cut), lambda x: x["to"].isNotNull() & (area(x["to"]["w"], x["to"]["h"]) >= least_visible * x["was"]))
+    return F.transform(seen, lambda x: F.struct(x["class_id"].alias("class_id"), *(x["to"][c].alias(c) for c in ("cx", "cy", "w", "h"))))
+
+
 def flipped(cx: Column) -> Column:
     """Horizontal flip of a centre."""
     return 1 - cx

@@ -16,6 +16,10 @@ def sha256(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def md5(content: Column) -> Column:
+    return F.md5(content)
+
+
 def hex16(h: Column) -> Column:
     """The 64-bit pattern as 16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(h), 16, "0"))

@@ -73,3 +73,23 @@ def class_name(class_id: Column, names: list[str]) -> Column:
 def model_version(run: Column, weights: Column) -> Column:
     """run:stem of a weights file in run/weights, else its stem."""
     return F.when(F.coalesce(run, F.lit("")) != "", F.concat(run, F.lit(":"), path_stem(weights))).otherwise(path_stem(weights))
+
+
+def class_id(name: Column, names: list[str]) -> Column:
+    """Id of a class name; null if unknown."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, names)), name), F.lit(0).cast("long")).cast("int") - 1
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, halves to even; blank for null."""
+    return F.when(x.isNull(), "").otherwise(F.format_string(f"%.{digits}f", F.bround(x.cast("double"), digits)))
+
+
+# The classes that need an open or a close scene, and the share of aisle views among all others.
+OPEN_SCENE, CLOSE_SCENE, AISLE_SHARE = [5], [2, 3, 6], 0.36
+
+
+def scene_mode(class_ids: Column, draw: Column) -> Column:
+    """The kind of scene that an image's classes ask for; draw (0 to 1) decides where they ask for none."""
+    asks = lambda wanted: F.arrays_overlap(class_ids.cast("array<int>"), F.array(*map(F.lit, wanted)))
+    return F.when(asks(OPEN_SCENE), "open").when(asks(CLOSE_SCENE), "close").when(draw < AISLE_SHARE, "aisle").otherwise("single")

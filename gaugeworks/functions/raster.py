@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +16,7 @@ PROBE = "struct<width:int,height:int,white:double,edges:double,dhash:bigint>"
 
 
 def decode(content: bytes | None) -> np.ndarray | None:
-    """Grey values of a picture, or null. Binary PGM and PPM are read here, all else by Pillow where it is installed."""
+    """Grey values of a picture, or null. Binary PGM and PPM and plain PNG are read here, all else by Pillow where it is installed."""
     if not content:
         return None
     try:
@@ -31,7 +33,9 @@ def decode(content: bytes | None) -> np.ndarray | None:
             w, h, _ = fields
             planes = 3 if content[1:2] == b"6" else 1
             a = np.frombuffer(content, np.uint8, w * h * planes, at + 1).reshape(h, w, planes).astype(np.float64)
-            return a[:, :, 0] if planes == 1 else a @ np.array([0.299, 0.587, 0.114])
+            return a[:, :, 0] if planes == 1 else a @ GREY
+        if content[:8] == PNG:
+            return _png(content)
         from PIL import Image
 
         return np.asarray(Image.open(io.BytesIO(content)).convert("L"), np.float64)
@@ -39,6 +43,66 @@ def decode(content: bytes | None) -> np.ndarray | None:
         return None
 
 
+PNG = b"\x89PNG\r\n\x1a\n"
+GREY = np.array([0.299, 0.587, 0.114])
+
+
+def _png(content: bytes) -> np.ndarray:
+    """Grey values of a PNG of 8 bits a sample that isn't interlaced: grey, colour or palette, with or without alpha."""
+    at, data, head, palette = 8, [], b"", b""
+    while at < len(content):
+        n, kind = struct.unpack(">I4s", content[at : at + 8])
+        body = content[at + 8 : at + 8 + n]
+        head, palette = body if kind == b"IHDR" else head, body if kind == b"PLTE" else palette
+        data += [body] if kind == b"IDAT" else []
+        at += 12 + n
+    w, h, bits, kind, _, _, interlaced = struct.unpack(">IIBBBBB", head)
+    planes = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    if bits != 8 or interlaced:
+        raise ValueError("a PNG of another kind")
+    raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(h, 1 + w * planes)
+    out = np.zeros((h + 1, (w + 1) * planes), np.int64)  # a row above and a pixel to the left of zeros
+    for y in range(h):
+        how, line, up = raw[y, 0], raw[y, 1:].astype(np.int64), out[y]
+        if how == 0:
+            out[y + 1, planes:] = line
+        elif how == 1:
+            out[y + 1, planes:] = np.cumsum(line.reshape(w, planes), axis=0).ravel() & 255
+        elif how == 2:
+            out[y + 1, planes:] = (line + up[planes:]) & 255
+        else:
+            row = out[y + 1]
+            for i in range(w * planes):
+                a, b, c = int(row[i]), int(up[i + planes]), int(up[i])
+                if how == 3:
+                    guess = (a + b) // 2
+                else:
+                    guess = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+                row[i + planes] = (int(line[i]) + guess) & 255
+    pixels = out[1:, planes:].reshape(h, w, planes).astype(np.float64)
+    if kind == 3:
+        return np.frombuffer(palette, np.uint8).reshape(-1, 3).astype(np.float64)[pixels[:, :, 0].astype(int)] @ GREY
+    return pixels[:, :, 0] if planes < 3 else pixels[:, :, :3] @ GREY
+
+
+def encode(grey: np.ndarray, suffix: str = ".png") -> bytes:
+    """A grey picture as a file of this suffix: .pgm, .png, and what else Pillow writes where it is installed; an unknown suffix is a JPEG there."""
+    pixels = np.clip(np.rint(grey), 0, 255).astype(np.uint8)
+    h, w = pixels.shape
+    if suffix == ".pgm":
+        return b"P5 %d %d 255\n" % (w, h) + pixels.tobytes()
+    if suffix == ".png":
+        lines = np.hstack([np.zeros((h, 1), np.uint8), pixels]).tobytes()
+        chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        return PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    from PIL import Image
+
+    out = io.BytesIO()
+    known = {".bmp": "BMP", ".webp": "WEBP", ".tif": "TIFF", ".tiff": "TIFF"}
+    Image.fromarray(pixels).save(out, known.get(suffix, "JPEG"))
+    return out.getvalue()
+
+
 def area_resized(grey: np.ndarray, rows: int, columns: int) -> np.ndarray:
     """Mean over the area that each target cell covers, parts of pixels by their share."""
 
@@ -58,12 +122,40 @@ def difference_hash(grey: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def edge_share(grey: np.ndarray, limit: float = 80.0) -> float:
-    """Share of pixels with a steep gradient."""
-    if min(grey.shape) < 3:
-        return 0.0
-    gy, gx = np.gradient(grey)
-    return float((np.hypot(gx, gy) * 2 > limit).mean())
+#: Gradients (of the Sobel masks, as the sum of both sides) from which an edge is followed, and from which it starts.
+WEAK_EDGE, STRONG_EDGE = 80.0, 160.0
+
+
+def edge_pixels(grey: np.ndarray, weak: float = WEAK_EDGE, strong: float = STRONG_EDGE) -> np.ndarray:
+    """Edges by Sobel gradients, thinned across their direction, followed from strong pixels through weak ones."""
+    h, w = grey.shape
+    p = np.pad(np.rint(grey).astype(np.int64), 1, mode="edge")
+    column = lambda k: p[:-2, k : k + w] + 2 * p[1:-1, k : k + w] + p[2:, k : k + w]
+    row = lambda k: p[k : k + h, :-2] + 2 * p[k : k + h, 1:-1] + p[k : k + h, 2:]
+    gx, gy = column(2) - column(0), row(2) - row(0)
+    size = np.abs(gx) + np.abs(gy)
+    around = np.pad(size, 1)
+    at = lambda dy, dx: around[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
+    flat, steep = np.abs(gy) < np.abs(gx) * np.tan(np.pi / 8), np.abs(gy) > np.abs(gx) * np.tan(3 * np.pi / 8)
+    falling = (gx < 0) != (gy < 0)
+    before = np.select([flat, steep, falling], [at(0, -1), at(-1, 0), at(-1, 1)], at(-1, -1))
+    after = np.select([flat, steep, falling], [at(0, 1), at(1, 0), at(1, -1)], at(1, 1))
+    ridge = (size > before) & np.where(flat | steep, size >= after, size > after) & (size > weak)
+    out, edge = np.zeros((h, w), bool), ridge & (size > strong)
+    while edge.any():  # grow into weak ridges next to edges found
+        out |= edge
+        near = np.pad(edge, 1)
+        grown = np.zeros((h, w), bool)
+        for dy in range(3):
+            for dx in range(3):
+                grown |= near[dy : dy + h, dx : dx + w]
+        edge = grown & ridge & ~out
+    return out
+
+
+def edge_share(grey: np.ndarray) -> float:
+    """Share of edge pixels."""
+    return float(edge_pixels(grey).mean())
 
 
 def probe(content: Column, decoder: Callable[[bytes | None], np.ndarray | None] = decode) -> Column:

@@ -63,10 +63,30 @@ def class_split_counts(rows: DataFrame, splits: list[str], group: str = "class_n
     return rows.groupBy(group).pivot("split", splits).count().na.fill(0)
 
 
+def first_per_class(rows: DataFrame, group: str = "class_name", order: str = "seed", keep: tuple[str, ...] = ("filename",)) -> DataFrame:
+    """The first row of each class in the given order (unique within a class): group, order and the kept columns."""
+    first = F.min(F.struct(order, *keep)).alias("first")
+    return rows.groupBy(group).agg(first).select(group, f"first.{order}", *(f"first.{c}" for c in keep))
+
+
+def render_summary(manifest: DataFrame, names: list[str], seed: str = "seed", ids: str = "class_ids", digest: str = "digest") -> DataFrame:
+    """One row on a generated set: images, distinct seeds and digests, first and last seed, images of each class (all classes)."""
+    whole = manifest.agg(
+        F.count(F.lit(1)).alias("images"), F.count_distinct(seed).alias("unique_seeds"), F.count_distinct(digest).alias("unique_digests"), F.min(seed).alias("first_seed"), F.max(seed).alias("last_seed")
+    )
+    counts = manifest.select(F.explode(ids).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    seen = counts.agg(F.map_from_entries(F.collect_list(F.struct(F.col("c").cast("int"), "n"))).alias("m"))  # a row a class
+    named = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(0).cast("long")) for i in range(len(names)))))
+    return whole.crossJoin(F.broadcast(seen)).withColumn("per_class", named).drop("m")  # one row each
+
+
 def box_statistics(boxes: DataFrame, image: str = "image") -> DataFrame:
-    """Boxes, images with a box of at least 0.25 and 0.50 confidence, and the best box's class."""
-    per = boxes.groupBy(image).agg(F.max("confidence").alias("top"), F.count(F.lit(1)).alias("n"))
-    return per.agg(F.sum("n").alias("boxes"), F.count_if(F.col("top") >= 0.25).alias("images_025"), F.count_if(F.col("top") >= 0.5).alias("images_050"))
+    """Boxes, images with a box of at least 0.25 and 0.50 confidence, and the best box's class (the first by name of equal ones)."""
+    per = boxes.groupBy(image, "class_name").agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
+    images = per.groupBy(image).agg(F.max("confidence").alias("top"), F.sum("n").alias("n"), F.min_by("class_name", F.struct(-F.col("confidence"), "class_name")).alias("first"))
+    return images.agg(
+        F.sum("n").alias("boxes"), F.count_if(F.col("top") >= 0.25).alias("images_025"), F.count_if(F.col("top") >= 0.5).alias("images_050"), F.min_by("first", F.struct(-F.col("top"), "first")).alias("best_class")
+    )
 
 
 def difference_statistics(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -75,7 +75,10 @@ def dashboard_hourly(spark, sf_dir):
     return out.withColumn("date", F.col("date").cast("string"))
 
 
-@query(_dashboard_sql(_INSPECTIONS, _DETECTIONS, "year(timestamp)::INT AS year, month(timestamp)::INT AS month", "year, month"))
+_DASHBOARD_MONTHLY = _dashboard_sql(_INSPECTIONS, _DETECTIONS, "year(timestamp)::INT AS year, month(timestamp)::INT AS month", "year, month")
+
+
+@query(_DASHBOARD_MONTHLY)
 def dashboard_monthly(spark, sf_dir):
     """Monthly dashboard over orders and line items."""
     return rollup.dashboard(lenses.inspections(spark, sf_dir), lenses.detections(spark, sf_dir), {"year": F.year("timestamp"), "month": F.month("timestamp")})
@@ -102,7 +105,7 @@ def failing_classes(spark, sf_dir):
     return out.select(F.explode("failing_classes").alias("class_name")).groupBy("class_name").agg(F.count(F.lit(1)).alias("n_inspections"))
 
 
-@query(f"WITH {_DETECTIONS} SELECT count(*) AS boxes, (SELECT count(*) FROM (SELECT inspection_id FROM detections GROUP BY 1 HAVING max(confidence) >= 0.25)) AS images_025, (SELECT count(*) FROM (SELECT inspection_id FROM detections GROUP BY 1 HAVING max(confidence) >= 0.5)) AS images_050 FROM detections")
+@query(f"WITH {_DETECTIONS} SELECT count(*) AS boxes, (SELECT count(*) FROM (SELECT inspection_id FROM detections GROUP BY 1 HAVING max(confidence) >= 0.25)) AS images_025, (SELECT count(*) FROM (SELECT inspection_id FROM detections GROUP BY 1 HAVING max(confidence) >= 0.5)) AS images_050, (SELECT arg_min(class_name, struct_pack(c := -confidence, n := class_name)) FROM detections) AS best_class FROM detections")
 def box_statistics(spark, sf_dir):
     return rollup.box_statistics(lenses.detections(spark, sf_dir), "inspection_id")
 
@@ -505,17 +508,19 @@ def dataset_statistics(spark, sf_dir):
     return report(folders, lenses.label_boxes(spark, sf_dir), manifest)
 
 
-_VALIDATION = f"""WITH {_BOXES}, {_FILES},
-  images AS (SELECT id, split, 'd' || id AS stem, 'd' || id || '.png' AS filename, split || '/d' || id || '.png' AS name, sha256, dhash FROM files),
+_VALIDATION_PARTS = f"""WITH {_BOXES}, {_FILES},
+  images AS (SELECT id, split, 'd' || id AS stem, 'd' || id || '.png' AS filename, split || '/d' || id || '.png' AS name, sha256, dhash, CASE WHEN id % 17 = 0 THEN 'corrupt' WHEN id % 19 = 0 THEN 'too_small' ELSE 'ok' END AS status FROM files),
   marked AS (SELECT doc_id, ['train', 'val', 'test'][1 + doc_id % 3] AS split, 'd' || doc_id AS stem, quality = 1 AS valid FROM labels UNION ALL SELECT s_suppkey, 'val', 's' || s_suppkey, true FROM supplier WHERE s_suppkey < 5),
   sound AS (SELECT images.* FROM images SEMI JOIN (SELECT * FROM marked WHERE valid) m ON m.split = images.split AND m.stem = images.stem),
-  held AS (SELECT dhash, split, min(name) AS name, count(*) AS n FROM sound GROUP BY ALL),
+  held AS (SELECT dhash, split, min(name) AS name, count(*) AS n FROM sound WHERE status = 'ok' GROUP BY ALL),
   lab AS (SELECT * FROM boxes WHERE l_orderkey IN (SELECT id FROM sound)),
-  broken AS ({" UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{n}' AS rule FROM lab WHERE {c}" for n, c in _RULES.items())})
+  broken AS ({" UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{n}' AS rule FROM lab WHERE {c}" for n, c in _RULES.items())})"""
+_VALIDATION = f"""{_VALIDATION_PARTS}
 SELECT 1 AS ordinal, 'label_without_image' AS rule, split, stem AS key, stem || '.txt has no image' AS message FROM marked WHERE stem NOT IN (SELECT stem FROM images)
 UNION ALL SELECT 2, 'image_without_label', split, stem, filename || ' has no label file' FROM images WHERE stem NOT IN (SELECT stem FROM marked)
 UNION ALL SELECT 3, 'label_unparsable', split, stem, 'label file cannot be parsed' FROM marked WHERE NOT valid AND stem IN (SELECT stem FROM images)
 UNION ALL SELECT 4, 'label_geometry', ['train', 'val', 'test'][1 + l_orderkey % 3], 'd' || l_orderkey, 'box ' || l_linenumber || ': ' || rule FROM broken
+UNION ALL SELECT 5, 'image_quality', split, stem, status FROM sound WHERE status <> 'ok'
 UNION ALL SELECT 6, 'duplicate_sha256', '', substr(sha256, 1, 12), array_to_string(list_sort(list(name)), ', ') FROM sound GROUP BY sha256 HAVING count(*) > 1
 UNION ALL SELECT 7, 'near_duplicate_leakage', '', a.name, 'and ' || b.name || ' differ by ' || bit_count(xor(a.dhash, b.dhash)::BIT) || ' bits' || CASE WHEN a.n + b.n > 2 THEN ' (' || a.n || ' and ' || b.n || ' files)' ELSE '' END
   FROM held a JOIN held b ON a.name < b.name AND a.split <> b.split AND bit_count(xor(a.dhash, b.dhash)::BIT) <= 6"""
@@ -524,12 +529,21 @@ UNION ALL SELECT 7, 'near_duplicate_leakage', '', a.name, 'and ' || b.name || '
 @query(_VALIDATION)
 def dataset_validation(spark, sf_dir):
     """Every violation of a data set: documents as images, their labels as label files, line items as boxes."""
+    return validation.validate(*validation_tables(spark, sf_dir))
+
+
+def validation_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Images, label files and boxes; some pictures are corrupt or too small."""
     stem = F.concat(F.lit("d"), F.col("id").cast("string"))
-    images = lenses.files(spark, sf_dir).withColumn("stem", stem).withColumn("filename", F.concat("stem", F.lit(".png")))
+    status = F.when(F.col("id") % 17 == 0, "corrupt").when(F.col("id") % 19 == 0, "too_small").otherwise("ok")
+    images = lenses.files(spark, sf_dir).withColumn("stem", stem).withColumn("filename", F.concat("stem", F.lit(".png"))).withColumn("status", status)
     split_of = F.element_at(F.array(*map(F.lit, SPLITS)), (F.pmod("k", F.lit(3)) + 1).cast("int"))
     named = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("k"), (F.col("quality") == 1).alias("valid"))
     marked = named.select(split_of.alias("split"), F.concat(F.lit("d"), F.col("k").cast("string")).alias("stem"), "valid")
     extra = table(spark, sf_dir, "supplier").where("s_suppkey < 5").select(F.lit("val").alias("split"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("stem"), F.lit(True).alias("valid"))
     rows = lenses.label_boxes(spark, sf_dir).withColumn("k", F.col("l_orderkey"))
     boxes = rows.select(split_of.alias("split"), F.concat(F.lit("d"), F.col("k").cast("string")).alias("stem"), F.col("l_linenumber").alias("line_no"), "class_id", "cx", "cy", "w", "h")
-    return validation.validate(images, marked.union(extra), boxes)
+    return images, marked.union(extra), boxes
+
+
+from . import checks  # noqa: E402, F401  registers more queries

@@ -76,5 +76,8 @@ def image_dir(path: str, split: str) -> str:
 
 
 def database_options(env: dict[str, str] | None = None, default: str = "jdbc:sqlite:outputs/inspections.db") -> dict[str, str]:
-    """JDBC options; DATABASE_URL overrides the default file."""
-    return {"url": (os.environ if env is None else env).get("DATABASE_URL", default)}
+    """JDBC options; DATABASE_URL overrides the default file, whose folder is made."""
+    url = (os.environ if env is None else env).get("DATABASE_URL", default)
+    if url.startswith("jdbc:sqlite:") and (folder := os.path.dirname(url.removeprefix("jdbc:sqlite:"))):
+        os.makedirs(folder, exist_ok=True)
+    return {"url": url}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sha256
-from ..functions.naming import path_parent, path_stem, path_suffix
+from ..functions.naming import path_order, path_parent, path_stem, path_suffix
+from ..operators.ordered import ranked
 from ..schemas import DOWNLOADS, PREDICTIONS, SOURCES, SPLIT_MANIFEST, SPLITS
 
 # Suffixes of images for collecting and validating, and the fewer ones for splitting.
@@ -22,14 +23,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def scan(spark: SparkSession, root: str, suffixes: list[str] = SUFFIXES, recursive: bool = False, content: bool = True) -> DataFrame:
     """path, filename, stem, suffix, parent, length and content of the images under a folder; a missing folder is empty.
 
-    Without content only the listing is read.
+    Files without bytes are rows, too (with empty content). Without content only the listing is read.
     """
     wanted = ["path", "length", *(["content"] if content else [])]
+    kinds = {"path": "string", "length": "bigint", "content": "binary"}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in wanted)
     if not _exists(spark, root):
-        kinds = {"path": "string", "length": "bigint", "content": "binary"}
-        files = spark.createDataFrame([], ", ".join(f"{c} {kinds[c]}" for c in wanted))
+        files = spark.createDataFrame([], schema)
     else:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).select(*wanted)
+        if empty := _empty_files(spark, root, recursive):
+            files = files.union(spark.createDataFrame([(p, 0, b"")[: len(wanted)] for p in empty], schema))
     path = F.col("path")
     named = files.withColumns({"filename": F.substring_index(path, "/", -1), "stem": path_stem(path), "suffix": path_suffix(path), "parent": path_parent(path)})
     return named.where(F.col("suffix").isin(suffixes))
@@ -56,17 +60,31 @@ def split_count(spark: SparkSession, path: str) -> int:
     return scan(spark, path, SPLIT_SUFFIXES, content=False).count()
 
 
-def _empty_files(spark: SparkSession, root: str, suffix: str) -> list[str]:
-    """Paths of files without bytes; Spark's own scan leaves these out."""
+def _empty_files(spark: SparkSession, root: str, recursive: bool = False) -> list[str]:
+    """Paths of files without bytes, from the listing; Spark's own scan leaves these out."""
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    listed = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
-    return [f.getPath().toString() for f in listed if f.isFile() and f.getLen() == 0 and f.getPath().getName().endswith(suffix)]
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, listed = [], fs.listFiles(at, recursive)
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() == 0:
+            found.append(f.getPath().toString())
+    return sorted(found)
+
+
+def targets(spark: SparkSession, explicit: list[str], folder: str | None = None, suffixes: list[str] = SUFFIXES) -> DataFrame:
+    """(place, path) of what is to be inspected: the explicit paths as given, then a folder's images in order of their paths."""
+    first = spark.createDataFrame([(i, p) for i, p in enumerate(explicit)], "place long, path string")
+    if folder is None:
+        return first
+    listed = ranked(scan(spark, folder, suffixes, content=False).select("path"), [path_order(F.col("path"))], "place")
+    return first.union(listed.select((F.col("place") + len(explicit) - 1).alias("place"), "path"))
 
 
 def label_files(spark: SparkSession, root: str, split: str = "") -> DataFrame:
     """split, stem and whole text of each label file, empty ones included."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(root).select("path", F.decode("content", "UTF-8").alias("text"))
-    empty = spark.createDataFrame([(p, "") for p in _empty_files(spark, root, ".txt")], "path string, text string")
+    empty = spark.createDataFrame([(p, "") for p in _empty_files(spark, root) if p.endswith(".txt")], "path string, text string")
     return files.union(empty).select(F.lit(split).alias("split"), path_stem(F.col("path")).alias("stem"), "text")
 
 

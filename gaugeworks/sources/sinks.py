@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.naming import fixed
 from ..operators.ordered import ranked
-from ..schemas import DETECTIONS, INSPECTIONS
+from ..schemas import CLASS_NAMES, DASHBOARD, DETECTIONS, INSPECTIONS, SPLITS, SWEEP
 
 
 def init_tables(spark: SparkSession, inspections: str = "inspections", detections: str = "detections") -> None:
@@ -55,13 +58,88 @@ def by_split(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.partitionBy("split").mode(mode).parquet(path)
 
 
-def label_text(labels: DataFrame) -> DataFrame:
-    """The text of each label file, boxes by class id, six decimals."""
-    line = F.format_string("%d %.6f %.6f %.6f %.6f", "class_id", "cx", "cy", "w", "h")
+def label_text(labels: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """split, stem and text of each label file: boxes by class id, six decimals, a newline after each.
+
+    files: split and stem of all files that must be there; those without boxes get an empty text.
+    """
+    line = F.format_string("%d %.6f %.6f %.6f %.6f\n", "class_id", "cx", "cy", "w", "h")
     rows = labels.groupBy("split", "stem").agg(F.sort_array(F.collect_list(F.struct("class_id", F.coalesce("line_no", F.lit(0)).alias("n"), line.alias("line")))).alias("l"))
-    return rows.select("split", "stem", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    texts = rows.select("split", "stem", F.array_join(F.transform("l", lambda x: x["line"]), "").alias("text"))
+    if files is None:
+        return texts
+    return files.select("split", "stem").distinct().join(texts, ["split", "stem"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def path_lists(manifest: DataFrame, path: str, column: str = "relative_path") -> None:
     """A sorted list of paths for each split."""
     manifest.select("split", F.col(column).alias("value")).repartition("split").sortWithinPartitions("split", "value").write.partitionBy("split").mode("overwrite").text(path)
+
+
+def sweep_cells(sweep: DataFrame) -> DataFrame:
+    """The sweep as its file has it: thresholds of one decimal, rates of four, blanks for what isn't known."""
+    return sweep.select(
+        fixed(F.col("threshold"), 1).alias("threshold"), "class_name", fixed(F.col("precision"), 4).alias("precision"), fixed(F.col("recall"), 4).alias("recall"), "false_positives", "false_negatives",
+        F.coalesce(F.col("false_rejects").cast("string"), F.lit("")).alias("false_rejects"), "note",
+    )
+
+
+def dashboard_cells(dashboard: DataFrame) -> DataFrame:
+    """The dashboard as its file has it: rates and confidences of four decimals, milliseconds of three."""
+    digits = {"failure_rate": 4, "average_inference_ms": 3, "average_confidence": 4}
+    return dashboard.withColumns({c: fixed(F.col(c), n) for c, n in digits.items()})
+
+
+def sweep_file(sweep: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    csv_report(sweep_cells(sweep), path, SWEEP.names, mode=mode)
+
+
+def dashboard_file(dashboard: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    csv_report(dashboard_cells(dashboard), path, DASHBOARD.names, ["date", "hour", "defect_class"], mode)
+
+
+def _filesystem(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def guarded(spark: SparkSession, path: str, overwrite: bool = False) -> None:
+    """Refuse a target that is there and not empty, unless it may be overwritten."""
+    at, fs = _filesystem(spark, path)
+    if not overwrite and fs.exists(at) and (not fs.getFileStatus(at).isDirectory() or len(fs.listStatus(at))):
+        raise FileExistsError(f"{path} is there already")
+
+
+def copied_files(spark: SparkSession, kept: DataFrame, root: str, target: str) -> int:
+    """Copy the kept files of root (relative_path, status ok) under the same paths in target, which is wiped first; how many there were.
+
+    The driver asks the store to copy one file after the other; paths are streamed to it.
+    """
+    at, fs = _filesystem(spark, target)
+    fs.delete(at, True)
+    n = 0
+    conf, util = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.FileUtil
+    for r in kept.where("status = 'ok'").select("relative_path").toLocalIterator():
+        (a, own), (b, other) = _filesystem(spark, f"{root}/{r['relative_path']}"), _filesystem(spark, f"{target}/{r['relative_path']}")
+        other.mkdirs(b.getParent())
+        util.copy(own, a, other, b, False, conf)
+        n += 1
+    return n
+
+
+def text_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of its own name, in whatever store the path names."""
+    at, fs = _filesystem(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def sidecars(spark: SparkSession, root: str, summary: dict, names: list[str] = CLASS_NAMES) -> None:
+    """Class list, data set file, read-me and statistics beside a generated set."""
+    text_file(spark, f"{root}/classes.txt", "".join(f"{n}\n" for n in names))
+    listed = "".join(f"  {i}: {n}\n" for i, n in enumerate(names))
+    text_file(spark, f"{root}/data.yaml", f"path: .\n{''.join(f'{s}: images/{s}{chr(10)}' for s in SPLITS)}names:\n{listed}")
+    text_file(spark, f"{root}/stats.json", json.dumps(summary, indent=2, default=str) + "\n")
+    table = "".join(f"| {k} | {v} |\n" for k, v in summary.items())
+    text_file(spark, f"{root}/README.md", f"# Generated images\n\n| | |\n|---|---|\n{table}")
