@@ -48,8 +48,10 @@ SAMPLE = 64
 #: ... those with at least so many sampled members.
 HOT = 16
 
-#: near_groups(): words of a fingerprint, pairs of least shingles, rounds of leaders, tolerance of the estimate in standard deviations.
-WIDE, PAIRS, ROUNDS, TOLERANCE = 8, 6, 6, 4.0
+#: near_groups(): words of a fingerprint, pairs of least shingles, tolerance of the estimate in standard deviations.
+WIDE, PAIRS, TOLERANCE = 8, 6, 3.0
+#: Rounds of leaders, and leaders of a key in each.
+ROUNDS, LEADERS = 4, 8
 #: The distance says little about sets of fewer shingles, so these are always verified.
 FEW = 32
 #: Sets of shingles held while pairs are verified.
@@ -208,15 +210,12 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def _node_texts(documents: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, text): one text of each of these nodes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([_shingle_set(t, width)[0] for t in s.column(0).to_pylist()], pa.int64()), s.column(0)], names=["node", "text"])
-
-    each = documents.select("text").mapInArrow(run, "node long, text string")
-    return each.groupBy("node").agg(F.first("text").alias("text")).join(nodes, "node", "left_semi")
+def _node_texts(documents: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text): one text of each of these nodes, found again by the id and hash of one of its rows."""
+    first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "hash")).alias("r")).join(nodes, "node", "left_semi")
+    one = written(first.select("node", F.col("r.doc_id").alias("id"), F.col("r.hash").alias("h")), "near-rows")
+    found = documents.select("doc_id", "text").join(one, (F.xxhash64("text") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    return found.groupBy("node").agg(F.first("text").alias("text"))  # equal rows
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -244,46 +243,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
 def _near_nodes(documents: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, hash of the text, node) of each row, and (node, root) of the nodes that have near ones.
 
-    Rows with the same set of shingles are one node. Under each key the smallest node leads:
-    those verified to be near it are linked to it and leave, and the next round goes on with
-    the rest, so a group of n copies costs n comparisons. What is left after ROUNDS is
-    compared in pairs within its key, and those that left with a leader are compared with
-    those that stayed, except where both are connected already. So any two nodes of a key
-    that are similar enough end in one group.
+    Rows with the same set of shingles are one node. Under each key some nodes, chosen by a
+    hash, lead: those verified to be near one are linked to it and leave with the leaders, and
+    the next round goes on with the rest, so a group of n copies costs n comparisons with each
+    leader. Once all rounds are done, those that left are compared with all others of their
+    round, and what is left at last in pairs, except where both are connected already. So any
+    two nodes of a key that are similar enough end in one group.
     """
     prints = [f"f{i}" for i in range(WIDE)]
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, hash long, node long, size int, " + ", ".join(f"{f} long" for f in prints) + ", keys array<long>"
     rows = Written(documents.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(lambda b: _signatures(b, width), schema), "signatures")
     nodes = rows.df.groupBy("node").agg(F.first("size").alias("size"), *(F.first(f).alias(f) for f in prints), F.first("keys").alias("keys"))
-    left = Written(nodes.select("node", "size", *prints, F.explode("keys").alias("key")), "near-keys")
-    near = most_bits(similarity)
-    shared = left.df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    texts = Written(_node_texts(documents, left.df.join(shared, "key").select("node").distinct(), width), "near-texts")
+    each = Written(nodes.select("node", "size", *prints, F.explode("keys").alias("key")), "near-keys")
+    most = most_bits(similarity)
+    shared = Written(each.df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-keys")
+    left = Written(each.df.join(shared.df, "key", "left_semi"), "near-keys")
+    each.drop()
+    shared.drop()
+    texts = Written(_node_texts(documents, rows.df, left.df.select("node").distinct()), "near-texts")
 
     def close(a: str, b: str) -> Column:
         bits = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in prints))
         small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
-        return (small / large >= similarity) & ((small < FEW) | (bits <= near))
+        return (small / large >= similarity) & ((small < FEW) | (bits <= most))
 
     links, rounds = [], []
-    for _ in range(ROUNDS):
+    own = ["node", "size", *prints]
+    for k in range(ROUNDS):
         # written, so that the join below has two plain sides and a key with very many nodes can be split
-        leader = Written(left.df.groupBy("key").agg(F.min(F.struct("node", "size", *prints)).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "l.*"), "near-leaders")
-        joined = left.df.alias("m").join(leader.df.alias("l"), (F.col("m.key") == F.col("l.key")) & (F.col("m.node") != F.col("l.node")))
-        seen = Written(joined.select("m.*", F.col("l.node").alias("leader"), close("m", "l").alias("close")), "near-seen")
-        pairs = Written(seen.df.where("close").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
+        lot = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(LEADERS))
+        leader = Written(left.df.groupBy("key", lot.alias("lot")).agg(F.min(F.struct(F.xxhash64("node", F.lit(-1 - k)).alias("o"), *own)).alias("l")).select("key", *(f"l.{c}" for c in own)), "near-leaders")
+        joined = left.df.alias("m").join(leader.df.alias("l"), (F.col("m.key") == F.col("l.key")) & (F.col("m.node") != F.col("l.node")) & close("m", "l"))
+        met = Written(joined.select("m.key", F.col("m.node").alias("node"), F.col("l.node").alias("leader")), "near-met")
+        pairs = Written(met.df.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "near-pairs")
         found = Written(_verified(pairs.df, texts.df, similarity, width), "near-links")
         links.append(found.df)
-        if not rounds:  # what stayed in a round is read again below
-            left.drop()
-        leader.drop()
-        pairs.drop()
-        of = (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b"))
-        left = Written(seen.df.join(found.df, of, "left_anti").drop("leader", "close"), "near-keys")
-        gone = Written(seen.df.join(found.df, of, "left_semi").drop("leader", "close"), "near-gone")
-        seen.drop()
-        rounds.append((gone.df, left.df))
+        of = (F.least("node", "leader") == F.col("a")) & (F.greatest("node", "leader") == F.col("b"))
+        near = Written(met.df.join(found.df, of, "left_semi").select("key", "node").distinct(), "near-linked")
+        stay = left.df.join(leader.df.select("key", "node"), ["key", "node"], "left_anti")
+        gone = Written(stay.join(near.df, ["key", "node"], "left_semi"), "near-gone")
+        stayed = Written(stay.join(near.df, ["key", "node"], "left_anti"), "near-keys")
+        for t in (leader, met, pairs, near, *([left] if not rounds else [])):  # what stayed in a round is read again below
+            t.drop()
+        left = stayed
+        rounds.append((gone.df, gone.df.union(left.df)))
         if not left.df.limit(1).count():
             break
     else:
@@ -296,7 +300,7 @@ def _near_nodes(documents: DataFrame, similarity: float, width: int) -> tuple[Da
         return written(rows.join(known.df, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-sides").alias("ab"[side])
 
     ends = F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")
-    rest = rooted(0).join(rooted(1), (F.col("a.key") == F.col("b.key")) & (F.col("a.round") == F.col("b.round")) & (F.col("a.root") != F.col("b.root")) & ((F.col("a.round") < ROUNDS) | (F.col("a.node") < F.col("b.node"))) & close("a", "b")).select(*ends)
+    rest = rooted(0).join(rooted(1), (F.col("a.key") == F.col("b.key")) & (F.col("a.round") == F.col("b.round")) & (F.col("a.root") != F.col("b.root")) & close("a", "b")).select(*ends)
     links.append(_verified(written(rest.distinct(), "near-pairs"), texts.df, similarity, width))
     return rows.df.select("doc_id", "hash", "node"), written(components(reduce(DataFrame.union, links)), "near-roots")
 
