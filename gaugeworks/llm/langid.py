@@ -2,8 +2,9 @@
 
 Texts are lower-cased, UTF-8 encoded, and every ASCII byte that is no letter becomes a
 space. All n-grams of ORDERS bytes are hashed into BUCKETS buckets. The log-probability
-matrix (buckets x languages, at most MATRIX_BYTES) is broadcast; a batch of texts is
-scored as one sparse matrix in numpy: the flat bucket indices and the row offsets.
+matrix (buckets x languages) is broadcast; a batch of texts is scored as one sparse matrix
+in numpy: the flat bucket indices and the row offsets. A matrix of more than MATRIX_BYTES
+is cut by language, and its parts score the texts one after the other.
 
 Training counts come from a documented, bounded sample of labelled rows (about
 TRAIN_DOCS whole texts, chosen by a hash of the id); every row is predicted.
@@ -71,49 +72,69 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"])
 
 
-def train(documents: DataFrame, keep=None) -> tuple[list[str], np.ndarray]:
-    """Languages and the log-probability matrix (languages x buckets), from labelled rows only."""
+#: Languages and their rows of the log-probability matrix (languages x buckets).
+Part = tuple[list[str], np.ndarray]
+
+
+def train(documents: DataFrame, keep=None) -> list[Part]:
+    """The matrix in parts, from labelled rows only; no part where there is nothing to learn from."""
     rows = documents.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     rows = rows if keep is None else rows.where(keep)
     share = min(1.0, TRAIN_DOCS / max(1, documents.count()))
     if share < 1:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003)))
     cells = rows.select("text", "lang").mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(cells["lang"].unique())
-    if len(langs) * BUCKETS * 4 > MATRIX_BYTES:
-        raise ValueError("too many languages for one broadcast matrix")
-    counts = np.full((len(langs), BUCKETS), SMOOTHING)
-    np.add.at(counts, (np.searchsorted(langs, cells["lang"].to_numpy(object)) if langs else np.empty(0, int), cells["bucket"].to_numpy(int)), cells["n"].to_numpy(float))
-    return langs, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32) if langs else np.zeros((0, BUCKETS), np.float32)
-
-
-def predict_batch(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Language and posterior probability of each text."""
+    langs, most = sorted(cells["lang"].unique()), max(1, MATRIX_BYTES // (4 * BUCKETS))
+    out = []
+    for k in range(0, len(langs), most):
+        own = langs[k : k + most]
+        of = cells[cells["lang"].isin(own)]
+        counts = np.full((len(own), BUCKETS), SMOOTHING)
+        np.add.at(counts, (np.searchsorted(own, of["lang"].to_numpy(object)), of["bucket"].to_numpy(int)), of["n"].to_numpy(float))
+        out.append((own, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)))
+    return out
+
+
+def log_probabilities(texts: list[str | None], logp: np.ndarray) -> np.ndarray:
+    """Sums of the log-probabilities of each text's n-grams (texts x languages)."""
     index, starts = grams([t or "" for t in texts])
-    sums = np.zeros((len(texts), len(langs)))
+    sums = np.zeros((len(texts), len(logp)))
     for g in index:
-        for j in range(len(langs)):
+        for j in range(len(logp)):
             sums[:, j] += np.add.reduceat(logp[j][g], starts[:-1], dtype=np.float64)
-    best = sums.argmax(1)
-    top = sums[np.arange(len(texts)), best]
-    score = 1 / np.exp(sums - top[:, None]).sum(1)
-    known = np.array([t is not None and _LETTER.search(t) is not None for t in texts])
-    return [langs[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0)
-
-
-def identify(documents: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """One row per document: doc_id, lang_pred, score; only the text is looked at."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, logp = sent.value
-        for s in slices(batches):
-            texts = s.column(1).to_pylist()
-            pred, score = predict_batch(texts, langs, logp) if langs else (["und"] * len(texts), np.zeros(len(texts)))
-            yield pa.RecordBatch.from_arrays([s.column(0), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return sums
+
+
+def has_letter(text: str | None) -> bool:
+    return text is not None and _LETTER.search(text) is not None
+
+
+def identify(documents: DataFrame, model: list[Part]) -> DataFrame:
+    """One row per document: doc_id, lang_pred, score (the posterior probability); only the text is looked at."""
+    ids = documents.schema["doc_id"]
+    out = documents.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit(float("-inf")).alias("top"), F.lit(float("-inf")).alias("all"))
+    for i, part in enumerate(model):
+        sent = documents.sparkSession.sparkContext.broadcast(part)
+        # the last part needn't hand the text on
+        names = ["doc_id", "text", "lang", "top", "all"] if i + 1 < len(model) else ["doc_id", "lang", "top", "all"]
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, names=names) -> Iterator[pa.RecordBatch]:
+            langs, logp = sent.value
+            for s in slices(batches):
+                texts = s.column("text").to_pylist()
+                sums = log_probabilities(texts, logp)
+                best, known = sums.argmax(1), np.array([has_letter(t) for t in texts])
+                was, mine = s.column("top").to_numpy(zero_copy_only=False), sums[np.arange(len(texts)), best]
+                better = known & (mine > was)  # earlier parts hold earlier languages, so a tie stays
+                lang = [langs[b] if x else y for b, x, y in zip(best, better, s.column("lang").to_pylist(), strict=True)]
+                whole = np.logaddexp(s.column("all").to_numpy(zero_copy_only=False), np.logaddexp.reduce(sums, axis=1))
+                got = {"lang": pa.array(lang, pa.string()), "top": pa.array(np.maximum(was, mine)), "all": pa.array(whole)}
+                yield pa.RecordBatch.from_arrays([got[n] if n in got else s.column(n) for n in names], names=names)
+
+        kinds = {"text": "string", "lang": "string", "top": "double", "all": "double"}
+        out = out.mapInArrow(run, f"doc_id {ids.dataType.simpleString()}, " + ", ".join(f"{n} {kinds[n]}" for n in names[1:]))
+    known = F.col("lang").isNotNull()
+    return out.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang_pred"), F.when(known, F.exp(F.col("top") - F.col("all"))).otherwise(F.lit(0.0)).alias("score"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

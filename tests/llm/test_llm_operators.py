@@ -168,6 +168,68 @@ def test_removal_equals_brute_force(spark, odd, monkeypatch, hot):
     assert suffix_dedup.deduplicated(odd.limit(0)).count() == 0
 
 
+def repeated_bytes(texts, length):
+    """For each text which bytes a repeated string covers, by hashes of all windows put together from powers of two."""
+    lengths = np.array([len(t) for t in texts])
+    starts = np.cumsum(lengths) - lengths
+    whole = np.frombuffer(b"".join(texts), np.uint8)
+
+    def mixed(a, b):
+        x = (a * np.uint64(0xFF51AFD7ED558CCD)) ^ (b + np.uint64(0x9E3779B97F4A7C15))
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xC4CEB9FE1A85EC53)
+        return x ^ (x >> np.uint64(29))
+
+    with np.errstate(over="ignore"):
+        h = whole.astype(np.uint64) + np.uint64(1)
+        size, out, at, n = 1, None, 0, len(whole) - length + 1
+        while size <= length:
+            if length & size:
+                part = h[at : at + n]
+                out, at = part if out is None else mixed(out, part), at + size
+            h, size = mixed(h[:-size], h[size:]), size * 2
+    ok = np.zeros(n, bool)
+    for s, k in zip(starts.tolist(), lengths.tolist(), strict=True):
+        ok[s : max(s, s + k - length + 1)] = True
+    at = np.nonzero(ok)[0]
+    order = np.argsort(out[at], kind="stable")
+    same = np.diff(out[at][order]) == 0
+    again = np.zeros(len(at), bool)
+    again[order[1:]] |= same
+    again[order[:-1]] |= same
+    edges = np.zeros(len(whole) + 1, np.int32)
+    np.add.at(edges, at[again], 1)
+    np.add.at(edges, at[again] + length, -1)
+    gone = np.cumsum(edges[:-1]) > 0
+    return [gone[s : s + k] for s, k in zip(starts.tolist(), lengths.tolist(), strict=True)]
+
+
+CHECK = "/root/testdata/check_s"
+
+
+@pytest.mark.skipif(not os.path.isdir(CHECK), reason="no test data")
+@pytest.mark.parametrize(("task_bytes", "parts"), [(8_000_000, 4), (4_000_000, 51)])
+def test_removal_equals_brute_force_at_check_size(spark, monkeypatch, task_bytes, parts):
+    from gaugeworks.llm.queries import QUERIES
+
+    monkeypatch.setattr(suffix_dedup, "TASK_BYTES", task_bytes)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r["doc_id"]: tuple(r)[1:5] for r in QUERIES["op2_suffix_dedup"](spark, CHECK).drop("text").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    rows = spark.read.parquet(f"{CHECK}/documents.parquet").select("doc_id", "text").collect()
+    texts = [(r["text"] or "").encode() for r in rows]
+    assert len(got) == len(rows)
+    cut = 0
+    for r, t, gone in zip(rows, texts, repeated_bytes(texts, suffix_dedup.LENGTH), strict=True):
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        assert got[r["doc_id"]] == (len(t), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
+        cut += bool(gone.any())
+    assert cut > 1000
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -645,18 +707,57 @@ def test_language_accuracy(spark, odd):
     assert langid.identify(odd.limit(0), model).count() == 0
 
 
-def test_bayes_scores_equal_the_plain_sum():
-    rnd = np.random.default_rng(0)
-    logp = np.log(rnd.dirichlet(np.ones(langid.BUCKETS), 3)).astype(np.float32)
-    texts = ["Hello, world", "", "ÄÖ ü", "x"]
-    index, starts = langid.grams(texts)
-    pred, score = langid.predict_batch(texts, ["a", "b", "c"], logp)
-    for i, t in enumerate(texts):
-        sums = [sum(float(logp[j][g[k]]) for g in index for k in range(starts[i], starts[i + 1])) for j in range(3)]
-        if t:
-            assert pred[i] == "abc"[int(np.argmax(sums))]
-            assert math.isclose(score[i], 1 / sum(math.exp(s - max(sums)) for s in sums), rel_tol=1e-3)
-    assert pred[1] == "und"
+def plain_grams(text):
+    """Buckets of all n-grams of a text, one after the other."""
+    data = b" " + text.lower().encode() + b"    "
+    clean = bytes(c if 97 <= c < 123 or c > 127 else 32 for c in data) + b"    "
+    out = []
+    for k in langid.ORDERS:
+        for i in range(len(data)):
+            code = int.from_bytes(clean[i : i + k], "little")
+            out.append((((code * 2654435761) & 0xFFFFFFFF) ^ ((k - 1) * 0x9E37) & 0xFFFFFFFF) >> 17)
+    return out
+
+
+@data
+def test_registered_languages_equal_brute_force(spark):
+    import zlib
+
+    from gaugeworks.llm.queries import QUERIES
+
+    rows = [r for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows}
+    counts = {}
+    for r in rows:
+        if not held[r["doc_id"]] and r["text"] is not None and r["lang"] is not None:
+            np.add.at(counts.setdefault(r["lang"], np.full(langid.BUCKETS, langid.SMOOTHING)), plain_grams(r["text"]), 1)
+    logp = {g: np.log(c / c.sum()) for g, c in sorted(counts.items())}
+    got = {r["doc_id"]: r for r in QUERIES["op8_language_id"](spark, SF).collect()}
+    assert set(got) == set(held)
+    for r in rows:
+        g = got[r["doc_id"]]
+        assert g["held_out"] == held[r["doc_id"]]
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (g["lang_pred"], g["score"]) == ("und", 0.0)
+            continue
+        at = plain_grams(r["text"])
+        sums = {x: float(p[at].sum()) for x, p in logp.items()}
+        best = max(sums, key=sums.get)
+        assert g["lang_pred"] == best
+        assert math.isclose(g["score"], 1 / sum(math.exp(v - sums[best]) for v in sums.values()), rel_tol=1e-2)
+
+
+def test_parts_of_the_matrix_give_the_same(spark, odd, monkeypatch):
+    texts = {"de": "der die und nicht", "en": "the and of with", "es": "que los para una", "fr": "les dans pour une"}
+    rows = [(i, f"{t} {t[::-1][:i]}", g) for i, (g, t) in enumerate(list(texts.items()) * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = langid.train(df)
+    monkeypatch.setattr(langid, "MATRIX_BYTES", langid.BUCKETS * 4)
+    parts = langid.train(df)
+    assert [len(p[0]) for p in whole] == [4] and [len(p[0]) for p in parts] == [1] * 4
+    for rows_ in (df, odd):
+        a, b = (sorted(map(tuple, langid.identify(rows_, m).collect()), key=str) for m in (whole, parts))
+        assert [x[:2] for x in a] == [x[:2] for x in b] and all(math.isclose(x[2], y[2], rel_tol=1e-9) for x, y in zip(a, b, strict=True))
 
 
 def quadratic_best(values):
@@ -676,6 +777,67 @@ def test_maximal_segments():
         assert math.isclose(max((s for *_, s in got), default=0), max(0, quadratic_best(values)), abs_tol=1e-9)
 
 
+@data
+def test_registered_toxicity_equals_brute_force(spark):
+    """The whole fit and every score again, from the definitions, in plain loops."""
+    import zlib
+
+    from gaugeworks.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(5)))
+    docs = {r["doc_id"]: r for r in docs.select("doc_id", "text", "part").collect()}
+    label = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    head = [(y, toxicity.tokens(docs[i]["text"])) for i, y in label.items() if docs[i]["part"] < 3]
+    tail = [(y, toxicity.tokens(docs[i]["text"])) for i, y in label.items() if docs[i]["part"] >= 3]
+    count = {0: collections.Counter(), 1: collections.Counter()}
+    for y, words_ in {(y, " ".join(w)): w for y, w in head}.items():
+        count[y[0]].update(set(words_))
+    n = {y: sum(c.values()) for y, c in count.items()}
+    scores = {}
+    for w in count[0].keys() | count[1].keys():
+        a = toxicity.PRIOR_WEIGHT * (count[0][w] + count[1][w]) / (n[0] + n[1]) + toxicity.PRIOR_FLOOR
+        t, k = count[1][w] + a, count[0][w] + a
+        low = math.log(t / (n[1] + toxicity.PRIOR_WEIGHT - t)) - math.log(k / (n[0] + toxicity.PRIOR_WEIGHT - k)) - toxicity.BOUND_Z * math.sqrt(1 / t + 1 / k)
+        if low >= toxicity.MIN_SCORE:
+            scores[w] = min(toxicity.MAX_SCORE, low)
+    hits = [s for w, s in sorted(scores.items()) for _ in range(count[0][w])]
+    lam = toxicity.karlin(hits, toxicity.BACKGROUND, len(hits) / n[0])
+
+    def found(words_):
+        """Maximal segments by the recursive definition: the best one, then those left and right of it."""
+
+        def best(a, b):
+            if a >= b:
+                return []
+            total, low, at, top = 0.0, 0.0, a, (0.0, 0, 0)
+            for i in range(a, b):
+                total += scores.get(words_[i], toxicity.BACKGROUND)
+                if total - low > top[0] + 1e-12:
+                    top = (total - low, at, i + 1)
+                if total < low:
+                    low, at = total, i + 1
+            return [*best(a, top[1]), top[0], *best(top[2], b)] if top[0] > 1e-12 else []
+
+        return best(0, len(words_))
+
+    def features(words_, log_k):
+        each = [lam * s - log_k - math.log(max(1, len(words_))) for s in found(words_)]
+        if not each:
+            return 0.0, 0.0, 0.0
+        mass = sum(s - toxicity.SIGNIFICANT for s in each if s > toxicity.SIGNIFICANT)
+        return math.log1p(max(0.0, max(each) + 5)), math.log1p(mass), math.log1p(mass * 100 / max(len(words_), 20))
+
+    tops = [lam * max(f) - math.log(len(w)) for y, w in head if not y and (f := found(w))]
+    log_k = sum(tops) / len(tops) - 0.5772 if tops else 0.0
+    weights = toxicity.logistic(np.array([features(w, log_k) for _, w in tail]), np.array([float(y) for y, _ in tail]))
+    got = {r["doc_id"]: r for r in QUERIES["op9_toxicity"](spark, SF).collect()}
+    assert set(got) == set(docs)
+    for i, r in docs.items():
+        z = weights[0] + sum(a * b for a, b in zip(weights[1:], features(toxicity.tokens(r["text"]), log_k), strict=True))
+        assert math.isclose(got[i]["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-5, abs_tol=1e-7)
+        assert got[i]["predicted"] == (got[i]["score"] >= 0.3) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_toxic_texts_score_higher(spark, odd):
     rnd = random.Random(5)
 
@@ -791,6 +953,22 @@ def test_long_pages_take_time_in_proportion(page):
     assert took(16000) < 12 * max(took(4000), 0.01)
 
 
+@data
+def test_registered_texts_equal_brute_force(spark):
+    """The tables' articles cut out by their tags, one block after the other."""
+    import html
+
+    from gaugeworks.llm.queries import QUERIES
+
+    got = {r["page_id"]: r for r in QUERIES["op10_html_extraction"](spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        body = re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "", r["html"] or "")
+        body = "".join(re.findall(r"(?s)<article>(.*?)</article>", body))
+        parts = [html.unescape(re.sub("<[^>]*>", "", p.replace("<br>", " "))) for p in re.split("</?(?:p|h1|ul|li|div)>", body)]
+        want = " ".join(x for x in (" ".join(p.split()) for p in parts) if x)
+        assert (got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"]) == (want, len(want))
+
+
 @data
 def test_registered_queries(spark):
     import duckdb
