@@ -122,21 +122,20 @@ def greedy(files: DataFrame, order: str = "id", sha: str = "sha256", h: str = "d
 
     def around() -> DataFrame:
         """The same of each hash and all hashes near it."""
-        own = Written(told("h"), "dedup-heads")
-        near = links.df.join(own.df, links.df["b"] == own.df["h"]).select(F.col("a").alias("h"), "open", "kept").union(own.df)
+        own = told("h")
+        near = links.df.join(own, links.df["b"] == own["h"]).select(F.col("a").alias("h"), "open", "kept").union(told("h"))
         return near.groupBy("h").agg(F.min("open").alias("near_open"), F.min("kept").alias("near_kept"))
 
     while True:
-        # written, so that the joins have plain sides and a hash or digest of very many nodes can be split
-        by_hash, by_sha = Written(around(), "dedup-near"), Written(told("sha").select("sha", F.col("open").alias("sha_open"), F.col("kept").alias("sha_kept")), "dedup-same")
-        seen = state.df.join(by_hash.df, "h", "left").join(by_sha.df, "sha", "left")
+        # dealt anew, so that the joins have plain sides and a hash or digest of very many nodes can be split
+        by_hash, by_sha = around().hint("rebalance"), told("sha").select("sha", F.col("open").alias("sha_open"), F.col("kept").alias("sha_kept")).hint("rebalance")
+        seen = state.df.join(by_hash, "h", "left").join(by_sha, "sha", "left")
         if not state.df.where("s = 0").limit(1).count():
             break
         first = (F.coalesce("near_open", "id") >= F.col("id")) & (F.coalesce("sha_open", "id") >= F.col("id"))
         dropped = F.col("near_kept").isNotNull() | F.col("sha_kept").isNotNull()
         step = Written(seen.select("id", "sha", "h", F.when(F.col("s") != 0, F.col("s")).when(dropped, F.lit(-1)).when(first, F.lit(1)).otherwise(F.lit(0)).alias("s")), "dedup-state")
-        for t in (state, by_hash, by_sha):
-            t.drop()
+        state.drop()
         state = step
     fate = Written(seen.select("sha", "h", F.col("id").alias("node"), "s", "near_kept", "sha_kept"), "dedup-fate").df
     j = live.alias("r").join(fate.alias("f"), F.col("r.sha").eqNullSafe(F.col("f.sha")) & F.col("r.h").eqNullSafe(F.col("f.h")))

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import corners
 from ..functions.hashing import hex16
 from ..functions.naming import class_name
 from ..functions.raster import probe
-from ..operators import dedup, policy, quality
+from ..operators import dedup, policy, quality, validation
 from ..operators.ordered import ranked
 from ..schemas import CLASS_NAMES
-from ..sources.images import with_digests
+from ..sources.images import dataset, with_digests
+from ..storage import written
 
 
 def assessed(files: DataFrame) -> DataFrame:
@@ -37,11 +38,38 @@ def cleaned(records: DataFrame, near_bits: int = dedup.NEAR_BITS) -> DataFrame:
     return numbered.drop("status", "hash").join(verdict, "ord").join(names, "match", "left").select(*[c for c in records.columns if c not in ("status", "hash")], F.col("verdict").alias("status"), "match_name", "ord")
 
 
-def inspected(images: DataFrame, scorer: Callable[[Column, Column], Column] = policy.mock_detection, floor: float | None = None, mock: bool = True) -> DataFrame:
-    """Decision of each picture (width, height): the scorer gives detections, those under the operating floor go first."""
-    least = policy.operating_floor() if floor is None else floor
+def pictures(spark: SparkSession, targets: DataFrame) -> DataFrame:
+    """place, image, width and height of the targets (place, path); what can't be decoded has no size."""
+    paths = [r["path"] for r in targets.orderBy("place").collect()]  # the reader wants its paths from the driver, as any listing does
+    if not paths:
+        return spark.createDataFrame([], "place long, image string, width int, height int")
+    read = spark.read.format("binaryFile").load(paths).withColumn("p", probe(F.col("content"))).select(F.regexp_replace("path", "^file:/+", "/").alias("at"), "p")
+    named = targets.withColumn("at", F.regexp_replace("path", "^file:/+", "/"))
+    return named.join(read, "at", "left").select("place", F.substring_index("at", "/", -1).alias("image"), F.col("p.width").alias("width"), F.col("p.height").alias("height"))
+
+
+def inspected(
+    images: DataFrame,
+    scorer: Callable[[Column, Column], Column] = policy.mock_detection,
+    floor: float | None = None,
+    mock: bool = True,
+    table: Mapping[str, float] = policy.THRESHOLDS,
+    default: float = policy.DEFAULT_THRESHOLD,
+) -> DataFrame:
+    """Decision of each picture (width, height): the scorer gives detections, those under the operating floor go first; null for a picture without a size."""
+    least = policy.operating_floor(table, default) if floor is None else floor
     scored = images.withColumn("pred", F.filter(scorer(F.col("width"), F.col("height")), lambda d: d["confidence"] >= least))
-    return scored.withColumn("decision", policy.decide_nested(F.col("pred"))).withColumn("mock", F.lit(mock))
+    decision = F.when(F.col("width").isNotNull(), policy.decide_nested(F.col("pred"), table, default))
+    return scored.withColumn("decision", decision).withColumn("mock", F.lit(mock))
+
+
+def validated(spark: SparkSession, root: str, near_bits: int = dedup.NEAR_BITS) -> tuple[DataFrame, DataFrame]:
+    """All violations of a data set folder, and the report on it."""
+    found, rows, marked = dataset(spark, root)
+    judged = assessed(found).drop("dhash", "filename").join(found.select("path", "split", "stem", "filename"), "path").withColumnRenamed("hash", "dhash")
+    judged = written(judged.select("split", "stem", "filename", "sha256", "dhash", "status"), "judged")
+    violations = written(validation.validate(judged, marked, rows, near_bits), "violations")
+    return violations, validation.report(violations, judged, rows, near_bits)
 
 
 def evaluation_records(images: DataFrame, labels: DataFrame, scores: DataFrame) -> DataFrame:
@@ -62,9 +90,7 @@ def evaluation_records(images: DataFrame, labels: DataFrame, scores: DataFrame)
 
 def dataset_statistics(folders: DataFrame, labels: DataFrame, manifest: DataFrame) -> DataFrame:
     """(section, name, n): images per folder, annotations per class (all classes and what else is seen), rows per split."""
-    from ..operators.validation import class_dimension
-
-    names = class_dimension(labels.sparkSession).select(F.col("class_name").alias("name")).union(labels.select(class_name(F.col("class_id"), CLASS_NAMES))).distinct()
+    names = validation.class_dimension(labels.sparkSession).select(F.col("class_name").alias("name")).union(labels.select(class_name(F.col("class_id"), CLASS_NAMES))).distinct()
     counts = labels.groupBy(class_name(F.col("class_id"), CLASS_NAMES).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     per_class = names.join(counts, "name", "left").select(F.lit("class").alias("section"), "name", F.coalesce("n", F.lit(0)).alias("n"))
     per_folder = folders.select(F.lit("folder").alias("section"), F.col("parent").alias("name"), F.col("n_images").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import raster
 from gaugeworks.plans import inspect
-from gaugeworks.sources import config, images
+from gaugeworks.sources import config, images, web
 
 
 def pgm(a):
@@ -68,3 +68,66 @@ def test_configuration(tmp_path):
     with pytest.raises(ValueError):
         config.image_dir(str(d), "test")
     assert config.database_options({"DATABASE_URL": "x"}) == {"url": "x"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from gaugeworks.__main__ import main
+
+    rnd = np.random.default_rng(7)
+    shot = lambda: rnd.integers(0, 200, (120, 140))
+    a = shot()
+    for split, names in {"train": ["a", "b"], "val": ["c"], "test": ["d"]}.items():
+        for kind in ("images", "labels"):
+            (tmp_path / "set" / split / kind).mkdir(parents=True)
+        for n in names:
+            (tmp_path / "set" / split / "images" / f"{n}.png").write_bytes(raster.encode(a if n in "ac" else shot()))
+            (tmp_path / "set" / split / "labels" / f"{n}.txt").write_text("0 0.5 0.5 0.2 0.2\n")
+    (tmp_path / "set" / "test" / "images" / "empty.png").write_bytes(b"")
+    (tmp_path / "set" / "test" / "labels" / "empty.txt").write_text("")
+    assert main(["validate", str(tmp_path / "set")], spark) == 1
+    got = json.loads(capsys.readouterr().out)
+    assert (got["train_count"], got["val_count"], got["test_count"]) == (2, 1, 2)
+    assert got["annotations_per_class"]["scratch"] == 4 and len(got["warnings"]) == 6
+    assert any(e.startswith("duplicate sha256") for e in got["errors"]) and any(e.startswith("near-duplicate leakage: train/a.png and val/c.png differ by 0 bits") for e in got["errors"])
+    assert "test/empty: corrupt" in got["errors"]
+
+    assert main(["clean", str(tmp_path / "set"), str(tmp_path / "report"), str(tmp_path / "kept")], spark) == 0
+    assert len(list((tmp_path / "kept").rglob("*.png"))) == 3
+    assert main(["split", str(tmp_path / "kept"), str(tmp_path / "manifest")], spark) == 0
+    assert spark.read.option("header", "true").csv(str(tmp_path / "manifest")).select("split").distinct().count() == 3
+    predictions = tmp_path / "p.json"
+    predictions.write_text(json.dumps([{"image": "a", "gt": [{"class": "dent", "bbox": [0, 0, 1, 1]}], "pred": [{"class": "dent", "confidence": 0.7, "bbox": [0, 0, 1, 1]}]}]))
+    assert main(["sweep", str(predictions), str(tmp_path / "sweep")], spark) == 0
+    assert spark.read.option("header", "true").csv(str(tmp_path / "sweep")).where("recall = '1.0000'").count() == 12
+    picture = str(tmp_path / "kept" / "train" / "images" / "a.png")
+    assert main(["inspect", str(tmp_path / "seen"), "--image", picture, "--dir", str(tmp_path / "set" / "test" / "images")], spark) == 0
+    seen = {r["image"]: r["decision"] and r["decision"]["result"] for r in spark.read.json(str(tmp_path / "seen")).collect()}
+    assert seen == {"a.png": "FAIL", "d.png": "FAIL", "empty.png": None}
+    assert main(["plan", str(tmp_path / "plan"), "--limit", "20"], spark) == 0
+    assert spark.read.option("header", "true").csv(str(tmp_path / "plan")).groupBy("split").count().where("split = 'train'").first()["count"] == 14
+
+
+def test_urls_are_fetched(spark, tmp_path):
+    import http.server
+    import threading
+
+    class Answers(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path == "/a" else 404)
+            self.send_header("Content-Type", "IMAGE/PNG; q=1")
+            self.end_headers()
+            self.wfile.write(b"bytes")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    rows = spark.createDataFrame([(f"{at}/a", "dent", "p"), (f"{at}/b", "dent", "p"), ("nothing", "dent", "p")], "url string, target_class string, source_page string")
+    got = {r["url"].split("/")[-1]: r for r in web.fetched(rows, delay=0).collect()}
+    server.shutdown()
+    assert (got["a"]["mime"], bytes(got["a"]["content"]), got["a"]["error"]) == ("image/png", b"bytes", None)
+    assert "404" in got["b"]["error"] and got["nothing"]["error"] and got["b"]["content"] is None
