@@ -73,7 +73,7 @@ def _sweep(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def _dashboard(spark: SparkSession, a: argparse.Namespace) -> int:
-    sinks.dashboard_file(rollup.dashboard(spark.table("inspections"), spark.table("detections"), rollup.hourly()), a.output, "overwrite")
+    sinks.dashboard_file(rollup.dashboard(spark.table("inspections"), spark.table("detections"), rollup.hourly(), rounded=False), a.output, "overwrite")
     return 0
 
 

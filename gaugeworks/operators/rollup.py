@@ -6,27 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def dashboard(inspections: DataFrame, detections: DataFrame, buckets: dict[str, Column], key: str = "inspection_id") -> DataFrame:
-    """Totals per time bucket, repeated for each defect class found in it.
+def dashboard(inspections: DataFrame, detections: DataFrame, buckets: dict[str, Column], key: str = "inspection_id", rounded: bool = True) -> DataFrame:
+    """Totals per time bucket, repeated for each defect class found in it; without rounded the means and rates are as they come, for a file's own decimals.
 
     inspections: key, the bucket expressions' inputs, overall_result, inference_ms;
     detections: key, class_name, confidence. A bucket without detections has one row with
     an empty class. Averages of inference_ms are per inspection: the sides are aggregated apart.
     """
     names = list(buckets)
+    cut = F.round if rounded else lambda x, digits: x
     stamped = inspections.select(key, *(c.alias(n) for n, c in buckets.items()), "overall_result", "inference_ms")
     fails = F.count_if(F.col("overall_result") == "FAIL")
     totals = stamped.groupBy(*names).agg(
         F.count(F.lit(1)).alias("total_inspections"),
         (F.count(F.lit(1)) - fails).alias("passes"),
         fails.alias("fails"),
-        F.round(fails / F.count(F.lit(1)), 4).alias("failure_rate"),
-        F.round(F.avg("inference_ms"), 6).alias("average_inference_ms"),
+        cut(fails / F.count(F.lit(1)), 4).alias("failure_rate"),
+        cut(F.avg("inference_ms"), 6).alias("average_inference_ms"),
     )
     found = (
         detections.join(stamped.select(key, *names), key)
         .groupBy(*names, "class_name")
-        .agg(F.count(F.lit(1)).alias("defect_count"), F.round(F.avg("confidence"), 6).alias("average_confidence"))
+        .agg(F.count(F.lit(1)).alias("defect_count"), cut(F.avg("confidence"), 6).alias("average_confidence"))
     )
     return totals.join(found, names, "left").select(
         *names,

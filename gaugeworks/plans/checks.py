@@ -13,7 +13,7 @@ from ..session import table
 from ..sources import images as sources
 from ..sources import sinks
 from . import lenses
-from .queries import _BOX_KEYS, _BOXES, _CUT, _DASHBOARD_MONTHLY, _DECIDE, _FILES, _INSPECTIONS, _KEYS, _NAMES, _RULES, _VALIDATION, _VALIDATION_PARTS, _name, dashboard_monthly, query, validation_tables
+from .queries import _BOX_KEYS, _BOXES, _DASHBOARD_PLAIN, _DECIDE, _FILES, _KEYS, _NAMES, _RULES, _VALIDATION, _VALIDATION_PARTS, _name, query, validation_tables
 
 _SPLIT = "['train', 'val', 'test'][1 + {} % 3]"
 
@@ -44,10 +44,11 @@ def repeated_bytes(spark, sf_dir):
     return d.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query(f"SELECT * REPLACE (printf('%.4f', failure_rate) AS failure_rate, printf('%.3f', round_even(average_inference_ms, 3)) AS average_inference_ms, coalesce(printf('%.4f', round_even(average_confidence, 4)), '') AS average_confidence) FROM ({_DASHBOARD_MONTHLY})")
+@query(f"SELECT * REPLACE (printf('%.4f', failure_rate) AS failure_rate, printf('%.3f', average_inference_ms) AS average_inference_ms, coalesce(printf('%.4f', average_confidence), '') AS average_confidence) FROM ({_DASHBOARD_PLAIN})")
 def dashboard_file_cells(spark, sf_dir):
     """The monthly dashboard with the decimals of its file."""
-    return sinks.dashboard_cells(dashboard_monthly(spark, sf_dir))
+    months = {"year": F.year("timestamp"), "month": F.month("timestamp")}
+    return sinks.dashboard_cells(rollup.dashboard(lenses.inspections(spark, sf_dir), lenses.detections(spark, sf_dir), months, rounded=False))
 
 
 @query(f"""WITH v AS (SELECT s_nationkey, list((s_suppkey % 10) / 10 ORDER BY s_suppkey) AS p, list((s_suppkey % 7) / 7 ORDER BY s_suppkey) AS r FROM supplier GROUP BY 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +79,9 @@ def dashboard_hourly(spark, sf_dir):
 _DASHBOARD_MONTHLY = _dashboard_sql(_INSPECTIONS, _DETECTIONS, "year(timestamp)::INT AS year, month(timestamp)::INT AS month", "year, month")
 
 
+_DASHBOARD_PLAIN = re.sub(r"round\((count.*?/ count\(\*\)|avg\(\w+\)), \d\)", r"\1", _DASHBOARD_MONTHLY)
+
+
 @query(_DASHBOARD_MONTHLY)
 def dashboard_monthly(spark, sf_dir):
     """Monthly dashboard over orders and line items."""

@@ -85,7 +85,7 @@ def sweep_cells(sweep: DataFrame) -> DataFrame:
 
 
 def dashboard_cells(dashboard: DataFrame) -> DataFrame:
-    """The dashboard as its file has it: rates and confidences of four decimals, milliseconds of three."""
+    """The dashboard (not rounded) as its file has it: rates and confidences of four decimals, milliseconds of three."""
     digits = {"failure_rate": 4, "average_inference_ms": 3, "average_confidence": 4}
     return dashboard.withColumns({c: fixed(F.col(c), n) for c, n in digits.items()})
 
