@@ -319,7 +319,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     routes.drop()
     shared.drop()
     kinds = stretch.df.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("at"))
-    per_gram = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
+    per_gram = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).hint("rebalance")  # so that the join can split a gram of very many kinds
     classes = Written(kinds.join(per_gram, "gram").select("gram", "whole", "n", "kinds", "at.key", "at.place"), "classes")
     more = F.col("place").bitwiseAND(F.lit(255)).cast("int")
     # equal stretches repeat in whole
