@@ -218,6 +218,13 @@ def _node_texts(documents: DataFrame, rows: DataFrame, nodes: DataFrame) -> Data
     return found.groupBy("node").agg(F.first("text").alias("text"))  # equal rows
 
 
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for s in slices(batches):
+        found = [_shingle_set(t, width)[1].view(np.int64) for t in s.column("text").to_pylist()]
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([s.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["node", "shingles"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose sets of shingles are as similar as that."""
 
@@ -295,13 +302,20 @@ def _near_nodes(documents: DataFrame, similarity: float, width: int) -> tuple[Da
     # compared once all rounds are known, so that nodes connected under another key are left out
     known = Written(components(reduce(DataFrame.union, links)), "near-roots")
 
-    def rooted(side: int) -> DataFrame:
-        rows = reduce(DataFrame.union, (r[side].withColumn("round", F.lit(k)) for k, r in enumerate(rounds)))
-        return written(rows.join(known.df, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-sides").alias("ab"[side])
+    # these joins carry the sets themselves and verify inside, so that only links come out of them
+    sides = [written(reduce(DataFrame.union, (r[side].withColumn("round", F.lit(k)) for k, r in enumerate(rounds))), "near-sides") for side in (0, 1)]
+    needed = sides[0].select("node").union(sides[1].select("node")).distinct()
+    sets = written(texts.df.join(needed, "node", "left_semi").mapInArrow(lambda b: _sets(b, width), "node long, shingles array<long>"), "near-sets")
 
-    ends = F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")
-    rest = rooted(0).join(rooted(1), (F.col("a.key") == F.col("b.key")) & (F.col("a.round") == F.col("b.round")) & (F.col("a.root") != F.col("b.root")) & close("a", "b")).select(*ends)
-    links.append(_verified(written(rest.distinct(), "near-pairs"), texts.df, similarity, width))
+    def rooted(side: int) -> DataFrame:
+        rows = sides[side].join(known.df, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return written(rows.join(sets, "node"), "near-sides").alias("ab"[side])
+
+    both = F.size(F.array_intersect("a.shingles", "b.shingles"))
+    alike = both * (1 + similarity) >= similarity * (F.col("a.size") + F.col("b.size")) - 1e-9
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.round") == F.col("b.round"))
+    rest = rooted(0).join(rooted(1), same & (F.col("a.root") != F.col("b.root")) & close("a", "b") & alike)
+    links.append(written(rest.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), "near-links"))
     return rows.df.select("doc_id", "hash", "node"), written(components(reduce(DataFrame.union, links)), "near-roots")
 
 
