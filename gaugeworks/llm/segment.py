@@ -45,7 +45,7 @@ ZIPF, THETA = 2.7, 1.0
 #: Extra cost of spelling a character in bytes.
 BYTE_LOGP = -16.0
 #: Distinct atoms kept by a worker between batches.
-KEPT_ATOMS = 150_000
+KEPT_ATOMS = 100_000
 #: Bytes of text handled together; an array of this many numbers stays small.
 SLICE = 600_000
 SEED = 0
