@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,7 @@ ZIPF, THETA = 2.7, 1.0
 #: Extra cost of spelling a character in bytes.
 BYTE_LOGP = -16.0
 #: Distinct atoms kept by a worker between batches.
-KEPT_ATOMS = 100_000
+KEPT_ATOMS = 140_000
 #: Bytes of text handled together; an array of this many numbers stays small.
 SLICE = 600_000
 SEED = 0
@@ -106,6 +107,15 @@ def uniform(key: np.ndarray | int, purpose: int, place: np.ndarray | int) -> np.
     return (_splitmix(x) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
+def codes(chars: np.ndarray) -> np.ndarray:
+    """Numbers of characters in which the meta symbol is 0 and so among the common ones."""
+    return np.where(chars == ord(META), 0, chars + 1)
+
+
+def characters(code: np.ndarray) -> np.ndarray:
+    return np.where(code == 0, ord(META), code - 1)
+
+
 #: Places whose part of a random number is kept in a table.
 KEPT_PLACES = 1 << 18
 
@@ -117,7 +127,8 @@ class Lattices:
         self.v = v
         self.n_pieces = len(v.pieces)
         # neighbouring characters that some piece spans
-        pairs = {ord(a) << 21 | ord(b) for p in v.pieces for a, b in zip(p, p[1:], strict=False)}
+        spelled = [codes(np.array([ord(c) for c in p], np.int64)).tolist() for p in v.pieces]
+        pairs = {a << 21 | b for p in spelled for a, b in zip(p, p[1:], strict=False)}
         self.pairs = np.array(sorted(pairs), np.int64)
         self.dense = np.zeros((1024, 1024), bool)
         for x in pairs:
@@ -127,10 +138,10 @@ class Lattices:
         # a trie as a sorted table of (node, character) -> node
         trie: dict[int, int] = {}
         piece_of = [-1]
-        for i, p in enumerate(v.pieces):
+        for i, p in enumerate(spelled):
             node = 0
             for c in p:
-                k = node << 21 | ord(c)
+                k = node << 21 | c
                 if k not in trie:
                     trie[k] = len(piece_of)
                     piece_of.append(-1)
@@ -177,8 +188,8 @@ class Lattices:
         self.n_positions = self.n_edges = 0
         self.edge_from = np.zeros(1 << 16, np.int32)  # by position; one more entry at the end
         self.piece = np.zeros(1 << 18, np.int32)
-        self.length = np.zeros(1 << 18, np.int32)
-        self.chance = np.zeros(1 << 18)  # running sum of the chances from the same position
+        self.length = np.zeros(1 << 18, np.uint8)
+        self.chance = np.zeros(1 << 18, np.float32)  # running sum of the chances from the same position
         self.logq = np.zeros(1 << 18)
 
     def draws(self, key: np.ndarray, purpose: int, place: np.ndarray) -> np.ndarray:
@@ -234,7 +245,7 @@ class Lattices:
             more = left[at] > depth
             at, node = at[more], node[more]
         lone = np.nonzero(~single)[0]
-        code = chars[lone]
+        code = characters(chars[lone])
         # a character without a piece: the byte's piece, or for several bytes a number past the vocabulary
         found.append((lone, np.where(code < 128, self.v.byte_ids[np.minimum(code, 127)], self.n_pieces + code), 1))
         found.reverse()  # the longest piece of a position first: it is mostly the likeliest, so a draw is soon decided
@@ -290,7 +301,7 @@ def prepare(texts: list[str | None], keys: np.ndarray, lat: Lattices) -> Texts:
     """Cut texts into atoms and make the lattices know them."""
     data = [(META + t.replace(" ", META)) if t else "" for t in texts]
     sizes = np.array([len(d) for d in data], np.int64)
-    chars = np.frombuffer("".join(data).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    chars = codes(np.frombuffer("".join(data).encode("utf-32-le", "replace"), "<u4").astype(np.int64))
     n = len(chars)
     begin = np.ones(n, bool)
     begin[1:] = ~lat.spans(chars[:-1], chars[1:])
@@ -304,7 +315,9 @@ def prepare(texts: list[str | None], keys: np.ndarray, lat: Lattices) -> Texts:
     place = np.arange(n) - np.repeat(atom_from, length)
     with np.errstate(over="ignore"):
         h = np.add.reduceat(_splitmix(chars.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)), atom_from)
-    names, first, which = np.unique(h, return_index=True, return_inverse=True)
+    which, names = pd.factorize(h)
+    first = np.empty(len(names), np.int64)
+    first[which[::-1]] = np.arange(len(h))[::-1]
     if len(lat.known) > KEPT_ATOMS:
         lat.clear()
     listed = names.tolist()
