@@ -53,13 +53,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def scope() -> Iterator[None]:
-    """Tables written inside go when it ends: a job writes its result inside and leaves nothing else behind."""
+def scope(kept: list[Written] | None = None) -> Iterator[None]:
+    """Tables written inside go when it ends, but for those in kept: a job writes its result inside and leaves nothing else behind."""
     before = set(map(id, _tables))
     try:
         yield
     finally:
-        for t in [t for t in _tables if id(t) not in before]:
+        stay = before | set(map(id, kept or ()))
+        for t in [t for t in _tables if id(t) not in stay]:
             t.drop()
 
 
