@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..storage import Written, written
+from ..storage import Written, scope, written
 from .common import free_name, slices, table
 
 SEED = 42
@@ -248,7 +248,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
 
 
 def _near_nodes(documents: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, hash of the text, node) of each row, and (node, root) of the nodes that have near ones.
+    """(doc_id, hash of the text, node) of each row, and (node, root) of the nodes that have near ones; nothing else stays written."""
+    kept: list[Written] = []
+    with scope(kept):
+        kept += _linked_nodes(documents, similarity, width)
+    rows, roots = kept
+    return rows.df.select("doc_id", "hash", "node"), roots.df
+
+
+def _linked_nodes(documents: DataFrame, similarity: float, width: int) -> tuple[Written, Written]:
+    """The signatures of all rows, and the root of each node that has near ones.
 
     Rows with the same set of shingles are one node. Under each key some nodes, chosen by a
     hash, lead: those verified to be near one are linked to it and leave with the leaders, and
@@ -316,7 +325,7 @@ def _near_nodes(documents: DataFrame, similarity: float, width: int) -> tuple[Da
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.round") == F.col("b.round"))
     rest = rooted(0).join(rooted(1), same & (F.col("a.root") != F.col("b.root")) & close("a", "b") & alike)
     links.append(written(rest.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), "near-links"))
-    return rows.df.select("doc_id", "hash", "node"), written(components(reduce(DataFrame.union, links)), "near-roots")
+    return rows, Written(components(reduce(DataFrame.union, links)), "near-roots")
 
 
 def near_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
