@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, langid, pii, segment, simhash, spotsigs, suffix_dedup, toxicity, url_filter
+from . import decontaminate, html_extract, importance, langid, pii, ranked_search, segment, simhash, spotsigs, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_sentencepiece": segment.op1_sentencepiece,
@@ -15,6 +15,5 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_html_extraction": html_extract.op10_html_extraction,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
 }
-
-ORACLES = {"op2_suffix_dedup": suffix_dedup.ORACLE, "op4_spotsigs": spotsigs.ORACLE, "op6_url_filter": url_filter.ORACLE}
