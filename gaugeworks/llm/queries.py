@@ -16,4 +16,13 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_html_extraction": html_extract.op10_html_extraction,
     "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op13_importance_resampling": importance.op13_importance_resampling,
+}
+
+ORACLES = {
+    "op2_suffix_dedup": suffix_dedup.ORACLE,
+    "op4_spotsigs": spotsigs.ORACLE,
+    "op6_url_filter": url_filter.ORACLE,
+    "op11_ranked_search": ranked_search.ORACLE,
+    "op13_importance_resampling": importance.ORACLE,
 }
