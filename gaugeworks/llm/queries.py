@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, importance, langid, pii, ranked_search, segment, simhash, spotsigs, suffix_dedup, toxicity, url_filter
+from . import decontaminate, html_extract, importance, jaccard_join, langid, pii, ranked_search, segment, simhash, spotsigs, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_sentencepiece": segment.op1_sentencepiece,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_html_extraction": html_extract.op10_html_extraction,
     "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_ngram_jaccard": jaccard_join.op12_ngram_jaccard,
     "op13_importance_resampling": importance.op13_importance_resampling,
 }
 
@@ -24,5 +25,6 @@ ORACLES = {
     "op4_spotsigs": spotsigs.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op11_ranked_search": ranked_search.ORACLE,
+    "op12_ngram_jaccard": jaccard_join.ORACLE,
     "op13_importance_resampling": importance.ORACLE,
 }
