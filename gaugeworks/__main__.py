@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hashing import from_hex16
-from .operators import matching, rollup, splits
+from .operators import detect, matching, policy, rollup, splits
 from .plans import inspect
 from .session import local_session
-from .sources import config, images, sinks, web
-from .storage import scope
+from .sources import config, images, log, sinks, web
+from .storage import Written, scope
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -32,9 +33,14 @@ def _parser() -> argparse.ArgumentParser:
     split = command("split", "deal the pictures of FOLDER into splits that share no near-duplicates; write MANIFEST", "folder", "manifest")
     split.add_argument("--seed", type=int, default=42)
     command("sweep", "precision and recall of PREDICTIONS (JSON) by threshold", "predictions", "output")
-    command("dashboard", "hourly totals of the tables inspections and detections", "output")
-    command("recent", "the newest inspections").add_argument("-n", type=int, default=20)
-    look = command("inspect", "decide on pictures with the deterministic stand-in detector", "output")
+    for p in (command("dashboard", "hourly totals of the log", "output"), command("recent", "the newest inspections")):
+        p.add_argument("--log", help="folder of the inspection log")
+        p.add_argument("--url", help="JDBC url of a database with the tables inspections and detections")
+        p.add_argument("-n", type=int, default=20)
+    look = command("inspect", "decide on pictures", "output")
+    look.add_argument("--detector", help="MODULE:FUNCTION that loads a detector in each worker; without it a deterministic stand-in is used")
+    look.add_argument("--log", help="folder of the inspection log that the decisions are added to")
+    look.add_argument("--device", default="cpu")
     look.add_argument("--image", action="append", default=[])
     look.add_argument("--dir")
     look.add_argument("--thresholds")
@@ -72,22 +78,34 @@ def _sweep(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def _log(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
+    """Inspections and detections of a log folder, a database, or the session's tables."""
+    of = (lambda t: log.read(spark, a.log, t)) if a.log else (lambda t: images.jdbc(spark, a.url, t)) if a.url else spark.table
+    return of("inspections"), of("detections")
+
+
 def _dashboard(spark: SparkSession, a: argparse.Namespace) -> int:
-    sinks.dashboard_file(rollup.dashboard(spark.table("inspections"), spark.table("detections"), rollup.hourly(), rounded=False), a.output, "overwrite")
+    sinks.dashboard_file(rollup.dashboard(*_log(spark, a), rollup.hourly(), rounded=False), a.output, "overwrite")
     return 0
 
 
 def _recent(spark: SparkSession, a: argparse.Namespace) -> int:
-    rollup.recent(spark.table("inspections"), spark.table("detections"), a.n).orderBy(F.desc("inspection_id")).show(a.n, truncate=False)
+    rollup.recent(*_log(spark, a), a.n).orderBy(F.desc("inspection_id")).show(a.n, truncate=False)
     return 0
 
 
 def _inspect(spark: SparkSession, a: argparse.Namespace) -> int:
-    default, table, note = config.thresholds(a.thresholds) if a.thresholds else (None, None, "")
-    seen = inspect.pictures(spark, images.targets(spark, a.image, a.dir))
-    limits = {} if table is None else {"table": table, "default": default}
-    decided = inspect.inspected(seen, **limits).orderBy("place").withColumn("threshold_config", F.lit(note))
-    sinks.json_report(decided, a.output, ["place"], "overwrite")
+    default, table, note = config.thresholds(a.thresholds) if a.thresholds else (policy.DEFAULT_THRESHOLD, policy.THRESHOLDS, "")
+    seen = inspect.pictures(spark, a.image, a.dir)
+    if a.detector:
+        module, _, name = a.detector.partition(":")
+        scored = detect.scored(seen, getattr(importlib.import_module(module), name), policy.operating_floor(table, default))
+    else:
+        scored = inspect.mock_scored(seen)
+    decided = Written(inspect.judged(scored, not a.detector, table, default).withColumn("threshold_config", F.lit(note)), "decided").df
+    sinks.json_report(inspect.in_order(decided), a.output, ["given", "pred"], "overwrite")
+    if a.log:
+        log.append(inspect.log_rows(decided, a.device, note), a.log, [F.col("given").asc_nulls_last(), F.split("path", "/")])
     return 0
 
 

@@ -81,8 +81,31 @@ def class_id(name: Column, names: list[str]) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """A number with so many decimals, halves to even; blank for null."""
-    return F.when(x.isNull(), "").otherwise(F.format_string(f"%.{digits}f", F.bround(x.cast("double"), digits)))
+    """A number with so many decimals (1 to 6), as the double itself rounds: halves that it holds exactly go to even; blank for null, nan and inf as such.
+
+    Whole numbers split off without loss. What the product of the rest with a power of ten
+    loses is known exactly (the rest cut into two halves of its bits, each of which
+    multiplies without loss), and matters only where the rounded product ends in a half.
+    """
+    if not 1 <= digits <= 6:
+        raise ValueError(f"digits out of 1 to 6: {digits}")
+    scale = 10**digits
+    d = x.cast("double")
+    size = F.abs(d)
+    whole = F.floor(size)
+    rest = size - whole
+    product = rest * float(scale)
+    spread = rest * 134217729.0  # 2^27 + 1
+    high = spread - (spread - rest)
+    lost = (high * float(scale) - product) + (rest - high) * float(scale)
+    near = F.rint(product)
+    half = F.abs(product - F.floor(product) - 0.5) == 0
+    n = F.when(half & (lost > 0), F.ceil(product)).when(half & (lost < 0), F.floor(product)).otherwise(near).cast("long")
+    digits_of = lambda v: F.lpad(v.cast("string"), digits, "0")
+    body = F.concat(F.when(n == scale, whole + 1).otherwise(whole).cast("string"), F.lit("."), digits_of(F.when(n == scale, F.lit(0)).otherwise(n)))
+    sign = F.when(d.cast("string").startswith("-"), "-").otherwise("")
+    odd = F.isnan(d) | (size == float("inf"))
+    return F.when(x.isNull(), "").when(F.isnan(d), "nan").when(odd, F.concat(sign, F.lit("inf"))).when(size >= 2.0**53, F.format_string(f"%.{digits}f", d)).otherwise(F.concat(sign, body))
 
 
 # The classes that need an open or a close scene, and the share of aisle views among all others.

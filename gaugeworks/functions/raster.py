@@ -15,32 +15,82 @@ from pyspark.sql import functions as F
 PROBE = "struct<width:int,height:int,white:double,edges:double,dhash:bigint>"
 
 
-def decode(content: bytes | None) -> np.ndarray | None:
-    """Grey values of a picture, or null. Binary PGM and PPM and plain PNG are read here, all else by Pillow where it is installed."""
+class MissingDecoder(RuntimeError):
+    """A picture of a known kind that nothing here can read; unlike broken bytes, this is no property of the picture."""
+
+
+# How the kinds of pictures begin that need Pillow.
+BEGINNINGS = {b"\xff\xd8\xff": "JPEG", b"BM": "BMP", b"II*\0": "TIFF", b"MM\0*": "TIFF", b"GIF8": "GIF"}
+
+
+def decode_color(content: bytes | None) -> np.ndarray | None:
+    """Height x width x 3 values of a picture (red, green, blue), or null if it is broken.
+
+    Binary PGM and PPM, plain PNG and plain BMP are read here, all else by Pillow; a kind that
+    only Pillow reads is an error where it isn't installed, not a broken picture.
+    """
     if not content:
         return None
+    kind = next((k for start, k in BEGINNINGS.items() if content.startswith(start)), "WebP" if content[:4] == b"RIFF" and content[8:12] == b"WEBP" else None)
     try:
         if content[:2] in (b"P5", b"P6"):
-            fields, at = [], 2
-            while len(fields) < 3:
-                while content[at : at + 1].isspace():
-                    at += 1
-                end = at
-                while not content[end : end + 1].isspace():
-                    end += 1
-                fields.append(int(content[at:end]))
-                at = end
-            w, h, _ = fields
-            planes = 3 if content[1:2] == b"6" else 1
-            a = np.frombuffer(content, np.uint8, w * h * planes, at + 1).reshape(h, w, planes).astype(np.float64)
-            return a[:, :, 0] if planes == 1 else a @ GREY
+            return _netpbm(content)
         if content[:8] == PNG:
             return _png(content)
+        if kind == "BMP" and (plain := _bmp(content)) is not None:
+            return plain
+    except NotImplementedError:
+        kind = "PNG"
+    except (ValueError, KeyError, IndexError, struct.error, zlib.error):
+        return None
+    if kind is None:
+        return None
+    try:
         from PIL import Image
+    except ImportError as e:
+        raise MissingDecoder(f"a {kind} picture of this kind needs Pillow, which isn't installed on this executor") from e
+    try:
+        return np.asarray(Image.open(io.BytesIO(content)).convert("RGB"), np.float64)
+    except (OSError, ValueError, SyntaxError):
+        return None
+
 
-        return np.asarray(Image.open(io.BytesIO(content)).convert("L"), np.float64)
-    except Exception:
+def decode(content: bytes | None) -> np.ndarray | None:
+    """Grey values of a picture, or null if it is broken."""
+    c = decode_color(content)
+    if c is None:
+        return None
+    return c[:, :, 0] if (c[:, :, 0] == c[:, :, 1]).all() and (c[:, :, 0] == c[:, :, 2]).all() else c @ GREY
+
+
+def _netpbm(content: bytes) -> np.ndarray:
+    fields, at = [], 2
+    while len(fields) < 3:
+        while content[at : at + 1].isspace():
+            at += 1
+        end = at
+        while end < len(content) and not content[end : end + 1].isspace():
+            end += 1
+        fields.append(int(content[at:end]))
+        at = end
+    w, h, _ = fields
+    planes = 3 if content[1:2] == b"6" else 1
+    a = np.frombuffer(content, np.uint8, w * h * planes, at + 1).reshape(h, w, planes).astype(np.float64)
+    return np.repeat(a, 3, axis=2) if planes == 1 else a
+
+
+def _bmp(content: bytes) -> np.ndarray | None:
+    """An uncompressed BMP of 8 (palette), 24 or 32 bits a pixel; null for other kinds."""
+    start, head, w, h, _, bits, packed = struct.unpack_from("<I I i i H H I", content, 10)
+    if packed or bits not in (8, 24, 32):
         return None
+    line = (w * bits // 8 + 3) // 4 * 4
+    raw = np.frombuffer(content, np.uint8, line * abs(h), start).reshape(abs(h), line)[:, : w * bits // 8]
+    raw = raw if h < 0 else raw[::-1]  # rows go up unless the height is negative
+    if bits == 8:
+        colors = np.frombuffer(content[14 + head : start], np.uint8).reshape(-1, 4)[:, 2::-1]
+        return colors[raw].astype(np.float64)
+    return raw.reshape(abs(h), w, bits // 8)[:, :, 2::-1].astype(np.float64)
 
 
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -48,7 +98,7 @@ GREY = np.array([0.299, 0.587, 0.114])
 
 
 def _png(content: bytes) -> np.ndarray:
-    """Grey values of a PNG of 8 bits a sample that isn't interlaced: grey, colour or palette, with or without alpha."""
+    """Colours of a PNG of 8 bits a sample that isn't interlaced: grey, colour or palette, with or without alpha."""
     at, data, head, palette = 8, [], b"", b""
     while at < len(content):
         n, kind = struct.unpack(">I4s", content[at : at + 8])
@@ -59,7 +109,7 @@ def _png(content: bytes) -> np.ndarray:
     w, h, bits, kind, _, _, interlaced = struct.unpack(">IIBBBBB", head)
     planes = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
     if bits != 8 or interlaced:
-        raise ValueError("a PNG of another kind")
+        raise NotImplementedError("an interlaced PNG or one of other than 8 bits a sample")
     raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(h, 1 + w * planes)
     out = np.zeros((h + 1, (w + 1) * planes), np.int64)  # a row above and a pixel to the left of zeros
     for y in range(h):
@@ -81,8 +131,14 @@ def _png(content: bytes) -> np.ndarray:
                 row[i + planes] = (int(line[i]) + guess) & 255
     pixels = out[1:, planes:].reshape(h, w, planes).astype(np.float64)
     if kind == 3:
-        return np.frombuffer(palette, np.uint8).reshape(-1, 3).astype(np.float64)[pixels[:, :, 0].astype(int)] @ GREY
-    return pixels[:, :, 0] if planes < 3 else pixels[:, :, :3] @ GREY
+        return np.frombuffer(palette, np.uint8).reshape(-1, 3).astype(np.float64)[pixels[:, :, 0].astype(int)]
+    return np.repeat(pixels[:, :, :1], 3, axis=2) if planes < 3 else pixels[:, :, :3]
+
+
+def encode_color(pixels: np.ndarray) -> bytes:
+    """A colour picture as a binary PPM."""
+    h, w, _ = pixels.shape
+    return b"P6 %d %d 255\n" % (w, h) + np.clip(np.rint(pixels), 0, 255).astype(np.uint8).tobytes()
 
 
 def encode(grey: np.ndarray, suffix: str = ".png") -> bytes:

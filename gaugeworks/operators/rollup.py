@@ -6,28 +6,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def exact_mean(c: str) -> Column:
+    """The mean of a column's values at eight decimals: their sum is one of whole numbers, so it is the same in any order and under any partitioning."""
+    return F.sum(F.col(c).cast("decimal(24,8)")).cast("double") / F.count(F.col(c).cast("decimal(24,8)"))
+
+
+def rounded_mean(c: str) -> Column:
+    """exact_mean() at six decimals, halves away from zero: worked out in whole numbers, so no double decides a half."""
+    kept = F.col(c).cast("decimal(24,8)")
+    n = F.count(kept)
+    total = (F.sum(kept) * 10**8).cast("decimal(38,0)")
+    millionths = F.call_function("div", 2 * F.abs(total) + 100 * n, F.nullif(200 * n, F.lit(0).cast("long")))
+    return F.signum(total) * millionths / 1e6
+
+
 def dashboard(inspections: DataFrame, detections: DataFrame, buckets: dict[str, Column], key: str = "inspection_id", rounded: bool = True) -> DataFrame:
     """Totals per time bucket, repeated for each defect class found in it; without rounded the means and rates are as they come, for a file's own decimals.
 
     inspections: key, the bucket expressions' inputs, overall_result, inference_ms;
     detections: key, class_name, confidence. A bucket without detections has one row with
-    an empty class. Averages of inference_ms are per inspection: the sides are aggregated apart.
+    an empty class. Averages of inference_ms are per inspection: the sides are aggregated apart;
+    means are those of exact_mean(), nan and inf left out.
     """
     names = list(buckets)
-    cut = F.round if rounded else lambda x, digits: x
+    rate, mean = (lambda x: F.round(x, 4), rounded_mean) if rounded else (lambda x: x, exact_mean)
     stamped = inspections.select(key, *(c.alias(n) for n, c in buckets.items()), "overall_result", "inference_ms")
     fails = F.count_if(F.col("overall_result") == "FAIL")
     totals = stamped.groupBy(*names).agg(
         F.count(F.lit(1)).alias("total_inspections"),
         (F.count(F.lit(1)) - fails).alias("passes"),
         fails.alias("fails"),
-        cut(fails / F.count(F.lit(1)), 4).alias("failure_rate"),
-        cut(F.avg("inference_ms"), 6).alias("average_inference_ms"),
+        rate(fails / F.count(F.lit(1))).alias("failure_rate"),
+        mean("inference_ms").alias("average_inference_ms"),
     )
     found = (
         detections.join(stamped.select(key, *names), key)
         .groupBy(*names, "class_name")
-        .agg(F.count(F.lit(1)).alias("defect_count"), cut(F.avg("confidence"), 6).alias("average_confidence"))
+        .agg(F.count(F.lit(1)).alias("defect_count"), mean("confidence").alias("average_confidence"))
     )
     return totals.join(found, names, "left").select(
         *names,

@@ -14,7 +14,7 @@ from ..functions.raster import probe
 from ..operators import dedup, policy, quality, validation
 from ..operators.ordered import ranked
 from ..schemas import CLASS_NAMES
-from ..sources.images import dataset, with_digests
+from ..sources.images import dataset, exists, qualified, scan, with_digests
 from ..storage import written
 
 
@@ -38,14 +38,63 @@ def cleaned(records: DataFrame, near_bits: int = dedup.NEAR_BITS) -> DataFrame:
     return numbered.drop("status", "hash").join(verdict, "ord").join(names, "match", "left").select(*[c for c in records.columns if c not in ("status", "hash")], F.col("verdict").alias("status"), "match_name", "ord")
 
 
-def pictures(spark: SparkSession, targets: DataFrame) -> DataFrame:
-    """place, image, width and height of the targets (place, path); what can't be decoded has no size."""
-    paths = [r["path"] for r in targets.orderBy("place").collect()]  # the reader wants its paths from the driver, as any listing does
-    if not paths:
-        return spark.createDataFrame([], "place long, image string, width int, height int")
-    read = spark.read.format("binaryFile").load(paths).withColumn("p", probe(F.col("content"))).select(F.regexp_replace("path", "^file:/+", "/").alias("at"), "p")
-    named = targets.withColumn("at", F.regexp_replace("path", "^file:/+", "/"))
-    return named.join(read, "at", "left").select("place", F.substring_index("at", "/", -1).alias("image"), F.col("p.width").alias("width"), F.col("p.height").alias("height"))
+def pictures(spark: SparkSession, explicit: list[str], folder: str | None = None) -> DataFrame:
+    """given (place among the explicit paths, null for a folder's), path, image and content; the folder is listed and read by its scan."""
+    named = spark.createDataFrame([(i, p, qualified(spark, p)) for i, p in enumerate(explicit)], "given int, path string, at string")
+    there = [p for p in explicit if exists(spark, p)]
+    if there:
+        read = spark.read.format("binaryFile").load(there).select(F.col("path").alias("at"), "content")
+        # files without bytes don't come from the reader
+        first = named.join(read, "at", "left").select("given", "path", "content")
+    else:
+        first = named.select("given", "path", F.lit(None).cast("binary").alias("content"))
+    if folder is not None:
+        listed = scan(spark, folder).select(F.lit(None).cast("int").alias("given"), "path", "content")
+        first = first.unionByName(listed)
+    return first.select("given", "path", F.substring_index("path", "/", -1).alias("image"), "content")
+
+
+def in_order(decided: DataFrame) -> DataFrame:
+    """Explicit paths as given, then a folder's by the parts of their paths."""
+    return decided.orderBy(F.col("given").asc_nulls_last(), F.split("path", "/"))
+
+
+def mock_scored(images: DataFrame) -> DataFrame:
+    """What detect.scored() gives, by the deterministic stand-in."""
+    p = images.withColumn("p", probe(F.col("content"))).drop("content")
+    seen = F.col("p.width").isNotNull()
+    return p.withColumns(
+        {
+            "width": F.col("p.width"),
+            "height": F.col("p.height"),
+            "pred": F.when(seen, policy.mock_detection(F.col("p.width"), F.col("p.height"))),
+            "model_version": F.when(seen, F.lit("mock")),
+            "inference_ms": F.when(seen, F.lit(0.0)),
+        }
+    ).drop("p")
+
+
+def judged(scored: DataFrame, mock: bool = False, table: Mapping[str, float] = policy.THRESHOLDS, default: float = policy.DEFAULT_THRESHOLD) -> DataFrame:
+    """Scored pictures with their decision, null where there was nothing to score."""
+    return scored.withColumn("decision", F.when(F.col("pred").isNotNull(), policy.decide_nested(F.col("pred"), table, default))).withColumn("mock", F.lit(mock))
+
+
+def log_rows(decided: DataFrame, device: str = "cpu", thresholds: str = "", notes: str = "") -> DataFrame:
+    """Decisions as the log wants them: the parent's columns, and boxes of its children; pictures without a decision aren't logged."""
+    box = lambda d: F.struct(d["class"].alias("class_name"), d["confidence"].alias("confidence"), *(F.get(d["bbox"], F.lit(k)).alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))))
+    return decided.where("decision is not null").select(
+        "given",
+        "path",
+        F.col("image").alias("image_name"),
+        "model_version",
+        F.col("decision.result").alias("overall_result"),
+        F.col("decision.max_confidence").alias("max_confidence"),
+        "inference_ms",
+        F.lit(device).alias("device"),
+        F.lit(thresholds).alias("threshold_config"),
+        F.lit(notes).alias("notes"),
+        F.transform("decision.detections", box).alias("boxes"),
+    )
 
 
 def inspected(

@@ -61,8 +61,8 @@ _FILES = f"""{_WORDS}, cells AS (
 def _dashboard_sql(inspections: str, detections: str, buckets: str, names: str) -> str:
     return f"""WITH {inspections}, {detections}, stamped AS (SELECT *, {buckets} FROM inspections),
 totals AS (SELECT {names}, count(*) AS total_inspections, count(*) - count(*) FILTER (overall_result = 'FAIL') AS passes, count(*) FILTER (overall_result = 'FAIL') AS fails,
-  round(count(*) FILTER (overall_result = 'FAIL') / count(*), 4) AS failure_rate, round(avg(inference_ms), 6) AS average_inference_ms FROM stamped GROUP BY ALL),
-found AS (SELECT {names}, class_name, count(*) AS defect_count, round(avg(confidence), 6) AS average_confidence FROM detections JOIN stamped USING (inspection_id) GROUP BY ALL)
+  round(count(*) FILTER (overall_result = 'FAIL') / count(*), 4) AS failure_rate, ((2 * (sum(inference_ms::DECIMAL(24, 8)) * 100000000)::HUGEINT + 100 * count(inference_ms)) // (200 * count(inference_ms)))::DOUBLE / 1000000 AS average_inference_ms FROM stamped GROUP BY ALL),
+found AS (SELECT {names}, class_name, count(*) AS defect_count, ((2 * (sum(confidence::DECIMAL(24, 8)) * 100000000)::HUGEINT + 100 * count(confidence)) // (200 * count(confidence)))::DOUBLE / 1000000 AS average_confidence FROM detections JOIN stamped USING (inspection_id) GROUP BY ALL)
 SELECT totals.*, coalesce(class_name, '') AS defect_class, coalesce(defect_count, 0) AS defect_count, average_confidence FROM totals LEFT JOIN found USING ({names})"""
 
 
@@ -79,7 +79,7 @@ def dashboard_hourly(spark, sf_dir):
 _DASHBOARD_MONTHLY = _dashboard_sql(_INSPECTIONS, _DETECTIONS, "year(timestamp)::INT AS year, month(timestamp)::INT AS month", "year, month")
 
 
-_DASHBOARD_PLAIN = re.sub(r"round\((count.*?/ count\(\*\)|avg\(\w+\)), \d\)", r"\1", _DASHBOARD_MONTHLY)
+_DASHBOARD_PLAIN = re.sub(r"\(\(2 \* \(sum\((\w+)::.*? / 1000000|round\((count.*?/ count\(\*\)), 4\)", lambda m: m[2] or f"sum({m[1]}::DECIMAL(24, 8))::DOUBLE / count({m[1]})", _DASHBOARD_MONTHLY)
 
 
 @query(_DASHBOARD_MONTHLY)

@@ -15,11 +15,17 @@ SUFFIXES = [".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tif", ".tiff"]
 SPLIT_SUFFIXES = [".jpg", ".jpeg", ".png", ".bmp", ".webp"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as listings give it, with its store's scheme."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def scan(spark: SparkSession, root: str, suffixes: list[str] = SUFFIXES, recursive: bool = False, content: bool = True) -> DataFrame:
     """path, filename, stem, suffix, parent, length and content of the images under a folder; a missing folder is empty.
 
@@ -28,7 +34,7 @@ def scan(spark: SparkSession, root: str, suffixes: list[str] = SUFFIXES, recursi
     wanted = ["path", "length", *(["content"] if content else [])]
     kinds = {"path": "string", "length": "bigint", "content": "binary"}
     schema = ", ".join(f"{c} {kinds[c]}" for c in wanted)
-    if not _exists(spark, root):
+    if not exists(spark, root):
         files = spark.createDataFrame([], schema)
     else:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).select(*wanted)
@@ -56,7 +62,7 @@ def list_count(spark: SparkSession, path: str) -> int:
 def split_count(spark: SparkSession, path: str) -> int:
     """Images of a split that is a folder or a list file."""
     if path.endswith(".txt"):
-        return list_count(spark, path) if _exists(spark, path) else 0
+        return list_count(spark, path) if exists(spark, path) else 0
     return scan(spark, path, SPLIT_SUFFIXES, content=False).count()
 
 
@@ -117,7 +123,7 @@ def dataset(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataF
     images, files = [], []
     for s in SPLITS:
         images.append(scan(spark, f"{root}/{s}/images").withColumn("split", F.lit(s)))
-        if _exists(spark, f"{root}/{s}/labels"):
+        if exists(spark, f"{root}/{s}/labels"):
             files.append(label_files(spark, f"{root}/{s}/labels", s))
     none = spark.createDataFrame([], "split string, stem string, text string")
     rows, marked = labels(reduce(DataFrame.union, files, none))
@@ -144,7 +150,7 @@ def split_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def known_digests(spark: SparkSession, path: str) -> DataFrame:
     """Digests of downloads that went well."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], "sha256 string")
     return csv_rows(spark, path, DOWNLOADS).where("status = 'ok' and coalesce(sha256, '') <> ''").select("sha256").distinct()
 
