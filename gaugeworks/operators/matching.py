@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import array_iou
 from ..schemas import CLASS_NAMES
+from ..storage import Written
 from .ordered import accumulated
+from .suppress import by_confidence
 
 LEAST_IOU = 0.5
 # Fixed value: the note of a sweep without confirmed good images.
@@ -130,6 +132,84 @@ def average_precision(hits: DataFrame, truths: DataFrame, group: str = "class_na
     return truths.join(area, group, "left").select(group, F.round(F.coalesce(F.try_divide("area", "n"), F.lit(0.0)), 6).alias("average_precision"))
 
 
+#: Overlaps at which detections are judged.
+LEVELS = [(50 + 5 * k) / 100 for k in range(10)]
+
+
+def level_hits(gt: Column, pred: Column, levels: list[float] = LEVELS) -> Column:
+    """struct(class, confidence, hits) of each prediction in falling confidence; bit k of hits: it finds a truth at the k-th level.
+
+    At each level a prediction takes the truth of its class of the largest overlap, of equal
+    ones the first, that no surer prediction took at that level. All levels are one pass: the
+    state of the fold is what is taken at each.
+    """
+
+    def options(p: Column) -> Column:
+        scored = F.transform(gt, lambda g, i: F.struct(F.when(g["class"] == p["class"], array_iou(g["bbox"], p["bbox"])).alias("iou"), (-i).alias("at")))
+        return F.struct(p["class"].alias("class"), p["confidence"].alias("confidence"), F.filter(scored, lambda o: o["iou"] >= min(levels)).alias("options"))
+
+    limits, bits = F.array(*map(F.lit, levels)), F.array(*(F.lit(1 << k) for k in range(len(levels))))
+
+    def take(state: Column, p: Column) -> Column:
+        best = F.zip_with(state["taken"], limits, lambda t, least: F.array_max(F.filter(p["options"], lambda o: (o["iou"] >= least) & ~F.array_contains(t, o["at"]))))
+
+        def marked(picks: Column) -> Column:
+            taken = F.zip_with(state["taken"], picks, lambda t, x: F.when(x.isNull(), t).otherwise(F.concat(t, F.array(x["at"]))))
+            hits = F.aggregate(F.zip_with(picks, bits, lambda x, b: F.when(x.isNull(), 0).otherwise(b)), F.lit(0), lambda s, v: s + v)
+            return F.struct(taken.alias("taken"), F.concat(state["out"], F.array(F.struct(p["class"].alias("class"), p["confidence"].alias("confidence"), hits.alias("hits")))).alias("out"))
+
+        return F.get(F.transform(F.array(best), marked), F.lit(0))  # so that the picks are worked out once
+
+    start = F.struct(
+        F.array_repeat(F.array().cast("array<int>"), len(levels)).alias("taken"),
+        F.array().cast("array<struct<class:string,confidence:double,hits:int>>").alias("out"),
+    )
+    return F.aggregate(F.transform(by_confidence(pred), options), start, take)["out"]
+
+
+def detection_metrics(images: DataFrame, levels: list[float] = LEVELS) -> DataFrame:
+    """class_name, n_truths, precision, recall, ap50 and ap50_95 of each class that has truths, and the mean of all classes as the class "all".
+
+    images: gt array<struct<class,bbox>>, pred array<struct<class,confidence,bbox>>. The first
+    level gives ap50 and, where F1 is best (of equal ones at the highest confidence),
+    precision and recall; ap50_95 is the mean over the levels. An average precision is the
+    mean of the best precision at a recall of at least 0, 0.01 ... 1. Hits of one class and
+    confidence are one step of the curves, so what is shuffled and ranked is a row for each of
+    these; sums of decimals are the same in any order.
+    """
+    none_gt, none_pred = F.array().cast("array<struct<class:string,bbox:array<double>>>"), F.array().cast("array<struct<class:string,confidence:double,bbox:array<double>>>")
+    base = images.select(F.coalesce("gt", none_gt).alias("gt"), F.coalesce("pred", none_pred).alias("pred"))
+    truths = base.select(F.explode("gt.class").alias("class_name")).groupBy("class_name").agg(F.count(F.lit(1)).alias("n_truths"))
+    hits = base.select(F.explode(level_hits(F.col("gt"), F.col("pred"), levels)).alias("h")).select(F.col("h.class").alias("class_name"), "h.confidence", "h.hits")
+    t, all_t, best = ([f"{x}{k}" for k in range(len(levels))] for x in ("t", "all_t", "best"))
+    steps = hits.groupBy("class_name", "confidence").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.getbit("hits", F.lit(k)).cast("long")).alias(c) for k, c in enumerate(t)))
+    down = accumulated(steps, "class_name", [F.col("confidence").desc()], F.sum, ["n", *t], ["all_n", *all_t])
+    curve = Written(down.join(truths, "class_name").withColumns({f"p{k}": F.col(c) / F.col("all_n") for k, c in enumerate(all_t)}), "precision-steps").df
+    high = accumulated(curve, "class_name", [F.col("confidence")], F.max, [f"p{k}" for k in range(len(levels))], best)
+    # points of the recall that this step is the first to reach; the first step has that of 0, too
+    point = lambda x: F.call_function("div", 100 * x, F.col("n_truths"))
+    reached = [point(F.col(a)) - point(F.col(a) - F.col(b)) + (F.col("all_n") == F.col("n")).cast("int") for a, b in zip(all_t, t, strict=True)]
+    area = [F.sum((F.col(b) * r).cast("decimal(28,12)")).cast("double").alias(f"ap{k}") for k, (b, r) in enumerate(zip(best, reached, strict=True))]
+    areas = high.groupBy("class_name").agg(*area)
+    f1 = 2 * F.col("all_t0") / (F.col("all_n") + F.col("n_truths"))
+    top = curve.groupBy("class_name").agg(F.max_by(F.struct((F.col("all_t0") / F.col("all_n")).alias("precision"), (F.col("all_t0") / F.col("n_truths")).alias("recall")), F.struct(f1.alias("f1"), "confidence")).alias("top"))
+    known = truths.join(areas, "class_name", "left").join(top, "class_name", "left")
+    mean = sum((F.coalesce(f"ap{k}", F.lit(0.0)) for k in range(1, len(levels))), F.coalesce("ap0", F.lit(0.0))) / len(levels)
+    value = {"precision": F.coalesce("top.precision", F.lit(0.0)), "recall": F.coalesce("top.recall", F.lit(0.0)), "ap50": F.coalesce("ap0", F.lit(0.0)) / 101, "ap50_95": mean / 101}
+    per = known.select("class_name", "n_truths", *(v.cast("decimal(20,12)").alias(c) for c, v in value.items()))
+    named = per.select(F.explode(F.array("class_name", F.lit("all"))).alias("class_name"), "n_truths", *value)  # a row a class
+    means = named.groupBy("class_name").agg(F.sum("n_truths").alias("n_truths"), *(F.round(F.sum(c).cast("double") / F.count(F.lit(1)), 6).alias(c) for c in value))
+    return means
+
+
+def metric_vectors(metrics: DataFrame, classes: list[str] = CLASS_NAMES) -> DataFrame:
+    """One row of vectors for metrics_by_class() from detection_metrics(): of the listed classes that have truths, in their order."""
+    at = F.array_position(F.array(*map(F.lit, classes)), F.col("class_name"))
+    names = ["precision", "recall", "ap50", "ap50_95"]
+    listed = metrics.where(F.col("class_name").isin(classes)).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), *names))).alias("m"))  # a row a class
+    return listed.select(*(F.col(f"m.{c}").alias(c) for c in names))
+
+
 def metrics_by_class(vectors: DataFrame, classes: list[str] = CLASS_NAMES) -> DataFrame:
     """A row for each class from one row of metric vectors (precision, recall, ap50, ap50_95); blank where a vector isn't of the classes' number."""
     names = F.posexplode(F.array(*map(F.lit, classes))).alias("class_id", "class")

@@ -97,3 +97,42 @@ def matching_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("gt", lambda g: F.struct(g["class"].alias("class"), g["bbox"].alias("bbox"))).alias("gt"),
         F.transform("pred", lambda p: F.struct(p["class"].alias("class"), p["confidence"].alias("confidence"), p["bbox"].alias("bbox"))).alias("pred"),
     )
+
+
+def _line_key():
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
+
+
+def scored_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and quantities (by sevens) as images: line items of odd parts are truths, all of them (moved a little) predictions; repeated rows are boxes of their own."""
+    x, y = F.pmod("l_partkey", F.lit(16)) * 40, F.pmod("l_orderkey", F.lit(16)) * 40
+    dx, dy = F.pmod("l_partkey", F.lit(5)) * 3, F.pmod("l_linenumber", F.lit(4)) * 3
+    box = lambda a, b: F.array(a.cast("double"), b.cast("double"), (a + 40).cast("double"), (b + 40).cast("double"))
+    name = class_name(F.pmod("l_partkey", F.lit(7)), CLASS_NAMES)
+    sure = F.round(F.col("l_discount") * 100).cast("int") * 100 + F.pmod("l_orderkey", F.lit(97)).cast("int")
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey",
+        F.pmod(F.col("l_quantity").cast("int"), F.lit(7)).alias("camera"),
+        F.struct(_line_key().alias("k"), name.alias("class"), (sure / 1200).alias("confidence"), box(x + dx, y + dy).alias("bbox")).alias("p"),
+        F.when(F.pmod("l_partkey", F.lit(2)) == 1, F.struct(_line_key().alias("k"), name.alias("class"), box(x, y).alias("bbox"))).alias("g"),
+    )
+    return rows.groupBy("l_suppkey", "camera").agg(F.sort_array(F.collect_list("g")).alias("gt"), F.sort_array(F.collect_list("p")).alias("pred")).select(
+        "l_suppkey",
+        "camera",
+        F.transform("gt", lambda g: F.struct(g["class"].alias("class"), g["bbox"].alias("bbox"))).alias("gt"),
+        F.transform("pred", lambda p: F.struct(p["class"].alias("class"), p["confidence"].alias("confidence"), p["bbox"].alias("bbox"))).alias("pred"),
+    )
+
+
+def large_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return flags and states as images of very many boxes: line items under keys of their own, repeated rows once."""
+    x, y = F.pmod(F.col("l_partkey") * 37 + F.col("l_orderkey"), F.lit(900)), F.pmod(F.col("l_suppkey") * 53 + F.col("l_orderkey") * 7, F.lit(900))
+    w, h = F.pmod("l_linenumber", F.lit(3)) * 10 + 20, F.pmod("l_partkey", F.lit(3)) * 10 + 20
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat("l_returnflag", "l_linestatus").alias("image"),
+        class_name(F.pmod("l_partkey", F.lit(7)), CLASS_NAMES).alias("class_name"),
+        _line_key().alias("key"),
+        ((F.round(F.col("l_discount") * 100).cast("int") * 100 + F.pmod("l_orderkey", F.lit(97)).cast("int")) / 1200).alias("confidence"),
+        *(c.cast("double").alias(n) for n, c in (("x1", x), ("y1", y), ("x2", x + w), ("y2", y + h))),
+    )
+    return rows.distinct()
