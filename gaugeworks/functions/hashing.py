@@ -59,17 +59,21 @@ def text_hashes(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return counts.select(key, packed_difference([F.col(c) for c in n]).alias("dhash"))
 
 
-def segments(h: Column, distance: int, clean: int = 3) -> list[Column]:
-    """distance + clean segments of the 64 bits: two hashes within the distance agree on `clean` of them at least."""
+def _edges(distance: int, clean: int, bits: int) -> list[int]:
     n = distance + clean
-    edges = [64 * i // n for i in range(n + 1)]
+    return [bits * i // n for i in range(n + 1)]
+
+
+def segments(h: Column, distance: int, clean: int = 3, bits: int = 64) -> list[Column]:
+    """distance + clean segments of the lowest bits: two hashes within the distance agree on `clean` of them at least."""
+    edges = _edges(distance, clean, bits)
     return [F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("bigint")) for low, high in zip(edges, edges[1:], strict=False)]
 
 
-def segment_keys(h: Column, distance: int, clean: int = 3) -> Column:
+def segment_keys(h: Column, distance: int, clean: int = 3, bits: int = 64) -> Column:
     """Every choice of `clean` segments as struct(mask, key): the segments chosen and their bits in one number."""
-    parts, n = segments(h, distance, clean), distance + clean
-    width = -(-64 // n)
+    parts, n = segments(h, distance, clean, bits), distance + clean
+    width = -(-bits // n)
     chosen = combinations(range(n), clean)
     return F.array(
         *(
@@ -79,9 +83,23 @@ def segment_keys(h: Column, distance: int, clean: int = 3) -> Column:
     )
 
 
-def first_key(x: Column, distance: int, clean: int = 3) -> Column:
+def rest_of(h: Column, mask: Column, distance: int, clean: int = 3) -> Column:
+    """The bits of the segments that a mask leaves out, in one number of rest_bits() bits at most."""
+    edges = _edges(distance, clean, 64)
+    parts = F.array(*(F.struct(F.lit(1 << i).alias("bit"), F.lit(high - low).alias("width"), s.alias("part")) for i, (s, low, high) in enumerate(zip(segments(h, distance, clean), edges, edges[1:], strict=False))))
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda r, p: F.when(mask.bitwiseAND(p["bit"]) != 0, r).otherwise(F.call_function("shiftleft", r, p["width"]).bitwiseOR(p["part"])))
+
+
+def rest_bits(distance: int, clean: int = 3) -> int:
+    """The most bits that rest_of() leaves."""
+    edges = _edges(distance, clean, 64)
+    widths = sorted(high - low for low, high in zip(edges, edges[1:], strict=False))
+    return sum(widths[clean:])
+
+
+def first_key(x: Column, distance: int, clean: int = 3, bits: int = 64) -> Column:
     """The mask of the first key that two hashes with these differing bits share."""
-    z = reduce(lambda a, b: a.bitwiseOR(b), (F.when(s == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, s in enumerate(segments(x, distance, clean))))
+    z = reduce(lambda a, b: a.bitwiseOR(b), (F.when(s == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, s in enumerate(segments(x, distance, clean, bits))))
     out, left = F.lit(0), z
     for _ in range(clean):
         one = left.bitwiseAND(-left)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import first_key, segment_keys
+from ..functions.hashing import first_key, rest_bits, rest_of, segment_keys
 from ..storage import Written
 from .ordered import ranked
 
 NEAR_BITS = 6
+#: Hashes that share a key from which on it is cut again.
+HOT = 128
 
 
 def duplicate_groups(files: DataFrame, sha: str = "sha256", name: str = "name") -> DataFrame:
@@ -56,15 +60,29 @@ def hash_links(distinct: DataFrame, distance: int = NEAR_BITS) -> DataFrame:
 
     An equality join on every choice of three of distance + 3 segments (84 keys of about 21
     bits for 6 differing bits); a pair is emitted at the first key it shares, and the whole
-    distance is verified in the join.
+    distance is verified in the join. A key that HOT hashes share or more is cut again by every
+    choice of two of distance + 2 segments of the bits that it leaves out, so that neither few
+    different bits nor very many hashes make a key's pairs grow with the square.
     """
     keyed = distinct.select("h", F.explode(segment_keys(F.col("h"), distance)).alias("x")).select("h", "x.mask", "x.key")
-    a, b = keyed.alias("a"), keyed.alias("b")
+    hot = Written(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).select("mask", "key", F.lit(True).alias("hot")), "hot-keys").df
+    n = hot.count()
+    bits = rest_bits(distance)
+    whole = F.array(F.struct(F.lit(-1).alias("mask"), F.lit(0).cast("bigint").alias("key")))
+    marked = keyed.join(F.broadcast(hot) if n <= 100_000 else hot, ["mask", "key"], "left") if n else keyed.withColumn("hot", F.lit(None).cast("boolean"))
+    rest = F.when(F.col("hot"), rest_of(F.col("h"), F.col("mask"), distance)) if n else F.lit(None).cast("bigint")
+    cut = marked.withColumn("rest", rest)
+    if n:
+        again = F.when(F.col("hot"), segment_keys(F.col("rest"), distance, 2, bits)).otherwise(whole)
+        cut = cut.select("h", "mask", "key", "rest", F.explode(again).alias("y")).select("h", "mask", "key", "rest", F.col("y.mask").alias("sub"), F.col("y.key").alias("subkey"))
+    else:
+        cut = cut.select("h", "mask", "key", "rest", F.lit(-1).alias("sub"), F.lit(0).cast("bigint").alias("subkey"))
+    a, b = cut.alias("a"), cut.alias("b")
     ha, hb = F.col("a.h"), F.col("b.h")
     x = ha.bitwiseXOR(hb)
-    return a.join(
-        b, (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key")) & (ha < hb) & (F.bit_count(x) <= distance) & (F.col("a.mask") == first_key(x, distance))
-    ).select(ha.alias("a"), hb.alias("b"), F.bit_count(x).cast("int").alias("distance"))
+    same = reduce(lambda p, q: p & q, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("mask", "key", "sub", "subkey")))
+    first = (F.col("a.mask") == first_key(x, distance)) & ((F.col("a.sub") < 0) | (F.col("a.sub") == first_key(F.col("a.rest").bitwiseXOR(F.col("b.rest")), distance, 2, bits)))
+    return a.join(b, same & (ha < hb) & (F.bit_count(x) <= distance) & first).select(ha.alias("a"), hb.alias("b"), F.bit_count(x).cast("int").alias("distance"))
 
 
 def cross_split_leaks(files: DataFrame, distance: int = NEAR_BITS, key: str = "id", h: str = "dhash", split: str = "split") -> DataFrame:

@@ -31,17 +31,18 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as inspections, failing on errors."""
-    return table(spark, sf_dir, "events").select(
+def event_inspections(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Events (of a stream, if one is given) as inspections, failing on errors."""
+    return (table(spark, sf_dir, "events") if events is None else events).select(
         F.col("event_id").alias("inspection_id"), F.col("ts").alias("timestamp"), F.when(F.col("event_type") == "error", "FAIL").otherwise("PASS").alias("overall_result"), F.col("value").alias("inference_ms")
     )
 
 
-def event_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors and clicks of uneven users as detections."""
-    return table(spark, sf_dir, "events").where("event_type in ('error', 'click') and user_id % 2 = 1").select(
-        F.col("event_id").alias("inspection_id"), class_name(F.pmod("user_id", F.lit(7)), CLASS_NAMES).alias("class_name"), (F.col("value") / 500).alias("confidence")
+def event_detections(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Errors and clicks of uneven users as detections; those of a stream have the time at which they came."""
+    rows = table(spark, sf_dir, "events") if events is None else events
+    return rows.where("event_type in ('error', 'click') and user_id % 2 = 1").select(
+        F.col("event_id").alias("inspection_id"), *([] if events is None else [F.col("ts").alias("timestamp")]), class_name(F.pmod("user_id", F.lit(7)), CLASS_NAMES).alias("class_name"), (F.col("value") / 500).alias("confidence")
     )
 
 

@@ -550,4 +550,4 @@ def validation_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return images, marked.union(extra), boxes
 
 
-from . import checks, judging  # noqa: E402, F401  register more queries
+from . import checks, collecting, judging  # noqa: E402, F401  register more queries
