@@ -1,17 +1,21 @@
 """Toxic passages by maximum-scoring segment search.
 
-Token scores are log-odds of the labelled classes under an informative Dirichlet prior
-(the background counts of the whole training sample); tokens whose log-odds are
-surely high keep the lower bound of theirs, every other token costs BACKGROUND. One linear scan finds all
-maximal scoring segments of a text. Segment scores become extreme-value (Karlin-Altschul)
-scores lambda*S - ln(K*n); lambda solves E[exp(lambda*score)] = 1 over the tokens of clean
-texts and K is fitted to their best segments. Documents aggregate their
-segments into three features, calibrated to a probability by logistic regression.
+Tokens are words, of which the first STEM letters tell. Their scores are signed log-odds of
+the labelled classes under a Dirichlet prior that shares MASS occurrences of each token
+between the classes in proportion to their pooled counts. A token keeps that bound of its
+confidence interval that is nearer to zero, if it is surely twice as likely in toxic texts
+or surely a quarter less likely; every other token counts BACKGROUND. One linear scan finds
+all maximal scoring segments of a text. Segment scores become extreme-value
+(Karlin-Altschul) scores lambda*S - ln(K*n): lambda solves E[exp(lambda*score)] = 1 over
+the tokens of clean texts, and K is fitted to the best segments of clean texts whose tokens
+have been shuffled, so it doesn't depend on what clean texts say. Documents aggregate
+their segments into three features, calibrated to a probability by logistic regression.
 
 The model learns from a documented, bounded sample of labelled rows (TRAIN_DOCS whole
-texts, chosen by a hash of the id). The sample is written once and counted and searched by
-the executors: the driver sees the tokens that score, and a few numbers for each document of
-the sample. Every text is scored whole.
+texts, chosen by a hash of the id). Each of FOLDS parts of it is searched with scores
+learnt from the others, and the calibration is fitted to all of these. The sample is
+written once and counted and searched by the executors: the driver sees the tokens that
+score, and a few numbers for each document of the sample. Every text is scored whole.
 
 Defined results: a null or empty text has no segment and gets the calibrated score of
 "no toxic passage"; with no labels to learn from every score is 0; repeated rows score
@@ -22,13 +26,14 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -37,12 +42,13 @@ from .common import id_crc, slices, table
 
 #: Bound of the labelled training sample: the expected number of documents.
 TRAIN_DOCS = 16_000
-PRIOR_WEIGHT = 50.0
-PRIOR_FLOOR = 0.5
-#: A token's score is the lower confidence bound of its log-odds at so many standard errors, if at least MIN_SCORE.
+#: Letters of a word that tell, parts of the cross-fit, and occurrences of the prior.
+STEM, FOLDS, MASS = 6, 4, 2.0
+#: Bounds of log-odds lie so many standard errors off.
 BOUND_Z = 1.645
-MIN_SCORE = 2.0
-MAX_SCORE = 6.0
+#: Tokens that are surely this much likelier or less likely in toxic texts score; limits of scores.
+LIKELIER, LESS_LIKELY = 0.7, 0.3
+MAX_SCORE, MIN_SCORE = 6.0, -2.0
 BACKGROUND = -0.05
 #: A segment is reported if its extreme-value score is at least this.
 SIGNIFICANT = 0.0
@@ -52,7 +58,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def tokens(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    return [w[:STEM] for w in _WORD.findall(text.lower())] if text else []
 
 
 class Model(NamedTuple):
@@ -90,19 +96,25 @@ def maximal_segments(at: list[int], value: list[float], background: float) -> li
     return [(int(a), int(b), right - left) for a, b, left, right, _ in out]
 
 
+def _search(words: list[str], model: Model) -> list[tuple[int, int, float]]:
+    got = list(map(model.scores.get, words))
+    at = [i for i, s in enumerate(got) if s is not None]
+    return maximal_segments(at, [got[i] for i in at], BACKGROUND)
+
+
+def _extreme(words: list[str], model: Model) -> list[tuple[int, int, float]]:
+    shift = model.log_k + math.log(max(1, len(words)))
+    return [(a, b, model.lam * s - shift) for a, b, s in _search(words, model)]
+
+
 def segments(text: str | None, model: Model) -> tuple[list[tuple[int, int, float]], int]:
     """Maximal segments in token positions with extreme-value scores, and the number of tokens."""
     words = tokens(text)
-    got = list(map(model.scores.get, words))
-    at = [i for i, s in enumerate(got) if s is not None]
-    n = max(1, len(words))
-    shift = model.log_k + math.log(n)
-    return [(a, b, model.lam * s - shift) for a, b, s in maximal_segments(at, [got[i] for i in at], BACKGROUND)], len(words)
+    return _extreme(words, model), len(words)
 
 
-def features(text: str | None, model: Model) -> tuple[float, float, float]:
-    """Best extreme-value score, mass of the significant segments, and the density of scoring tokens in them."""
-    found, n = segments(text, model)
+def _features(words: list[str], model: Model) -> tuple[float, float, float]:
+    found, n = _extreme(words, model), len(words)
     if not found:
         return 0.0, 0.0, 0.0
     best = max(s for _, _, s in found)
@@ -110,6 +122,11 @@ def features(text: str | None, model: Model) -> tuple[float, float, float]:
     return math.log1p(max(0.0, best + 5.0)), math.log1p(mass), math.log1p(mass * 100 / max(n, 20))
 
 
+def features(text: str | None, model: Model) -> tuple[float, float, float]:
+    """Best extreme-value score, mass of the significant segments, and the density of scoring tokens in them."""
+    return _features(tokens(text), model)
+
+
 def score(text: str | None, model: Model) -> float:
     if model.weights is None:
         return 0.0
@@ -117,32 +134,24 @@ def score(text: str | None, model: Model) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def log_odds(counts: DataFrame, totals: tuple[int, int]) -> DataFrame:
-    """token, score and clean of the tokens that score: lower bounds of their log-odds, with a Dirichlet prior in proportion to the pooled counts.
-
-    counts: token, toxic and clean, the numbers of texts that hold it, so that one long text
-    weighs no more than another; totals: their sums.
-    """
-    n_t, n_c = map(float, totals)
-    prior = PRIOR_WEIGHT * (F.col("toxic") + F.col("clean")) / (n_t + n_c) + PRIOR_FLOOR
-    t, k = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.log(t / (n_t + PRIOR_WEIGHT - t)) - F.log(k / (n_c + PRIOR_WEIGHT - k))
-    bound = odds - BOUND_Z * F.sqrt(1 / t + 1 / k)
-    return counts.select("token", F.least(F.lit(MAX_SCORE), bound).alias("score"), "clean").where(F.col("score") >= MIN_SCORE)
+def log_odds(t: Column, c: Column, n_t: float, n_c: float) -> Column:
+    """The score of a token with t occurrences in toxic and c in clean texts, of n_t and n_c; null if it has none of its own."""
+    a, b = t + MASS * n_t / (n_t + n_c), c + MASS * n_c / (n_t + n_c)
+    odds = F.log(a / n_t) - F.log(b / n_c)
+    off = BOUND_Z * F.sqrt(1 / a + 1 / b)
+    return F.when(odds - off > LIKELIER, F.least(F.lit(MAX_SCORE), odds - off)).when(odds + off < -LESS_LIKELY, F.greatest(F.lit(MIN_SCORE), odds + off))
 
 
-def karlin(scores: list[float], background: float, positives: float) -> float:
-    """lambda > 0 with E[exp(lambda*score)] = 1; positives: the share of tokens with a score of their own."""
-    if not scores or positives <= 0:
-        return 1.0
-    values = np.array(scores)
+def karlin(scores: list[float], times: list[int], total: float, background: float = BACKGROUND) -> float:
+    """lambda > 0 with E[exp(lambda*score)] = 1 over total clean tokens; scores that occur so many times, all others background."""
+    values, share = np.array(scores), np.array(times, np.float64) / max(total, 1.0)
+    rest = 1 - share.sum()
 
     def f(lam: float) -> float:
-        return (1 - positives) * math.exp(lam * background) + positives * float(np.exp(lam * values).mean()) - 1
+        return rest * math.exp(lam * background) + float((share * np.exp(lam * values)).sum()) - 1
 
-    mean = (1 - positives) * background + positives * float(values.mean())
-    if mean >= 0:  # the search needs a negative mean
-        return 0.1
+    if rest * background + float((share * values).sum()) >= 0 or not (values[share > 0] > 0).any():
+        return 1.0  # what log-odds that need no bounds would have
     low, high = 1e-6, 1.0
     while f(high) < 0 and high < 64:
         high *= 2
@@ -167,64 +176,94 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """token, toxic, clean: in how many texts of each label a token occurs."""
-    toxic, clean = Counter(), Counter()
+    """token, part, toxic, clean: how often a token occurs in the texts of each part and label."""
+    found: dict[int, tuple[Counter, Counter]] = {k: (Counter(), Counter()) for k in range(FOLDS)}
     for s in slices(batches):
-        for y, t in zip(s.column("toxic").to_pylist(), s.column("text").to_pylist(), strict=True):
-            (toxic if y else clean).update(set(t.split()))
-    words = sorted(toxic.keys() | clean.keys())
-    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([clean[w] for w in words], pa.int64())], names=["token", "toxic", "clean"])
+        for y, part, t in zip(s.column("toxic").to_pylist(), s.column("part").to_pylist(), s.column("text").to_pylist(), strict=True):
+            found[part][1 if y else 0].update(t.split())
+    rows = [(w, k, toxic[w], clean[w]) for k, (clean, toxic) in found.items() for w in sorted(toxic.keys() | clean.keys())]
+    cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["token", "part", "toxic", "clean"])
 
 
-def _sought(rows: DataFrame, model: Model) -> np.ndarray:
-    """toxic, best raw score (NaN without a segment) and the features of each row, sorted."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+def _shuffled_best(rows: DataFrame, models: list[Model]) -> list[float]:
+    """ln K of each model: by the best segments of clean texts (toxic, part, text) that it hasn't learnt from or, the last one, of all, shuffled."""
+    sent = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
             got = []
-            for y, t in zip(s.column("toxic").to_pylist(), s.column("text").to_pylist(), strict=True):
-                found, _ = segments(t, sent.value)
-                got.append((float(y), max((v for _, _, v in found), default=math.nan), *features(t, sent.value)))
+            for part, t in zip(s.column("part").to_pylist(), s.column("text").to_pylist(), strict=True):
+                words = t.split()
+                mixed = np.array(words, object)[np.random.default_rng(zlib.crc32(t.encode())).permutation(len(words))].tolist()
+                for k in (part, FOLDS):
+                    if found := _search(mixed, sent.value[k]):
+                        got.append((k, max(v for _, _, v in found) * sent.value[k].lam - math.log(len(mixed))))
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.float64())], names=["model", "best"])
+
+    means = rows.where("toxic = 0").select("part", "text").mapInArrow(run, "model int, best double").groupBy("model").agg(F.sum(F.col("best").cast("decimal(28,12)")).cast("double").alias("s"), F.count(F.lit(1)).alias("n"))
+    # the mean of a standard Gumbel variable is Euler's constant
+    found = {r["model"]: r["s"] / r["n"] - 0.5772 for r in means.collect()}
+    return [found.get(k, found.get(FOLDS, 0.0)) for k in range(FOLDS + 1)]
+
+
+def _sought(rows: DataFrame, models: list[Model]) -> np.ndarray:
+    """toxic and the features of each row, by the model that hasn't learnt from it, sorted."""
+    sent = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in slices(batches):
+            got = [(float(y), *_features(t.split(), sent.value[part])) for y, part, t in zip(*(s.column(c).to_pylist() for c in ("toxic", "part", "text")), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*got, strict=True)], names=_SOUGHT)
 
-    got = rows.select("toxic", "text").mapInArrow(run, ", ".join(f"{n} double" for n in _SOUGHT)).toPandas().to_numpy(np.float64)
+    got = rows.select("toxic", "part", "text").mapInArrow(run, ", ".join(f"{n} double" for n in _SOUGHT)).toPandas().to_numpy(np.float64)
     return got[np.lexsort(got.T[::-1])]
 
 
-_SOUGHT = ["toxic", "best", "x0", "x1", "x2"]
+_SOUGHT = ["toxic", "x0", "x1", "x2"]
 
 
 def train(documents: DataFrame, labels: DataFrame, keep=None) -> Model:
-    """Fit on a bounded sample of the labelled rows; three of five rows give the token scores, the rest the calibration."""
+    """Fit on a bounded sample of the labelled rows; equal texts are learnt from once, and are in one part."""
     named = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     named = named if keep is None else named.where(keep)
     share = min(1.0, TRAIN_DOCS / max(1, named.count()))
     if share < 1:
         named = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003)))
     named = named.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).hint("broadcast")  # at most about TRAIN_DOCS rows
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(5))
+    part = F.pmod(F.xxhash64("text"), F.lit(FOLDS))
     rows = documents.select("doc_id", "text").join(named, "doc_id").select("toxic", part.alias("part"), "text").mapInArrow(_words, "toxic int, part int, text string")
     sample = Written(rows, "labelled")
-    head, tail = sample.df.where("part < 3"), sample.df.where("part >= 3")
-    once = head.groupBy("toxic", F.xxhash64("text")).agg(F.first("text").alias("text"))  # copies count once
-    counts = Written(once.select("toxic", "text").mapInArrow(_counted, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "tokens")
-    n_t, n_c = (int(x or 0) for x in counts.df.agg(F.sum("toxic"), F.sum("clean")).first())
-    table_ = {r["token"]: (r["score"], r["clean"]) for r in log_odds(counts.df, (n_t, n_c)).collect()} if n_t and n_c else {}
-    scores = {w: s for w, (s, _) in sorted(table_.items())}
-    hits = [s for _, (s, c) in sorted(table_.items()) for _ in range(c)]
-    raw = Model(scores, karlin(hits, BACKGROUND, len(hits) / max(1, n_c)), 0.0, None)
-    best = _sought(head.where("toxic = 0"), raw)[:, 1]
-    best = best[~np.isnan(best)]
-    # E[max of a standard Gumbel variable] is Euler's constant; best is lambda*S - ln(n)
-    model = raw._replace(log_k=float(best.mean()) - 0.5772 if len(best) else 0.0)
-    got = _sought(tail, model)
-    got = got if len(got) else _sought(head, model)
-    sample.drop()
-    counts.drop()
-    if not len(got) or got[:, 0].min() == got[:, 0].max():
-        return model
-    return model._replace(weights=logistic(got[:, 2:], got[:, 0]))
+    once = Written(sample.df.groupBy("toxic", "part", F.xxhash64("text")).agg(F.first("text").alias("text")).select("toxic", "part", "text"), "labelled-once")
+    each = once.df.mapInArrow(_counted, "token string, part int, toxic long, clean long")
+    of = lambda c, k: F.sum(F.when(F.col("part") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
+    counts = Written(each.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), *(of(c, k) for k in range(FOLDS) for c in ("toxic", "clean"))), "tokens")
+    sums = counts.df.agg(*(F.sum(c).alias(c) for c in counts.df.columns[1:])).first()
+
+    def learnt(c: str, k: int):
+        """What a model has learnt from: all but its own part, and all of it for the last one."""
+        return lambda x: x[c] if k == FOLDS else x[c] - x[f"{c}{k}"]
+
+    totals = [(float(learnt("toxic", k)(sums) or 0), float(learnt("clean", k)(sums) or 0)) for k in range(FOLDS + 1)] if sums["toxic"] is not None else []
+    if not totals or not all(totals[-1]):
+        sample.drop()
+        once.drop()
+        counts.drop()
+        return Model({}, 1.0, 0.0, None)
+    col = {c: F.col(c) for c in counts.df.columns}
+    scored = counts.df.select("token", *(learnt("clean", k)(col).alias(f"c{k}") for k in range(FOLDS + 1)), *(log_odds(learnt("toxic", k)(col), learnt("clean", k)(col), *totals[k]).alias(f"s{k}") if all(totals[k]) else F.lit(None).cast("double").alias(f"s{k}") for k in range(FOLDS + 1)))
+    table_ = sorted(scored.where(F.coalesce(*(f"s{k}" for k in range(FOLDS + 1))).isNotNull()).collect())
+    models = []
+    for k in range(FOLDS + 1):
+        own = [(r["token"], r[f"s{k}"], r[f"c{k}"]) for r in table_ if r[f"s{k}"] is not None]
+        models.append(Model({w: x for w, x, _ in own}, karlin([x for _, x, _ in own], [n for *_, n in own], totals[k][1]), 0.0, None))
+    models = [m._replace(log_k=x) for m, x in zip(models, _shuffled_best(once.df, models), strict=True)]
+    got = _sought(sample.df, models)
+    for t in (sample, once, counts):
+        t.drop()
+    if got[:, 0].min() == got[:, 0].max():
+        return models[-1]
+    return models[-1]._replace(weights=logistic(got[:, 1:], got[:, 0]))
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
