@@ -2,9 +2,9 @@
 
 A signature is an anchor (a common word) with the CHAIN content words that follow it;
 a document's fingerprint is the digest of its set of signatures, and two documents are
-compared by the Jaccard similarity of their sets. A likeness under LEAST is reported as 0,
-and never worked out: sets are partitioned by length, so that two whose lengths differ too
-much are not compared at all, and a running bound stops hopeless comparisons.
+compared by the Jaccard similarity of their sets. Likenesses are exact. Where only those of
+a least likeness are wanted, sets whose lengths differ too much are not compared at all, and
+a running bound stops hopeless comparisons.
 
 Documents are dealt to buckets, ranges of ids of about BUCKET_BYTES of text, one to a
 partition; each bucket gets a copy of the row that follows its last. The driver holds the
@@ -37,8 +37,6 @@ from pyspark.sql.types import DoubleType, LongType, NumericType, StringType, Str
 from .common import slices, table
 
 CHAIN = 2
-#: The least likeness that is told from none.
-LEAST = 0.1
 #: Text of one bucket, about, and keys sampled for each to find its bounds.
 BUCKET_BYTES, SAMPLED = 32 << 20, 50
 
@@ -78,7 +76,7 @@ def digest(sigs: frozenset[str]) -> str:
     return hashlib.md5("\n".join(sorted(sigs)).encode("utf-8", "replace")).hexdigest()
 
 
-def similarity(a: frozenset[str], b: frozenset[str], at_least: float = LEAST) -> float:
+def similarity(a: frozenset[str], b: frozenset[str], at_least: float = 0.0) -> float:
     """Jaccard similarity; 0 as soon as it is sure to be under at_least."""
     if a is b or not a and not b:
         return 1.0
@@ -225,5 +223,5 @@ three AS (SELECT *, coalesce(lead(a) OVER (ORDER BY doc_id DESC), first(a) OVER
 shared AS (SELECT *, len(list_intersect(a, b)) AS ab, len(list_intersect(a, n)) AS an FROM three),
 likely AS (SELECT *, CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE ab / (len(a) + len(b) - ab) END AS je, CASE WHEN len(a) + len(n) = 0 THEN 1.0 ELSE an / (len(a) + len(n) - an) END AS jn FROM shared)
 SELECT doc_id, length(t) AS n_chars, sha256(e) AS edited_sha256, md5(array_to_string(a, chr(10))) AS fingerprint, md5(array_to_string(b, chr(10))) AS edited_fingerprint,
-  CASE WHEN je >= {LEAST} THEN je ELSE 0 END AS near_edited, CASE WHEN jn >= {LEAST} THEN jn ELSE 0 END AS near_next FROM likely
+  je AS near_edited, jn AS near_next FROM likely
 """
