@@ -30,6 +30,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, deque
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -51,7 +52,7 @@ MOST, SMOOTH = 2.0, 1.5
 # HTML elements by their part in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NO_TEXT = frozenset("head title script style noscript template svg math object iframe canvas audio video select textarea button datalist option map form".split())
+NO_TEXT = frozenset("head title script style noscript template svg math object iframe canvas audio video select textarea button datalist option map".split())
 BOILERPLATE = frozenset("nav footer aside menu dialog".split())
 CONTENT = frozenset("article main".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -75,6 +76,25 @@ _ATTR = re.compile(r"\b(class|id|role|aria-label|hidden|style)\s*=\s*(?:\"([^\"]
 _END = re.compile(r"[.!?:;…]$")
 
 
+#: What shows that a form wraps the page's text, rather than being one to fill in: an article in it, or so many paragraphs.
+_ARTICLE, _PARAGRAPH, _FORM_END, PARAGRAPHS = re.compile(r"<(?:article|main)\b|\brole\s*=\s*[\"']?(?:main|article)\b", re.I), re.compile(r"<p[\s>]", re.I), re.compile(r"</form\b|\Z", re.I), 3
+
+
+class _Forms:
+    """Whether a form that opens at a place of the page wraps its text. Places are found once, so any number of forms takes time in proportion to the page."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.places = page, None
+
+    def wraps(self, at: int) -> bool:
+        if self.places is None:
+            self.places = [[m.start() for m in p.finditer(self.page)] for p in (_ARTICLE, _PARAGRAPH, _FORM_END)]
+        articles, paragraphs, ends = self.places
+        end = ends[bisect_right(ends, at)] if ends[-1] > at else len(self.page)
+        within = lambda found: bisect_right(found, end) - bisect_right(found, at)
+        return within(articles) > 0 or within(paragraphs) >= PARAGRAPHS
+
+
 class Marks(NamedTuple):
     """What the open elements say of the blocks in them, as 0 or 1."""
 
@@ -143,6 +163,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked, keys = 0, 0
     last, low = 0, 0  # depth of the last block, and the least since
+    forms = _Forms(page)
 
     def close(i: int) -> None:
         nonlocal low
@@ -177,7 +198,8 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             parts.append(" ")
             continue
-        inline = tag in INLINE
+        control = tag in ("label", "legend") and open_["form"] > 0
+        inline = tag in INLINE and not control
         if not inline:
             flush()
         if m[2]:
@@ -203,7 +225,9 @@ def blocks(page: str) -> list[Block]:
             continue
         keys += 1
         top = stack[-1]
-        marks = None if top.gone or tag in NO_TEXT else _marked(tag, m[4], top.marks)
+        # a form to fill in goes with all it holds; of one around the page's text its controls go alone
+        gone = tag in NO_TEXT or tag == "form" and not forms.wraps(m.start()) or control
+        marks = None if top.gone or gone else _marked(tag, m[4], top.marks)
         place = (top.block, top.parent, top.name, top.depth) if inline else (keys, top.block, tag, top.depth + 1)
         stack.append(_Node(tag, *place, marks or Marks(), tag == "a" or top.link, marks is None))
         open_[tag] += 1
