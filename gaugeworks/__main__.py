@@ -9,11 +9,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.hashing import from_hex16
 from .operators import detect, matching, policy, rollup, splits
 from .plans import inspect
+from .schemas import SPLITS
 from .session import local_session
-from .sources import config, images, log, sinks, web
+from .sources import config, files, images, log, sinks, web
 from .storage import Written, scope
 
 
@@ -32,6 +32,11 @@ def _parser() -> argparse.ArgumentParser:
     clean.add_argument("--near-bits", type=int, default=6)
     split = command("split", "deal the pictures of FOLDER into splits that share no near-duplicates; write MANIFEST", "folder", "manifest")
     split.add_argument("--seed", type=int, default=42)
+    for name, share in zip(SPLITS, splits.RATIOS, strict=True):
+        split.add_argument(f"--{name}", type=float, default=share)
+    split.add_argument("--near-bits", type=int, default=6)
+    split.add_argument("--annotated", help="folder of label files; pictures without one are left out")
+    split.add_argument("--target", help="folder that gets SPLIT/images and SPLIT/labels; needs --annotated")
     command("sweep", "precision and recall of PREDICTIONS (JSON) by threshold", "predictions", "output")
     for p in (command("dashboard", "hourly totals of the log", "output"), command("recent", "the newest inspections")):
         p.add_argument("--log", help="folder of the inspection log")
@@ -61,15 +66,26 @@ def _clean(spark: SparkSession, a: argparse.Namespace) -> int:
     root = spark._jvm.org.apache.hadoop.fs.Path(a.raw).toUri().getPath().rstrip("/")
     records = judged.withColumn("relative_path", F.regexp_replace("path", f"^.*?{root}/", ""))
     sinks.csv_report(records, a.report, ["relative_path", "filename", "sha256", "dhash", "width", "height", "status", "match_name"], ["ord"], "overwrite")
-    print(f"kept {sinks.copied_files(spark, records, a.raw, a.target)}")
+    kept = records.where("status = 'ok'").select("relative_path")
+    print(f"kept {files.dealt(files.under(spark, a.raw).join(kept, 'relative_path', 'left_semi'), a.target)}")
     return 0
 
 
 def _split(spark: SparkSession, a: argparse.Namespace) -> int:
-    judged = inspect.assessed(images.scan(spark, a.folder, images.SPLIT_SUFFIXES, recursive=True)).where("status = 'ok'")
-    files = judged.select(F.col("path").alias("id"), "filename", "sha256", from_hex16(F.col("dhash")).alias("dhash"))
-    dealt = splits.cluster_split(splits.near_clusters(files), seed=a.seed).join(files.select("id", "filename", "sha256"), "id")
-    sinks.csv_report(dealt, a.manifest, ["filename", "split", "cluster", "sha256"], ["filename"], "overwrite")
+    ratios = (a.train, a.val, a.test)
+    splits.checked_ratios(ratios)
+    judged = inspect.assessed(images.scan(spark, a.folder, images.SPLIT_SUFFIXES, recursive=True))
+    columns = ["filename", "split", "cluster_id", "sha256"]
+    if a.annotated:
+        items = Written(files.labelled(spark, a.folder, a.annotated, judged), "labelled").df
+        if a.target:
+            dealt = files.split_folders(spark, items, a.folder, a.annotated, a.target, a.seed, ratios, a.near_bits)
+            sinks.csv_report(dealt, a.manifest, [*columns, "class_name", "n_boxes"], ["split", "filename"], "overwrite")
+            return 0
+        judged = items.withColumns({"hash": F.col("dhash"), "status": F.lit("ok")})
+    sound = Written(judged.where("status = 'ok'").select(F.col("path").alias("id"), "filename", "sha256", F.col("hash").alias("dhash")), "sound").df
+    dealt = splits.cluster_split(splits.near_clusters(sound, distance=a.near_bits), seed=a.seed, ratios=ratios).join(sound.drop("dhash"), "id").withColumnRenamed("cluster", "cluster_id")
+    sinks.csv_report(dealt, a.manifest, columns, ["split", "filename"], "overwrite")
     return 0
 
 

@@ -166,11 +166,11 @@ def split_counts(spark, sf_dir):
     return validation.split_counts(table(spark, sf_dir, "documents").select(names.alias("split")))
 
 
-@query(f"""WITH c AS (SELECT DISTINCT l_orderkey, l_partkey % 7 AS c FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT i::INT AS class_id, {_name('i')} AS class_name, (SELECT count(*) FROM c WHERE c.c = i) AS n_annotations FROM range(7) r(i))
+@query(f"""WITH c AS (SELECT DISTINCT l_orderkey, l_partkey % 7 AS c FROM lineitem), n AS (SELECT i::INT AS class_id, {_name('i')} AS class_name, (SELECT count(*) FROM c WHERE c.c = i) AS n_annotations FROM range(7) r(i))
 SELECT *, n_annotations = min(n_annotations) OVER () AS is_least FROM n""")
 def class_minimum(spark, sf_dir):
     """Images of each class in a multi-label table, and the least of them."""
-    c = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.collect_set(F.pmod("l_partkey", F.lit(7)).cast("int")).alias("class_ids"))
+    c = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.pmod("l_partkey", F.lit(7)).cast("int")).alias("class_ids"))
     return validation.class_minimum(c)
 
 
@@ -255,14 +255,13 @@ def render_set_rules(spark, sf_dir):
     return validation.render_set_violations(manifest, labels, files, "v2", min_rows=20_000, min_per_class=700)
 
 
-@query(f"""{_VALIDATION_PARTS}, v AS ({_VALIDATION.removeprefix(_VALIDATION_PARTS)}), n AS (SELECT {_name('i')} AS name, (SELECT count(*) FROM boxes WHERE class_id = i AND l_returnflag = 'R' AND i <> 6) AS n FROM range(7) r(i))
+@query(f"""{_VALIDATION_PARTS}, v AS ({_VALIDATION.removeprefix(_VALIDATION_PARTS)}), n AS (SELECT {_name('i')} AS name, (SELECT count(*) FROM boxes WHERE class_id = i) AS n FROM range(7) r(i))
 SELECT (SELECT count(*) FROM images WHERE split = 'train') AS train_count, (SELECT count(*) FROM images WHERE split = 'val') AS val_count, (SELECT count(*) FROM images WHERE split = 'test') AS test_count, (SELECT count(*) FROM v) AS n_errors,
-  (SELECT count(*) FROM v WHERE rule = 'image_quality') AS n_quality, (SELECT string_agg('no annotations for class ' || name, ';' ORDER BY name) FROM n WHERE n = 0) AS warnings, (SELECT string_agg(name || '=' || n, ',' ORDER BY name) FROM n) AS annotations, 6 AS near_duplicate_bits""")
+  (SELECT count(*) FROM v WHERE rule = 'image_quality') AS n_quality, (SELECT coalesce(string_agg('no annotations for class ' || name, ';' ORDER BY name), '') FROM n WHERE n = 0) AS warnings, (SELECT string_agg(name || '=' || n, ',' ORDER BY name) FROM n) AS annotations, 6 AS near_duplicate_bits""")
 def validation_report(spark, sf_dir):
     """The whole report in one row: counts, errors, warnings."""
     images, files, labels = validation_tables(spark, sf_dir)
-    rows = lenses.label_boxes(spark, sf_dir).where("class_id <> 6").join(table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(*_BOX_KEYS).distinct(), _BOX_KEYS, "left_semi")
-    out = validation.report(validation.validate(images, files, labels), images, rows)
+    out = validation.report(validation.validate(images, files, labels), images, lenses.label_boxes(spark, sf_dir))
     cells = F.array_join(F.transform(F.array_sort(F.map_keys("annotations_per_class")), lambda k: F.concat(k, F.lit("="), F.element_at("annotations_per_class", k).cast("string"))), ",")
     quality = F.size(F.filter("errors", lambda e: e.rlike(": (corrupt|too_small)$"))).cast("bigint")
     return out.select("train_count", "val_count", "test_count", F.size("errors").cast("bigint").alias("n_errors"), quality.alias("n_quality"), F.array_join("warnings", ";").alias("warnings"), cells.alias("annotations"), "near_duplicate_bits")

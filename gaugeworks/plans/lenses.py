@@ -39,9 +39,8 @@ def event_inspections(spark: SparkSession, sf_dir: str, events: DataFrame | None
 
 
 def event_detections(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    """Errors and clicks of uneven users as detections; those of a stream have the time at which they came."""
-    rows = table(spark, sf_dir, "events") if events is None else events
-    return rows.where("event_type in ('error', 'click') and user_id % 2 = 1").select(
+    """Events as detections, too; those of a stream have the time at which they came."""
+    return (table(spark, sf_dir, "events") if events is None else events).select(
         F.col("event_id").alias("inspection_id"), *([] if events is None else [F.col("ts").alias("timestamp")]), class_name(F.pmod("user_id", F.lit(7)), CLASS_NAMES).alias("class_name"), (F.col("value") / 500).alias("confidence")
     )
 

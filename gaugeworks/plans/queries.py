@@ -42,7 +42,7 @@ def _name(expr: str, names: str = _NAMES) -> str:
 _INSPECTIONS = "inspections AS (SELECT o_orderkey AS inspection_id, o_orderdate AS timestamp, CASE WHEN o_orderstatus = 'F' THEN 'FAIL' ELSE 'PASS' END AS overall_result, o_totalprice / 1000 AS inference_ms FROM orders)"
 _DETECTIONS = f"detections AS (SELECT l_orderkey AS inspection_id, {_name('l_partkey % 7')} AS class_name, l_discount * 10 AS confidence FROM lineitem)"
 _EVENT_INSPECTIONS = "inspections AS (SELECT event_id AS inspection_id, ts AS timestamp, CASE WHEN event_type = 'error' THEN 'FAIL' ELSE 'PASS' END AS overall_result, value AS inference_ms FROM events)"
-_EVENT_DETECTIONS = f"detections AS (SELECT event_id AS inspection_id, {_name('user_id % 7')} AS class_name, value / 500 AS confidence FROM events WHERE event_type IN ('error', 'click') AND user_id % 2 = 1)"
+_EVENT_DETECTIONS = f"detections AS (SELECT event_id AS inspection_id, {_name('user_id % 7')} AS class_name, value / 500 AS confidence FROM events)"
 _LIMIT = "CASE class_name " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in policy.THRESHOLDS.items()) + f" ELSE {policy.DEFAULT_THRESHOLD} END"
 _BOXES = "boxes AS (SELECT *, (l_partkey % 9 - 1)::INT AS class_id, (l_suppkey % 80) / 64 AS cx, (l_partkey % 80) / 64 AS cy, (l_quantity::INT % 16) / 32 AS w, (l_linenumber % 8) / 16 AS h FROM lineitem)"
 _WORDS = "words AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS w FROM documents)"
@@ -223,10 +223,9 @@ def split_eligible(spark, sf_dir):
     return validation.paired(table(spark, sf_dir, "documents").select("doc_id", "source"), good, ["doc_id"])
 
 
-@query(f"WITH {_BOXES} SELECT i::INT AS class_id, {_name('i')} AS class_name, (SELECT count(*) FROM boxes WHERE class_id = i AND l_returnflag = 'R') AS n_annotations FROM range(7) r(i)")
+@query(f"WITH {_BOXES} SELECT i::INT AS class_id, {_name('i')} AS class_name, (SELECT count(*) FROM boxes WHERE class_id = i) AS n_annotations FROM range(7) r(i)")
 def class_counts_zero_filled(spark, sf_dir):
-    flagged = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select((F.pmod("l_partkey", F.lit(9)) - 1).cast("int").alias("class_id"))
-    return validation.class_counts(flagged)
+    return validation.class_counts(lenses.label_boxes(spark, sf_dir).select("class_id"))
 
 
 @query(f"SELECT i::INT AS class_id, {_name('i')} AS class_name FROM range(7) r(i) WHERE i NOT IN (SELECT s_suppkey % 5 FROM supplier)")

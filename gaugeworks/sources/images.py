@@ -38,7 +38,7 @@ def scan(spark: SparkSession, root: str, suffixes: list[str] = SUFFIXES, recursi
         files = spark.createDataFrame([], schema)
     else:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).select(*wanted)
-        if empty := _empty_files(spark, root, recursive):
+        if empty := empty_files(spark, root, recursive):
             files = files.union(spark.createDataFrame([(p, 0, b"")[: len(wanted)] for p in empty], schema))
     path = F.col("path")
     named = files.withColumns({"filename": F.substring_index(path, "/", -1), "stem": path_stem(path), "suffix": path_suffix(path), "parent": path_parent(path)})
@@ -66,7 +66,7 @@ def split_count(spark: SparkSession, path: str) -> int:
     return scan(spark, path, SPLIT_SUFFIXES, content=False).count()
 
 
-def _empty_files(spark: SparkSession, root: str, recursive: bool = False) -> list[str]:
+def empty_files(spark: SparkSession, root: str, recursive: bool = False) -> list[str]:
     """Paths of files without bytes, from the listing; Spark's own scan leaves these out."""
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -90,7 +90,7 @@ def targets(spark: SparkSession, explicit: list[str], folder: str | None = None,
 def label_files(spark: SparkSession, root: str, split: str = "") -> DataFrame:
     """split, stem and whole text of each label file, empty ones included."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(root).select("path", F.decode("content", "UTF-8").alias("text"))
-    empty = spark.createDataFrame([(p, "") for p in _empty_files(spark, root) if p.endswith(".txt")], "path string, text string")
+    empty = spark.createDataFrame([(p, "") for p in empty_files(spark, root) if p.endswith(".txt")], "path string, text string")
     return files.union(empty).select(F.lit(split).alias("split"), path_stem(F.col("path")).alias("stem"), "text")
 
 

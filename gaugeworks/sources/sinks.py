@@ -110,23 +110,6 @@ def guarded(spark: SparkSession, path: str, overwrite: bool = False) -> None:
         raise FileExistsError(f"{path} is there already")
 
 
-def copied_files(spark: SparkSession, kept: DataFrame, root: str, target: str) -> int:
-    """Copy the kept files of root (relative_path, status ok) under the same paths in target, which is wiped first; how many there were.
-
-    The driver asks the store to copy one file after the other; paths are streamed to it.
-    """
-    at, fs = _filesystem(spark, target)
-    fs.delete(at, True)
-    n = 0
-    conf, util = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.FileUtil
-    for r in kept.where("status = 'ok'").select("relative_path").toLocalIterator():
-        (a, own), (b, other) = _filesystem(spark, f"{root}/{r['relative_path']}"), _filesystem(spark, f"{target}/{r['relative_path']}")
-        other.mkdirs(b.getParent())
-        util.copy(own, a, other, b, False, conf)
-        n += 1
-    return n
-
-
 def text_file(spark: SparkSession, path: str, text: str) -> None:
     """A small file of its own name, in whatever store the path names."""
     at, fs = _filesystem(spark, path)

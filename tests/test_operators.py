@@ -263,3 +263,11 @@ def test_mask_bounds(spark):
     df = spark.range(200, 220).selectExpr("id as x").crossJoin(spark.range(100, 110).selectExpr("id as y"))
     got = df.agg(*geometry.mask_bounds()).select(geometry.bounds_to_box(960, 640).alias("b")).first()["b"]
     assert (round(got["cx"] * 960, 6), round(got["cy"] * 640, 6), round(got["w"] * 960, 6), round(got["h"] * 640, 6)) == (210.0, 105.0, 20.0, 10.0)
+
+
+def test_classes_without_annotations_are_counted_and_told(spark):
+    rows = spark.createDataFrame([(0,), (0,), (9,), (-1,)], "class_id int")
+    got = {r["class_id"]: r["n_annotations"] for r in validation.class_counts(rows).collect()}
+    assert got == {0: 2, **dict.fromkeys(range(1, 7), 0)}
+    least = validation.class_minimum(spark.createDataFrame([([0, 1],), ([0],)], "class_ids array<int>"))
+    assert {r["class_id"]: (r["n_annotations"], r["is_least"]) for r in least.collect()} == {0: (2, False), 1: (1, False), **dict.fromkeys(range(2, 7), (0, True))}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import raster
 from gaugeworks.operators import matching, rollup, splits
 from gaugeworks.plans import inspect
-from gaugeworks.sources import config, images, sinks
+from gaugeworks.sources import config, files, images, sinks
 from gaugeworks.streaming import hourly
 
 
@@ -126,7 +126,8 @@ def test_kept_files_are_copied(spark, tmp_path):
     with pytest.raises(FileExistsError):
         sinks.guarded(spark, str(tmp_path / "out"))
     sinks.guarded(spark, str(tmp_path / "new"))
-    assert sinks.copied_files(spark, rows, str(tmp_path / "raw"), str(tmp_path / "out")) == 2
+    kept = files.under(spark, str(tmp_path / "raw")).join(rows.where("status = 'ok'"), "relative_path", "left_semi")
+    assert files.dealt(kept, str(tmp_path / "out")) == 2
     assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.png")) == ["a.png", "k/b.png"]
 
 
