@@ -342,7 +342,8 @@ def near_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5) -
 def deduplicated(documents: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest id, of equal ids that of the smallest text hash, of equal rows any.
 
-    Groups are made of rows, so rows that share an id but not their text are judged apart;
+    Rows are near by the deletion variants of their fingerprints (links()), or by the
+    similarity of their sets of shingles; groups are connected by both. They are made of rows, so rows that share an id but not their text are judged apart;
     rows without an id all stay. All columns pass, whatever their names.
     """
     at, named = free_name(documents, "hash"), documents.where("doc_id is not null")
@@ -350,6 +351,13 @@ def deduplicated(documents: DataFrame, similarity: float = 0.8, width: int = 5)
     # one small row a node and then a group; a node with very many rows is summed up where it is read
     first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
     best = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    best = written(best, "near-first")
+    # the fingerprints' groups, too, are named by their first row, so both kinds of name are rows that components() connects
+    marked_rows = named.select(F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("doc_id"), "text")
+    alike = grouped(written(fingerprints(marked_rows), "fingerprints")).select("doc_id.doc_id", "doc_id.hash", F.col("component_id").alias("b")).distinct()
+    of_row = rows.join(roots, "node", "left").select("doc_id", "hash", F.coalesce("root", "node").alias("root")).join(best, "root").select("doc_id", "hash", F.col("first").alias("a")).distinct()
+    merged = components(of_row.join(alike, ["doc_id", "hash"]).select("a", "b"))
+    best = best.join(merged, best["first"] == merged["node"], "left").select(F.coalesce(merged["root"], "first").alias("first"))
     keep = written(best.select(F.col("first.doc_id").alias("doc_id"), F.col("first.hash").alias(at)).distinct(), "near-kept")
     marked = named.withColumn(at, F.xxhash64("text"))
     kept = marked.join(keep, ["doc_id", at], "left_semi")
