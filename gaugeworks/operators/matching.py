@@ -144,8 +144,12 @@ def level_hits(gt: Column, pred: Column, levels: list[float] = LEVELS) -> Column
     state of the fold is what is taken at each.
     """
 
-    def options(p: Column) -> Column:
-        scored = F.transform(gt, lambda g, i: F.struct(F.when(g["class"] == p["class"], array_iou(g["bbox"], p["bbox"])).alias("iou"), (-i).alias("at")))
+    truths = F.filter(F.transform(gt, lambda g, i: F.struct(g["class"].alias("class"), g["bbox"].alias("bbox"), (-i).alias("at"))), lambda g: g["class"].isNotNull())
+    named = F.array_distinct(F.transform(truths, lambda g: g["class"]))
+    by_class = F.map_from_entries(F.transform(named, lambda c: F.struct(c, F.filter(truths, lambda g: g["class"] == c))))
+
+    def options(p: Column, of: Column) -> Column:
+        scored = F.transform(F.try_element_at(of, p["class"]), lambda g: F.struct(array_iou(g["bbox"], p["bbox"]).alias("iou"), g["at"].alias("at")))
         return F.struct(p["class"].alias("class"), p["confidence"].alias("confidence"), F.filter(scored, lambda o: o["iou"] >= min(levels)).alias("options"))
 
     limits, bits = F.array(*map(F.lit, levels)), F.array(*(F.lit(1 << k) for k in range(len(levels))))
@@ -164,7 +168,9 @@ def level_hits(gt: Column, pred: Column, levels: list[float] = LEVELS) -> Column
         F.array_repeat(F.array().cast("array<int>"), len(levels)).alias("taken"),
         F.array().cast("array<struct<class:string,confidence:double,hits:int>>").alias("out"),
     )
-    return F.aggregate(F.transform(by_confidence(pred), options), start, take)["out"]
+    # a prediction looks at the truths of its class only, which are put together once
+    optional = F.get(F.transform(F.array(by_class), lambda of: F.transform(by_confidence(pred), lambda p: options(p, of))), F.lit(0))
+    return F.aggregate(optional, start, take)["out"]
 
 
 def detection_metrics(images: DataFrame, levels: list[float] = LEVELS) -> DataFrame:
