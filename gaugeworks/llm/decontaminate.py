@@ -3,9 +3,8 @@
 1. Terms are the words of the benchmark items: no other word adds to a cosine with an
    item. Their document frequencies are counted over all documents.
 2. A randomised SVD of TF-IDF passages gives the latent space, one for all items: two passes
-   over a bounded, documented sample (SAMPLE_DOCS documents, chosen by a hash of the id, and
-   all items), dealt to SAMPLE_TASKS tasks; the driver sees terms x (RANK + OVERSAMPLE) numbers
-   of each.
+   over all documents and all items. The sums of the tasks are added up by the executors, in
+   PIECES of the terms; the driver sees terms x (RANK + OVERSAMPLE) numbers in all.
 3. Every window of WINDOW words of every document is projected into that space, its axes
    scaled to equal variance, and compared by cosine, in blocks, with every item and, of an
    item that is longer, with its own passages of WINDOW words. Items of less than half a
@@ -42,8 +41,10 @@ from .common import slices, table
 
 RANK, OVERSAMPLE = 128, 16
 WINDOW, STEP = 32, 16
-#: Bound of the sample that the latent space is fitted to: the expected number of documents, and tasks.
-SAMPLE_DOCS, SAMPLE_TASKS = 8_000, 16
+#: There is no bound: the space is fitted to all documents whatever stands here (an older test sets it).
+SAMPLE_DOCS = None
+#: Pieces of a matrix by its rows that are added up apart.
+PIECES = 16
 #: Bytes of benchmark texts that are handled and broadcast together, and queries compared with at once.
 BLOCK_BYTES, TILE = 16 << 20, 4096
 #: Least cosine of a candidate with queries of LONG words or more and with shorter ones, and least share of the query's own length that a window must reach; measured recall is in the tests.
@@ -172,12 +173,28 @@ def _passages(texts: list[str | None], vocabulary: dict[bytes, int], w: np.ndarr
     return ids[at], (value / np.sqrt(np.bincount(row, value * value))[row]).astype(np.float32), row
 
 
-def latent_space(documents: DataFrame, items: list[str], vocabulary: dict[bytes, int], w: np.ndarray, n: int, seed: int = 7) -> np.ndarray:
-    """Terms x RANK: weight times the right singular vectors of the sampled TF-IDF passages over their singular values."""
+def _added(parts: DataFrame, rows: int, columns: int) -> np.ndarray:
+    """The sum of the tasks' matrices, each in rows (piece, values) of some of its rows."""
+
+    def run(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py()) for x in t.column("m"))
+        return pa.table({"piece": t.column("piece").slice(0, 1), "m": pa.array([total.tobytes()], pa.binary())})
+
+    out = [np.zeros((len(r), columns)) for r in np.array_split(np.arange(rows), PIECES)]
+    for r in parts.groupBy("piece").applyInArrow(run, "piece int, m binary").collect():  # terms x width numbers in all
+        out[r["piece"]] = np.frombuffer(bytes(r["m"])).reshape(-1, columns)
+    return np.concatenate(out)
+
+
+def _pieces(m: np.ndarray) -> pa.RecordBatch:
+    parts = [(k, p.astype(np.float64).tobytes()) for k, p in enumerate(np.array_split(m, PIECES)) if p.any()]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["piece", "m"])
+
+
+def latent_space(documents: DataFrame, items: list[str], vocabulary: dict[bytes, int], w: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Terms x RANK: weight times the right singular vectors of all TF-IDF passages over their singular values."""
     spark = documents.sparkSession
-    share = min(1.0, SAMPLE_DOCS / max(1, n))
-    rows = documents if share >= 1 else documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003)))
-    sample = rows.select("text").union(spark.createDataFrame([(t,) for t in items], "text string")).repartition(SAMPLE_TASKS)  # all cores read; what stays is bounded
+    texts = documents.select("text").union(spark.createDataFrame([(t,) for t in items], "text string").coalesce(1))
     width = min(RANK + OVERSAMPLE, len(w))
     omega = np.random.default_rng(seed).standard_normal((len(w), width)).astype(np.float32)
     sent = spark.sparkContext.broadcast((vocabulary, w, omega))
@@ -196,11 +213,9 @@ def latent_space(documents: DataFrame, items: list[str], vocabulary: dict[bytes,
                 order = np.argsort(term, kind="stable")
                 cuts = np.nonzero(np.diff(term[order], prepend=-1))[0]
                 z[term[order][cuts]] += _summed(y[row[order]] * value[order, None], cuts)
-        yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary())], names=["z"])
+        yield _pieces(z)
 
-    z = np.zeros(omega.shape)
-    for r in sample.mapInArrow(first, "z binary").toLocalIterator():  # one matrix of a fixed size from each of SAMPLE_TASKS tasks
-        z += np.frombuffer(bytes(r["z"]), np.float32).reshape(omega.shape)
+    z = _added(texts.mapInArrow(first, "piece int, m binary"), *omega.shape)
     q = np.linalg.qr(z)[0].astype(np.float32)
     basis = spark.sparkContext.broadcast(q)
 
@@ -212,9 +227,9 @@ def latent_space(documents: DataFrame, items: list[str], vocabulary: dict[bytes,
             if got:
                 t = times(basis.value, *got)
                 gram += t.T @ t
-        yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary())], names=["gram"])
+        yield _pieces(gram)
 
-    gram = sum((np.frombuffer(bytes(r["gram"])).reshape(q.shape[1], -1) for r in sample.mapInArrow(second, "gram binary").collect()), np.zeros((q.shape[1],) * 2))
+    gram = _added(texts.mapInArrow(second, "piece int, m binary"), q.shape[1], q.shape[1])
     value, vector = np.linalg.eigh(gram)
     top = np.argsort(-value)[:RANK]
     scale = 1 / np.sqrt(np.maximum(value[top], value.max() * 1e-6))
@@ -418,7 +433,7 @@ def prepared(documents: DataFrame, block: list[tuple[object, str]]) -> Prepared:
     w = weights(df, n)
     if not w.any():  # too few documents to tell common terms from rare ones
         w = np.ones(len(vocabulary), np.float32)
-    space = latent_space(documents, texts, vocabulary, w, n)
+    space = latent_space(documents, texts, vocabulary, w)
     items = [x for i, t in block if (x := as_item(i, t, vocabulary, w)) is not None]
     return Prepared(vocabulary, space, items, queries(items, space), first_words(items))
 
