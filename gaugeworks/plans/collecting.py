@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.known import KnownFiles
 from ..session import table
-from ..storage import checkpoint_dir, remove, written
+from ..storage import checkpoint_dir, remove
 from ..streaming import hourly
 from . import lenses
 from .queries import _EVENT_DETECTIONS, _EVENT_INSPECTIONS, ORACLES, query
@@ -26,7 +26,7 @@ def dedup_in_batches(spark, sf_dir):
     last, out = None, []
     for k, cut in enumerate([*cuts, None]):
         part = files if last is None else files.where(F.col("id") > last)
-        out.append(written(index.take(part if cut is None else part.where(F.col("id") <= cut), k), "batch"))
+        out.append(index.take(part if cut is None else part.where(F.col("id") <= cut), k))
         last = cut
     index.drop()
     remove(spark, at)
