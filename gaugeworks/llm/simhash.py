@@ -141,8 +141,9 @@ def links(prints: DataFrame) -> DataFrame:
     a, b = indexed.alias("a"), indexed.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     rest = F.when(F.col("a.number") < 32, F.shiftrightunsigned(x, 32)).otherwise(_low(x, 32))
+    # Spark takes exploded rows for as small as the fingerprints, so it would broadcast all variants
     return a.join(
-        b,
+        b.hint("merge"),
         (F.col("a.key") == F.col("b.key"))
         & (F.col("a.sub") == F.col("b.sub"))
         & (F.col("a.rest") == F.col("b.rest"))
