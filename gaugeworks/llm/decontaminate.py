@@ -1,7 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Terms are the words of the benchmark items: no other word adds to a cosine with an
-   item. Their document frequencies are counted over all documents.
+   item. Texts are cut into words once: the term numbers of all documents are written, and
+   everything below reads these (clean() its texts once more). Document frequencies are
+   counted over all documents.
 2. A randomised SVD of TF-IDF passages gives the latent space, one for all items: two passes
    over all documents and all items. The sums of the tasks are added up by the executors, in
    PIECES of the terms; the driver sees terms x (RANK + OVERSAMPLE) numbers in all.
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, pairwise, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -35,9 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
-from .common import slices, table
+from ..storage import Written
+from .common import SLICE_BYTES, slices, table
 
 RANK, OVERSAMPLE = 128, 16
 WINDOW, STEP = 32, 16
@@ -47,6 +50,8 @@ SAMPLE_DOCS = None
 PIECES = 16
 #: Bytes of benchmark texts that are handled and broadcast together, and queries compared with at once.
 BLOCK_BYTES, TILE = 16 << 20, 4096
+#: Rows of a matrix that are gathered at once to be added up, and windows compared at once: few enough to stay in a core's cache.
+GATHERED, CHUNK = 2048, 1024
 #: Least cosine of a candidate with queries of LONG words or more and with shorter ones, and least share of the query's own length that a window must reach; measured recall is in the tests.
 COSINE, COSINE_SHORT, LONG, REACH = 0.45, 0.28, 24, 0.25
 #: Share of the item's words, in order, that shows a copy; with the answer present, a paraphrase.
@@ -71,23 +76,53 @@ def term_ids(texts: list[str | None], vocabulary: dict[bytes, int]) -> tuple[np.
     return np.fromiter(chain.from_iterable(each), np.int32, int(starts[-1])), starts
 
 
-def document_frequencies(documents: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """In how many documents each term occurs, and the number of documents."""
+def _kind(terms: int) -> str:
+    return "<u2" if terms < 1 << 16 else "<u4"
+
+
+def numbered(documents: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
+    """The rows with ids in place of text: a number for each word, 0 for no term, else one more than the term's."""
     sent = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total, n = sent.value, Counter(), 0
-        terms = frozenset(known)
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                total.update(terms.intersection(words(t)))
-            n += batch.num_rows
+        kind = _kind(len(sent.value))
+        for s in slices(batches):
+            ids, starts = term_ids(s.column("text").to_pylist(), sent.value)
+            data, at = (ids + 1).astype(kind).tobytes(), (starts * np.dtype(kind).itemsize).tolist()
+            yield pa.RecordBatch.from_arrays([*s.drop_columns("text").columns, pa.array([data[a:b] for a, b in pairwise(at)], pa.binary())], names=[*kept, "ids"])
+
+    fields = [f for f in documents.schema.fields if f.name != "text"]
+    kept = [f.name for f in fields]
+    return documents.select(*kept, "text").mapInArrow(run, StructType([*fields, StructField("ids", BinaryType())]))
+
+
+def _numbers(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of numbered rows, each with what term_ids() gives for its texts."""
+    kind = np.dtype(_kind(terms))
+    for s in slices(batches, "ids", SLICE_BYTES // 3):
+        each = s.column("ids").to_pylist()
+        starts = np.zeros(len(each) + 1, np.int64)
+        np.cumsum([len(e) // kind.itemsize for e in each], out=starts[1:])
+        yield s, np.frombuffer(b"".join(each), kind).astype(np.int32) - 1, starts
+
+
+def document_frequencies(rows: DataFrame, terms: int) -> tuple[np.ndarray, int]:
+    """In how many numbered documents each term occurs, and the number of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(terms, np.int64), 0
+        for _, ids, starts in _numbers(batches, terms):
+            whose = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            at = np.nonzero(ids >= 0)[0]
+            total += np.bincount(np.unique(whose[at] * terms + ids[at]) % terms, minlength=terms)
+            n += len(starts) - 1
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([*(known[w] for w in total), -1], pa.int32()), pa.array([*total.values(), n], pa.int64())], names=["term", "n"])
+            found = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), pa.int32()), pa.array(np.append(total[found], n), pa.int64())], names=["term", "n"])
 
-    rows = documents.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    df, n = np.zeros(len(vocabulary), np.int64), 0
-    for term, c in zip(rows["term"], rows["n"], strict=True):
+    sums = rows.select("ids").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    df, n = np.zeros(terms, np.int64), 0
+    for term, c in zip(sums["term"], sums["n"], strict=True):
         if term < 0:
             n = int(c)
         else:
@@ -115,6 +150,26 @@ def _summed(v: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _weighted(v: np.ndarray, rows: np.ndarray, value: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of the given rows of v, each times its value, over the runs that begin at cuts; runs of one length go together, a few at a time."""
+    lengths = np.diff(cuts, append=len(rows))
+    out = np.empty((len(cuts), v.shape[1]), np.float32)
+    order = np.argsort(lengths, kind="stable")
+    bounds = np.nonzero(np.diff(lengths[order], prepend=-1))[0]
+    for low, high in pairwise([*bounds.tolist(), len(order)]):
+        n = int(lengths[order[low]])
+        few = max(1, GATHERED // n)
+        for k in range(low, high, few):
+            runs = order[k : min(k + few, high)]
+            if len(runs) == 1:
+                a = int(cuts[runs[0]])
+                out[runs[0]] = value[a : a + n] @ v[rows[a : a + n]]
+            else:
+                at = cuts[runs][:, None] + np.arange(n)
+                out[runs] = np.matmul(value[at][:, None], v[rows[at]])[:, 0]
+    return out
+
+
 class Sums(NamedTuple):
     """Projections of the blocks with weight, of STEP or STEP / 2 words each."""
 
@@ -134,10 +189,10 @@ def block_sums(ids: np.ndarray, starts: np.ndarray, space: np.ndarray) -> tuple[
     heavy = np.zeros(len(space) + 1, bool)  # the last is for -1
     heavy[:-1] = space.any(axis=1)
     at = np.nonzero(heavy[ids])[0]
-    text = np.searchsorted(starts, at, side="right") - 1
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[at]
     block = base[text] + (at - starts[text]) // half
     cuts = np.nonzero(np.diff(block, prepend=-1))[0]
-    small = Sums(half, _summed(space[ids[at]], cuts), block[cuts], text[cuts], base, starts)
+    small = Sums(half, _weighted(space, ids[at], np.ones(len(at), np.float32), cuts), block[cuts], text[cuts], base, starts)
     pairs = np.nonzero(np.diff(small.number // 2, prepend=-1))[0]
     return small, Sums(STEP, _summed(small.sums, pairs), small.number[pairs] // 2, small.owner[pairs], base // 2, starts)
 
@@ -145,30 +200,27 @@ def block_sums(ids: np.ndarray, starts: np.ndarray, space: np.ndarray) -> tuple[
 def windows(b: Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Projections of the windows of two blocks with weight, with the number of the text and the first word of each."""
     # a window from each block that has weight, and from the one just before it
-    first = np.unique(np.concatenate([b.number, b.number - 1]))
-    first = first[first >= 0]
-    total = np.zeros((len(first), b.sums.shape[1]), np.float32)
-    whose = np.full(len(first), -1)
-    for j in range(2 if len(b.number) else 0):
-        p = np.minimum(np.searchsorted(b.number, first + j), len(b.number) - 1)
-        mine = b.owner[p]
-        ok = (b.number[p] == first + j) & (b.base[mine] <= first)  # the window starts in the text that owns the block
-        total[ok] += b.sums[p[ok]]
-        whose[ok] = mine[ok]
-    keep = whose >= 0
-    return total[keep], whose[keep], b.starts[whose[keep]] + (first[keep] - b.base[whose[keep]]) * b.size
-
-
-def _passages(texts: list[str | None], vocabulary: dict[bytes, int], w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    whose, n = b.owner, len(b.number)
+    follows = np.zeros(n + 1, bool)  # whether a block's next one, of the same text, has weight, too; by the latter
+    follows[1:n] = (np.diff(b.number) == 1) & (whose[1:] == whose[:-1])
+    total = b.sums.copy()
+    total[:-1] += b.sums[1:]
+    ends = np.nonzero(~follows[1:])[0]
+    total[ends] = b.sums[ends]
+    lone = np.nonzero(~follows[:n] & (b.number > b.base[whose]))[0]
+    whose, first = np.concatenate([whose, whose[lone]]), np.concatenate([b.number, b.number[lone] - 1])
+    return np.concatenate([total, b.sums[lone]]), whose, b.starts[whose] + (first - b.base[whose]) * b.size
+
+
+def _passages(ids: np.ndarray, starts: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Passages of WINDOW words as rows of a sparse matrix: term, weight and row of each entry, rows of unit length."""
-    ids, starts = term_ids(texts, vocabulary)
     at = np.nonzero(np.append(w, 0)[ids])[0]
     if not len(at):
         return None
     n = np.diff(starts)
     base = np.cumsum(-(-n // WINDOW)) - -(-n // WINDOW)
-    text = np.searchsorted(starts, at, side="right") - 1
-    row = np.unique(base[text] + (at - starts[text]) // WINDOW, return_inverse=True)[1]
+    text = np.repeat(np.arange(len(n)), n)[at]
+    row = np.cumsum(np.diff(base[text] + (at - starts[text]) // WINDOW, prepend=-1) != 0) - 1
     value = w[ids[at]]
     return ids[at], (value / np.sqrt(np.bincount(row, value * value))[row]).astype(np.float32), row
 
@@ -193,26 +245,31 @@ def _pieces(m: np.ndarray) -> pa.RecordBatch:
 
 def latent_space(documents: DataFrame, items: list[str], vocabulary: dict[bytes, int], w: np.ndarray, seed: int = 7) -> np.ndarray:
     """Terms x RANK: weight times the right singular vectors of all TF-IDF passages over their singular values."""
-    spark = documents.sparkSession
-    texts = documents.select("text").union(spark.createDataFrame([(t,) for t in items], "text string").coalesce(1))
+    return fitted(numbered(documents.select("text"), vocabulary), items, vocabulary, w, seed)
+
+
+def fitted(rows: DataFrame, items: list[str], vocabulary: dict[bytes, int], w: np.ndarray, seed: int = 7) -> np.ndarray:
+    """As latent_space() of numbered documents."""
+    spark = rows.sparkSession
+    texts = rows.select("ids").union(numbered(spark.createDataFrame([(t,) for t in items], "text string").coalesce(1), vocabulary))
     width = min(RANK + OVERSAMPLE, len(w))
     omega = np.random.default_rng(seed).standard_normal((len(w), width)).astype(np.float32)
-    sent = spark.sparkContext.broadcast((vocabulary, w, omega))
+    sent = spark.sparkContext.broadcast((w, omega))
 
     def times(v: np.ndarray, term: np.ndarray, value: np.ndarray, row: np.ndarray) -> np.ndarray:
-        return _summed(v[term] * value[:, None], np.nonzero(np.diff(row, prepend=-1))[0])
+        return _weighted(v, term, value, np.nonzero(np.diff(row, prepend=-1))[0])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, w, omega = sent.value
+        w, omega = sent.value
         z = np.zeros(omega.shape, np.float32)
-        for s in slices(batches):
-            got = _passages(s.column(0).to_pylist(), vocabulary, w)
+        for _, ids, starts in _numbers(batches, len(w)):
+            got = _passages(ids, starts, w)
             if got:
                 term, value, row = got
                 y = times(omega, term, value, row)
                 order = np.argsort(term, kind="stable")
                 cuts = np.nonzero(np.diff(term[order], prepend=-1))[0]
-                z[term[order][cuts]] += _summed(y[row[order]] * value[order, None], cuts)
+                z[term[order][cuts]] += _weighted(y, row[order], value[order], cuts)
         yield _pieces(z)
 
     z = _added(texts.mapInArrow(first, "piece int, m binary"), *omega.shape)
@@ -220,10 +277,10 @@ def latent_space(documents: DataFrame, items: list[str], vocabulary: dict[bytes,
     basis = spark.sparkContext.broadcast(q)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, w, _ = sent.value
+        w, _ = sent.value
         gram = np.zeros((basis.value.shape[1],) * 2)
-        for s in slices(batches):
-            got = _passages(s.column(0).to_pylist(), vocabulary, w)
+        for _, ids, starts in _numbers(batches, len(w)):
+            got = _passages(ids, starts, w)
             if got:
                 t = times(basis.value, *got)
                 gram += t.T @ t
@@ -395,18 +452,23 @@ def verbatim(ids: np.ndarray, starts: np.ndarray, p: Prepared) -> set[tuple[int,
 
 def matches(texts: list[str | None], p: Prepared) -> list[tuple[int, object, float, float, float]]:
     """(number of the text, item_id, cosine, share, answer) of every verified pair; a copy that only equality finds has the cosine 1 of its own words."""
-    ids, starts = term_ids(texts, p.vocabulary)
+    return matches_of(*term_ids(texts, p.vocabulary), p)
+
+
+def matches_of(ids: np.ndarray, starts: np.ndarray, p: Prepared) -> list[tuple[int, object, float, float, float]]:
+    """As matches() of texts in term numbers."""
     found: dict[tuple[int, int], list[tuple[float, int]]] = defaultdict(list)
     by_size = {2 * b.size: b for b in block_sums(ids, starts, p.space)} if p.queries else {}
     for q in p.queries:
         v, owner, first = windows(by_size[q.window])
-        norm = np.maximum(np.linalg.norm(v, axis=1), 1e-9)
-        v /= norm[:, None]
-        for k in range(0, len(v), 4096):
+        norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)
+        for k in range(0, len(v), CHUNK):
+            part = v[k : k + CHUNK] / norm[k : k + CHUNK, None]
             for j in range(0, len(q.item), TILE):
-                cosine = v[k : k + 4096] @ q.vectors[j : j + TILE].T
-                w, i = np.nonzero(cosine >= q.least[j : j + TILE])
-                c, w, i = cosine[w, i], w + k, i + j
+                cosine = part @ q.vectors[j : j + TILE].T
+                at = np.flatnonzero(cosine >= q.least[j : j + TILE])
+                c, (w, i) = cosine.ravel()[at], np.divmod(at, cosine.shape[1])
+                w, i = w + k, i + j
                 far = c * norm[w] >= REACH * q.lengths[i]
                 for a, b, x in zip(w[far].tolist(), q.item[i[far]].tolist(), c[far].tolist(), strict=True):
                     found[int(owner[a]), b].append((x, int(first[a])))
@@ -423,19 +485,20 @@ def matches(texts: list[str | None], p: Prepared) -> list[tuple[int, object, flo
     return out
 
 
-def prepared(documents: DataFrame, block: list[tuple[object, str]]) -> Prepared:
-    """Terms, latent space and vectors of a block of items."""
+def prepared(documents: DataFrame, block: list[tuple[object, str]]) -> tuple[Prepared, Written | None]:
+    """Terms, latent space and vectors of a block of items, and the documents in term numbers, unless there are no terms."""
     texts = [t for _, t in block if words(t)]
     vocabulary = {x: i for i, x in enumerate(sorted({x for t in texts for x in words(t)}))}
     if not vocabulary:
-        return Prepared({}, np.zeros((0, 1), np.float32), [], [], {})
-    df, n = document_frequencies(documents, vocabulary)
+        return Prepared({}, np.zeros((0, 1), np.float32), [], [], {}), None
+    rows = Written(numbered(documents.select("doc_id", "text"), vocabulary), "numbered")
+    df, n = document_frequencies(rows.df, len(vocabulary))
     w = weights(df, n)
     if not w.any():  # too few documents to tell common terms from rare ones
         w = np.ones(len(vocabulary), np.float32)
-    space = latent_space(documents, texts, vocabulary, w)
+    space = fitted(rows.df, texts, vocabulary, w)
     items = [x for i, t in block if (x := as_item(i, t, vocabulary, w)) is not None]
-    return Prepared(vocabulary, space, items, queries(items, space), first_words(items))
+    return Prepared(vocabulary, space, items, queries(items, space), first_words(items)), rows
 
 
 def blocks_of_items(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
@@ -460,15 +523,18 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     kind = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = spark.createDataFrame([], schema)
     for block in blocks_of_items(benchmark):
-        sent = spark.sparkContext.broadcast(prepared(documents, block))
+        ready, numbers = prepared(documents, block)
+        if numbers is None:
+            continue
+        sent = spark.sparkContext.broadcast(ready)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for s in slices(batches):
-                rows = matches(s.column(1).to_pylist(), sent.value) if sent.value.items else []
+            for s, ids, starts in _numbers(batches, len(sent.value.vocabulary)):
+                rows = matches_of(ids, starts, sent.value)
                 cols = [s.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], kind), *(pa.array([float(r[k]) for r in rows], pa.float64()) for k in (2, 3, 4))]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-        out = out.union(documents.select("doc_id", "text").mapInArrow(run, schema))
+        out = out.union(numbers.df.mapInArrow(run, schema))
     return out
 
 
@@ -476,7 +542,10 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, all columns kept."""
     spark, whole = documents.sparkSession, documents
     for block in blocks_of_items(benchmark):
-        sent = spark.sparkContext.broadcast(prepared(whole, block))
+        ready, numbers = prepared(whole, block)
+        if numbers is not None:
+            numbers.drop()
+        sent = spark.sparkContext.broadcast(ready)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for s in slices(batches):
